@@ -81,10 +81,10 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_body", body).withColumn("_words", words(F.col("_body")))
     df = df.withColumn("_lines", F.filter(F.split("_body", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    after = lambda i, k: F.get("_hashes", i + k)
-    n, firsts = F.size("_words"), F.slice("_hashes", 1, F.greatest(F.size("_hashes") - (WINDOW - 1), F.lit(0)))
-    df = df.withColumn("_grams", F.transform(firsts, lambda h, i: F.xxhash64(h, *[after(i, k) for k in range(1, WINDOW)])))
+    n = F.size("_words")
+    firsts = lambda a: F.slice(a, 1, F.greatest(F.size(a) - (WINDOW - 1), F.lit(0)))
+    join = lambda a: F.transform(firsts(a), lambda h, i: F.xxhash64(h, *[F.get(a, i + k) for k in range(1, WINDOW)]))
+    df = df.withColumn("_grams", bind(F.transform("_words", lambda w: F.xxhash64(w)), join))
     long = lambda c: c.cast("long")
     return df.withColumns(
         {
@@ -98,7 +98,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
             "n_stop_words": long(F.size(F.filter("_words", lambda w: w.isin(STOP_WORDS)))),
             "n_repeat_words": repeat_words(F.col("_grams")),
         }
-    ).drop("_body", "_words", "_lines", "_hashes", "_grams")
+    ).drop("_body", "_words", "_lines", "_grams")
 
 
 def compile_rules(rules=RULES) -> dict[str, Column]:
