@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,26 +98,29 @@ def classify(docs: DataFrame, model: tuple[list[str], np.ndarray, float], keep:
     rows = docs.select(*keep, F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
+    def judged(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        x = np.zeros((len(texts), PLACES), dtype=np.float32)
+        for i, t in enumerate(texts):
+            if t is not None:
+                x[i] = presence(t)
+        raw = sharp * (x @ folded) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        p = np.exp(raw - raw.max(axis=1, keepdims=True, initial=0))
+        p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-30)
+        best = p.argmax(axis=1) if langs else np.zeros(len(texts), int)
+        known = [t is not None and bool(langs) for t in texts]
+        names = [langs[b] if k else "und" for b, k in zip(best, known, strict=True)]
+        return names, [float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))]
+
     def score(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.iloc[at : at + 128]
-                texts = part["_text"].tolist()
-                x = np.zeros((len(texts), PLACES), dtype=np.float32)
-                for i, t in enumerate(texts):
-                    if t is not None:
-                        x[i] = presence(t)
-                raw = sharp * (x @ folded) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-                p = np.exp(raw - raw.max(axis=1, keepdims=True, initial=0))
-                p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-30)
-                best = p.argmax(axis=1) if langs else np.zeros(len(texts), int)
-                known = [t is not None and bool(langs) for t in texts]
-                yield part.drop(columns="_text").assign(
-                    lang_pred=[langs[b] if k else "und" for b, k in zip(best, known, strict=True)],
-                    score=[float(p[i, b]) if k else 0.0 for i, (b, k) in enumerate(zip(best, known, strict=True))],
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                names, scores = judged(batch.column("_text").to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"]
                 )
 
-    return rows.mapInPandas(score, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(score, f"{fields}, lang_pred string, score double")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

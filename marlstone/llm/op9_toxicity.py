@@ -22,6 +22,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,8 +166,8 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
     def rate(batches):
         for batch in batches:
             out, why = [], []
-            for text in batch["_text"]:
-                counts = term_counts(text, places) if places else {}
+            for text in batch.column("_text"):
+                counts = term_counts(text.as_py(), places) if places else {}
                 if not counts or index is None:
                     out.append(base)
                     why.append(None)
@@ -174,9 +175,10 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
                 v = index.vote(index.nearest(counts), by, weights)
                 out.append(float(values[min(np.searchsorted(ends, v), len(values) - 1)]))
                 why.append(",".join(names[t] for t in sorted(counts, key=lambda t: (-index.idf[t], t))[:5]))
-            yield batch.drop(columns="_text").assign(score=out, predicted=[int(s >= CUT) for s in out], evidence=why)
+            new = [pa.array(out, pa.float64()), pa.array([int(s >= CUT) for s in out], pa.int32()), pa.array(why, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, "score", "predicted", "evidence"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(rate, f"{fields}, score double, predicted int, evidence string")
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(rate, f"{fields}, score double, predicted int, evidence string")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
