@@ -37,7 +37,7 @@ from .graph import components
 
 WIDTH, SIMILAR = 5, 0.8
 TOKENS = 64
-LIMIT, DEPTH = 200, 4
+LIMIT, DEPTH = 200, 3
 RECALL, RUN_RECALL = 0.999, 0.35
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - RUN_RECALL))
 #: Embeddings that agree in this share may be similar: 0.8 less five standard deviations of 64 trials.
