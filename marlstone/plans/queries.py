@@ -1,4 +1,592 @@
 """All queries on the given tables by name, with their SQL."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marlstone.functions import partitions as rules
+from marlstone.functions import text as tx
+from marlstone.functions.scope import Scope
+from marlstone.operators import retrieval as rt
+from marlstone.session import table
+from marlstone.sources import corpus
+from marlstone.streaming import events as ev
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_''’]+')"
+
+
+def _terms(tok: str) -> str:
+    kept = f"list_filter(list_distinct({tok}), lambda t: length(t) > 1 AND NOT list_contains([{_STOP}], t))"
+    return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE list_filter(list_distinct({tok}), lambda t: length(t) > 1) END"
+
+
+_CONTENT = f"list_filter(list_distinct({_TOK}), lambda t: length(t) > 2 AND NOT list_contains([{_STOP}], t))"
+_LINEAGE = """
+lineage AS (
+  SELECT *, unit_id || ':student:' || printf('doc%06d', doc_id) AS document_id,
+         CASE WHEN doc_id % 7 = 0 THEN 'support' ELSE 'primary' END AS source_role
+  FROM (SELECT *, printf('grade_%02d', grade) || ':' || subject || ':' || source AS unit_id FROM (
+    SELECT *, CASE WHEN grade <= 2 THEN 'mathematics' WHEN grade <= 10 THEN ['mathematics', 'science'][CAST((doc_id // 12) % 2 + 1 AS INT)]
+                   ELSE ['mathematics', 'physics', 'chemistry', 'biology'][CAST((doc_id // 12) % 4 + 1 AS INT)] END AS subject
+    FROM (SELECT doc_id, text, source, lang, CAST(1 + doc_id % 12 AS INT) AS grade FROM documents))))"""
+_CHUNKS = (
+    _LINEAGE
+    + """,
+lined AS (SELECT *, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l FROM lineage),
+cut AS (SELECT *, unnest(range(0, (len(l) + 3) // 4)) AS i FROM lined WHERE len(l) > 0),
+chunks AS (
+  SELECT document_id || printf(':c%04d', i) AS chunk_id, doc_id, document_id, unit_id, grade, subject, source, lang, source_role, CAST(i AS INT) AS chunk_index,
+         document_id || printf(':s%04d', (i * 4) // 10) AS section_id, substring(l[CAST((i * 4) // 10 * 10 + 1 AS INT)], 1, 60) AS section_title,
+         CAST(1 + (i * 4) // 5 AS INT) AS page_start, CAST(1 + (i * 4 + least(4, len(l) - i * 4) - 1) // 5 AS INT) AS page_end,
+         array_to_string(list_slice(l, i * 4 + 1, i * 4 + 4), chr(10)) AS text
+  FROM cut)"""
+)
+
+
+def _q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
+_URLS, _HITS = (f"len(regexp_extract_all(text, '{_q(p)}'))" for p in (rules.URL, rules.BOILERPLATE_BODY))
+_BOILER = (
+    f"(regexp_matches(substring(text, 1, 120), '{_q(rules.BOILERPLATE_HEADING)}') OR ({_URLS} >= 3 AND {_URLS} > {_WORDS} * 0.04) "
+    f"OR (regexp_matches(text, '{_q(rules.FOOTER)}') AND length(text) < 900) OR ({_HITS} > 0 AND (length(text) < 700 OR {_HITS} >= 2 OR {_WORDS} < 80)))"
+)
+_CLASSIFIED = (
+    _CHUNKS
+    + f""",
+prior AS (SELECT *, lag(section_title) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS before FROM chunks),
+classified AS (
+  SELECT *, CASE WHEN {_BOILER} THEN 'excluded_boilerplate'
+    WHEN regexp_matches(trim(section_title), '{_q(rules.EVALUATION_HEADING)}') THEN 'evaluation_only'
+    WHEN regexp_matches(substring(text, 1, 1500), '{_q(rules.SOLUTION_BODY)}') THEN 'evaluation_only'
+    WHEN regexp_matches(coalesce(before, ''), '(?i)answer\\s*key') THEN 'evaluation_only'
+    WHEN regexp_matches(trim(section_title), '{_q(rules.STRATEGY_HEADING)}') THEN 'teacher_strategy'
+    WHEN regexp_matches(trim(section_title), '{_q(rules.PRACTICE_HEADING)}') THEN 'practice_only'
+    WHEN regexp_matches(trim(section_title), '{_q(rules.BOILERPLATE_HEADING)}') THEN 'excluded_boilerplate'
+    ELSE 'student_evidence' END AS content_partition
+  FROM prior)"""
+)
+_SAFE = "content_partition IN ('student_evidence', 'teacher_strategy')"
+
+
+# -- scope, identifiers, text -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CLASSIFIED} SELECT chunk_id, grade, subject, content_partition FROM classified WHERE grade = 5 AND subject = 'science' AND {_SAFE}")
+def scope_filter_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.classified(spark, sf_dir).where(Scope(grade=5, subject="science").validate().predicate())
+    return rows.select("chunk_id", "grade", "subject", "content_partition")
+
+
+@query(f"WITH {_CLASSIFIED} SELECT chunk_id, grade, subject, content_partition FROM classified WHERE grade <= 11 AND subject IN ('physics', 'science') AND {_SAFE}")
+def scope_filter_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.classified(spark, sf_dir).where(Scope(grade=11, subject="physics", look_back=True).validate().predicate())
+    return rows.select("chunk_id", "grade", "subject", "content_partition")
+
+
+@query(f"WITH {_LINEAGE} SELECT doc_id, grade, subject, unit_id, document_id, source_role FROM lineage")
+def hierarchy_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.with_lineage(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return docs.select("doc_id", "grade", "subject", "unit_id", "document_id", "source_role")
+
+
+@query(
+    f"""WITH {_CHUNKS} SELECT chunk_id, regexp_replace(regexp_replace(lower(regexp_replace(translate(section_title, '{tx.ACCENTS}', '{tx.PLAIN}'),
+    '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM chunks"""
+)
+def slug_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.chunks(spark, sf_dir).select("chunk_id", tx.slug(F.col("section_title")).alias("slug"))
+
+
+@query(f"SELECT doc_id, greatest(1, CAST(round_even({_WORDS} * 1.35::DOUBLE, 0) AS INT)) AS n_tokens FROM documents")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.token_count(F.col("text")).alias("n_tokens"))
+
+
+@query(
+    r"""SELECT doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+(["''(\[]?[A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+    lambda x: trim(x) <> '')) AS n_sentences FROM documents"""
+)
+def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query(f"SELECT item_id, array_to_string(list_sort({_terms(_TOK)}), ' ') AS terms FROM benchmark")
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.sort_array(tx.query_terms(F.col("text"))), " ").alias("terms"))
+
+
+@query(f"SELECT doc_id, len({_TOK}) AS n_tokens, len({_CONTENT}) AS n_content FROM documents")
+def content_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tx.tokens(text)).cast("long").alias("n_tokens"), F.size(tx.content_terms(text)).cast("long").alias("n_content"))
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(text, '[ \\t\u00a0]+', ' ', 'g')) AS line FROM conversations")
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean_line(F.col("text")).alias("line"))
+
+
+@query(f"SELECT conv_id, turn, regexp_matches(text, '{_q(tx.FIGURE_CUES)}') AS needs_figure FROM conversations")
+def figure_need(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_like("text", F.lit(tx.FIGURE_CUES)).alias("needs_figure"))
+
+
+@query(
+    rf"""SELECT doc_id, regexp_replace(regexp_replace(text, '{tx.SECRETS}(\s*[=:]\s*)\S+', '\1\2[redacted]', 'g'), '{tx.SECRETS}', '[redacted]', 'g') AS text FROM documents"""
+)
+def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", tx.redact_secrets(F.col("text")).alias("text"))
+
+
+@query("SELECT event_id, try_cast(props AS JSON) IS NOT NULL AS parsed FROM events")
+def rewrite_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("parsed"))
+
+
+# -- documents, pages, classification -----------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<(?:script|style|nav)[^>]*>.*?</(?:script|style|nav)>', '', 'g'), '<(?:h[1-4]|p|li)(?: [^>]*)?>[^<]*') AS f FROM pages),
+    e AS (SELECT page_id, unnest(range(0, len(f))) AS i, f FROM b WHERE len(f) > 0),
+    r AS (SELECT page_id, CAST(i AS INT) AS position, f[CAST(i + 1 AS INT)] AS raw FROM e)
+    SELECT page_id, position, regexp_extract(raw, '^<([a-z0-9]+)', 1) AS tag, trim(regexp_replace(regexp_extract(raw, '(?s)>(.*)$', 1), '\s+', ' ', 'g')) AS text
+    FROM r WHERE trim(regexp_replace(regexp_extract(raw, '(?s)>(.*)$', 1), '\s+', ' ', 'g')) <> ''"""
+)
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.html_blocks(spark, sf_dir)
+
+
+@query(
+    r"""WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<(?:script|style|nav)[^>]*>.*?</(?:script|style|nav)>', '', 'g'), '<(?:h[1-4]|p|li)(?: [^>]*)?>[^<]*') AS f FROM pages),
+    e AS (SELECT page_id, unnest(range(0, len(f))) AS i, f FROM b WHERE len(f) > 0),
+    r AS (SELECT page_id, i, regexp_extract(f[CAST(i + 1 AS INT)], '^<([a-z0-9]+)', 1) AS tag, trim(regexp_replace(regexp_extract(f[CAST(i + 1 AS INT)], '(?s)>(.*)$', 1), '\s+', ' ', 'g')) AS text FROM e),
+    s AS (SELECT *, sum(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS section FROM r WHERE text <> '')
+    SELECT page_id, CAST(section AS BIGINT) AS section, min(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN text END) AS title,
+    CAST(sum(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN 0 ELSE 1 END) AS BIGINT) AS n_paragraphs FROM s GROUP BY page_id, section"""
+)
+def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heading = F.col("tag").isin("h1", "h2", "h3")
+    number = F.sum(heading.cast("long")).over(Window.partitionBy("page_id").orderBy("position"))
+    rows = corpus.html_blocks(spark, sf_dir).withColumn("section", number)
+    return rows.groupBy("page_id", "section").agg(F.min(F.when(heading, F.col("text"))).alias("title"), F.sum((~heading).cast("long")).alias("n_paragraphs"))
+
+
+@query(
+    f"""WITH {_CHUNKS} SELECT doc_id, CAST(i AS INT) AS paragraph_index, CAST(1 + i // 5 AS INT) AS page_number, CAST(i // 10 AS INT) AS section_index, length(l[CAST(i + 1 AS INT)]) AS n_chars
+    FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM lined WHERE len(l) > 0)"""
+)
+def paragraph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("i", "x"))
+    cut = lambda n: F.floor(F.col("i") / n).cast("int")
+    return rows.select("doc_id", F.col("i").alias("paragraph_index"), (1 + cut(5)).alias("page_number"), cut(10).alias("section_index"), F.length("x").cast("long").alias("n_chars"))
+
+
+@query(f"WITH {_CHUNKS} SELECT chunk_id, section_id, section_title, page_start, page_end, length(text) AS n_chars FROM chunks")
+def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.chunks(spark, sf_dir).select("chunk_id", "section_id", "section_title", "page_start", "page_end", F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    f"""WITH {_CHUNKS} SELECT document_id || printf(':p%04d', p) AS page_id, count(*) AS n_chunks
+    FROM (SELECT document_id, unnest(range(page_start, page_end + 1)) AS p FROM chunks) GROUP BY 1"""
+)
+def page_chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.on_page(corpus.chunks(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n_chunks"))
+
+
+@query(
+    f"""WITH {_CHUNKS}, n AS (SELECT document_id, greatest(1, CAST(round_even({_WORDS} * 1.35::DOUBLE, 0) AS INT)) AS t FROM chunks)
+    SELECT document_id, count(*) AS n_chunks, min(t) AS min_tokens, round(avg(t), 4) AS mean_tokens, max(t) AS max_tokens FROM n GROUP BY 1"""
+)
+def chunk_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.chunks(spark, sf_dir).select("document_id", tx.token_count(F.col("text")).alias("t"))
+    return rows.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.min("t").alias("min_tokens"), F.round(F.avg("t"), 4).alias("mean_tokens"), F.max("t").alias("max_tokens"))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT chunk_id, content_partition FROM classified")
+def classify_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.classified(spark, sf_dir).select("chunk_id", "content_partition")
+
+
+@query(f"SELECT doc_id, {_BOILER} AS boilerplate FROM documents")
+def boilerplate_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", rules.boilerplate(F.col("text")).alias("boilerplate"))
+
+
+@query(f"WITH {_CLASSIFIED} SELECT source, content_partition, count(*) AS n_chunks FROM classified GROUP BY 1, 2")
+def partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.classified(spark, sf_dir).groupBy("source", "content_partition").agg(F.count("*").alias("n_chunks"))
+
+
+@query(
+    "SELECT conv_id, turn, lead(turn) OVER w AS next_turn, lag(turn) OVER w AS previous_turn, lag(role) OVER w AS previous_role "
+    "FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"
+)
+def next_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.lead("turn").over(w).alias("next_turn"), F.lag("turn").over(w).alias("previous_turn"), F.lag("role").over(w).alias("previous_role")
+    )
+
+
+@query(f"WITH {_CLASSIFIED} SELECT chunk_id, section_title, before AS previous_title FROM classified")
+def prev_title_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("section_title").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    return corpus.chunks(spark, sf_dir).select("chunk_id", "section_title", before.alias("previous_title"))
+
+
+# -- concepts -----------------------------------------------------------------------------------------------------
+
+_VOCAB = (
+    _CHUNKS
+    + rf""",
+title_terms AS (SELECT DISTINCT section_title, unnest(regexp_extract_all(lower(section_title), '[\p{{L}}]{{5,}}')) AS concept FROM chunks),
+vocabulary AS (SELECT concept, count(DISTINCT section_title) AS support FROM title_terms WHERE NOT list_contains([{_STOP}], concept) GROUP BY 1 HAVING count(DISTINCT section_title) >= 2),
+mentions AS (SELECT chunk_id, concept, count(*) AS occurrences FROM (SELECT chunk_id, unnest({_TOK}) AS concept FROM chunks) JOIN vocabulary USING (concept) GROUP BY 1, 2)"""
+)
+
+
+def _vocabulary(chunk_rows: DataFrame) -> DataFrame:
+    found = F.regexp_extract_all(F.lower("section_title"), F.lit(r"[\p{L}]{5,}"), F.lit(0))
+    terms = chunk_rows.select("section_title", F.explode(found).alias("concept")).where(~F.col("concept").isin(tx.STOP_WORDS))
+    return terms.groupBy("concept").agg(F.countDistinct("section_title").alias("support")).where(F.col("support") >= 2)
+
+
+def _mentions(chunk_rows: DataFrame) -> DataFrame:
+    each = chunk_rows.select("chunk_id", F.explode(tx.tokens(F.col("text"))).alias("concept"))
+    return each.join(_vocabulary(chunk_rows).select("concept"), "concept").groupBy("chunk_id", "concept").agg(F.count("*").alias("occurrences"))
+
+
+@query(f"WITH {_VOCAB} SELECT concept, support FROM vocabulary")
+def concept_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vocabulary(corpus.chunks(spark, sf_dir))
+
+
+@query(f"WITH {_VOCAB} SELECT concept, count(DISTINCT chunk_id) AS mention_count FROM mentions GROUP BY 1")
+def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mentions(corpus.chunks(spark, sf_dir)).groupBy("concept").agg(F.count("*").alias("mention_count"))
+
+
+@query(f"WITH {_VOCAB} SELECT concept, count(DISTINCT chunk_id) AS mention_count FROM mentions GROUP BY 1 HAVING count(DISTINCT chunk_id) > 400")
+def hub_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mention_counts(spark, sf_dir).where(F.col("mention_count") > 400)
+
+
+@query(
+    f"""WITH {_VOCAB}, r AS (SELECT chunk_id, concept, occurrences, row_number() OVER (PARTITION BY chunk_id ORDER BY length(concept) DESC, occurrences DESC, concept) AS rank FROM mentions)
+    SELECT chunk_id, concept, occurrences, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8"""
+)
+def concept_mentions_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("chunk_id").orderBy(F.desc(F.length("concept")), F.desc("occurrences"), "concept")
+    return _mentions(corpus.chunks(spark, sf_dir)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 8)
+
+
+# -- retrieval ----------------------------------------------------------------------------------------------------
+
+_COS = "round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+
+
+def _dense_sql(where: str) -> str:
+    return f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE {where}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20"""
+
+
+@query(_dense_sql("true"))
+def dense_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return rt.dense(vectors, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
+
+
+@query(_dense_sql("e.label = 3"))
+def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    wanted = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return rt.dense(vectors.where(F.col("label") == 3).select("vec_id", "embedding"), wanted)
+
+
+_LEXICAL = rf"""
+wanted AS (SELECT item_id AS query_id, unnest({_terms(_TOK)}) AS term FROM benchmark),
+toks AS (SELECT doc_id, {_TOK} AS t FROM documents),
+sizes AS (SELECT doc_id, len(t) AS len FROM toks),
+stats AS (SELECT count(*) AS docs, avg(len) AS mean FROM sizes),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM wanted) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT query_id, doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score
+  FROM tf JOIN df USING (term) JOIN sizes USING (doc_id) JOIN wanted USING (term), stats GROUP BY 1, 2),
+lexical AS (SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bm) WHERE rank <= 20),
+qn AS (SELECT query_id, count(*) AS n FROM wanted GROUP BY 1),
+cv AS (SELECT query_id, doc_id, round(count(*) / any_value(n), 6) AS score FROM tf JOIN wanted USING (term) JOIN qn USING (query_id) GROUP BY 1, 2),
+covering AS (SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cv) WHERE rank <= 20),
+parts AS (SELECT query_id, doc_id, 'fulltext' AS channel, rank, 1.0 / (60 + rank) AS part FROM lexical UNION ALL SELECT query_id, doc_id, 'coverage', rank, 0.5 / (60 + rank) FROM covering),
+fsum AS (SELECT query_id, doc_id, round(sum(part), 8) AS rrf_score, max(CASE WHEN channel = 'fulltext' THEN rank END) AS fulltext_rank, max(CASE WHEN channel = 'coverage' THEN rank END) AS coverage_rank FROM parts GROUP BY 1, 2),
+fused AS (SELECT query_id, doc_id, rrf_score, fulltext_rank, coverage_rank, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, doc_id) AS rank FROM fsum) WHERE rank <= 20),
+qc AS (SELECT item_id AS query_id, {_CONTENT} AS q FROM benchmark),
+logits AS (SELECT f.*, round(6 * CASE WHEN len(q) > 0 THEN len(list_intersect(q, list_distinct(t))) / len(q) ELSE 0 END - 3, 6) AS logit FROM fused f JOIN qc USING (query_id) JOIN toks USING (doc_id)),
+reranked AS (SELECT *, round(1 / (1 + exp(-logit)), 6) AS probability, CAST(row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, rank) AS INT) AS rerank FROM logits)"""
+_FINAL = (
+    _LEXICAL
+    + """,
+roles AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'support' ELSE 'primary' END AS source_role FROM reranked),
+tiers AS (SELECT *, CASE WHEN logit >= 0 AND source_role = 'primary' THEN 1 WHEN logit >= 0 THEN 2 WHEN source_role = 'primary' THEN 3 ELSE 4 END AS tier FROM roles),
+placed AS (SELECT *, CASE WHEN tier = 1 THEN 'primary_adequate' WHEN tier = 2 AND min(tier) OVER (PARTITION BY query_id) = 1 THEN 'support_fills_gap' WHEN tier = 2 THEN 'no_adequate_primary' ELSE 'below_score_floor_fill' END AS reason,
+  CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, rerank, doc_id) AS INT) AS final_rank FROM tiers),
+final AS (SELECT * FROM placed WHERE final_rank <= 5)"""
+)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.queries_of(table(spark, sf_dir, "benchmark"), "item_id")
+
+
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {_LEXICAL} SELECT query_id, doc_id, score, rank FROM lexical")
+def lexical_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.bm25(_documents(spark, sf_dir), _wanted(spark, sf_dir))
+
+
+@query(f"WITH {_LEXICAL} SELECT query_id, doc_id, score, rank FROM covering")
+def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.coverage(_documents(spark, sf_dir), _wanted(spark, sf_dir))
+
+
+@query(f"WITH {_LEXICAL} SELECT query_id, doc_id, rrf_score, fulltext_rank, coverage_rank, rank FROM fused")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channels = {"fulltext": (lexical_bm25_topk(spark, sf_dir), 1.0), "coverage": (coverage_topk(spark, sf_dir), 0.5)}
+    return rt.rrf(channels, "doc_id")
+
+
+@query(f"WITH {_LEXICAL}, s AS (SELECT doc_id, round(max(1.0 / rank), 6) AS weight FROM (SELECT doc_id, rank FROM lexical UNION ALL SELECT doc_id, rank FROM covering) GROUP BY 1) SELECT doc_id, weight FROM s")
+def seeds_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = lexical_bm25_topk(spark, sf_dir).unionByName(coverage_topk(spark, sf_dir))
+    return both.groupBy("doc_id").agg(F.round(F.max(1.0 / F.col("rank")), 6).alias("weight"))
+
+
+@query(f"WITH {_LEXICAL} SELECT query_id, doc_id, rank, logit, probability, rerank, rank - rerank AS movement FROM reranked")
+def rerank_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rt.rerank(rrf_fusion(spark, sf_dir), _documents(spark, sf_dir), _questions(spark, sf_dir))
+    return rows.select("query_id", "doc_id", "rank", "logit", "probability", "rerank", "movement")
+
+
+@query(
+    f"""WITH {_LEXICAL}, g AS (SELECT query_id, doc_id, logit, rerank, CAST(1 + query_id % 12 AS INT) AS wanted_grade, CAST(1 + doc_id % 12 AS INT) AS grade FROM reranked)
+    SELECT query_id, doc_id, grade, CAST(row_number() OVER (PARTITION BY query_id ORDER BY logit DESC, wanted_grade - grade, rerank) AS INT) AS rank FROM g WHERE grade <= wanted_grade"""
+)
+def grade_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rerank_movement(spark, sf_dir).withColumns({"wanted": 1 + F.col("query_id") % 12, "grade": (1 + F.col("doc_id") % 12).cast("int")})
+    order = Window.partitionBy("query_id").orderBy(F.desc("logit"), F.col("wanted") - F.col("grade"), "rerank")
+    return rows.where("grade <= wanted").select("query_id", "doc_id", "grade", F.row_number().over(order).alias("rank"))
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.when(F.col("doc_id") % 7 == 0, "support").otherwise("primary")
+    return rt.select_final(rerank_movement(spark, sf_dir).withColumn("source_role", role))
+
+
+@query(f"WITH {_FINAL} SELECT query_id, doc_id, logit, tier, reason, final_rank FROM final")
+def final_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selected(spark, sf_dir).select("query_id", "doc_id", "logit", "tier", "reason", "final_rank")
+
+
+@query(
+    f"""WITH {_FINAL}, kept AS (SELECT query_id, count(*) AS n, max(logit) AS top, sum(CASE WHEN logit >= 0 THEN 1 ELSE 0 END) AS strong, list_distinct(flatten(list(t))) AS t FROM final JOIN toks USING (doc_id) GROUP BY 1),
+    g AS (SELECT query_id, CAST(coalesce(n, 0) AS BIGINT) AS n, top, CAST(greatest(coalesce(strong, 0), CASE WHEN coalesce(n, 0) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS strong,
+      round(CASE WHEN len(q) > 0 AND n > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 6) AS overlap FROM qc LEFT JOIN kept USING (query_id))
+    SELECT *, n > 0 AND strong >= 1 AND overlap >= 0.15 AS sufficient, CASE WHEN NOT (n > 0 AND strong >= 1 AND overlap >= 0.15) THEN 'insufficient' WHEN top >= 4 AND strong >= 3 THEN 'high' WHEN top >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM g"""
+)
+def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.gate(_selected(spark, sf_dir), _questions(spark, sf_dir), _documents(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_LEXICAL}, rel AS (SELECT item_id AS query_id, doc_id, 1 AS gain FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    ideal AS (SELECT query_id, count(*) AS total, sum(CASE WHEN r <= 20 THEN 1 / log2(r + 1) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS r FROM rel) GROUP BY 1),
+    got AS (SELECT query_id, count(*) AS hits, max(1 / rank) AS rr, sum(1 / log2(rank + 1)) AS dcg FROM fused JOIN rel USING (query_id, doc_id) GROUP BY 1)
+    SELECT count(*) AS n_queries, round(avg(coalesce(hits / total, 0)), 4) AS recall, round(avg(coalesce(rr, 0)), 4) AS mrr, round(avg(coalesce(dcg / idcg, 0)), 4) AS ndcg FROM ideal LEFT JOIN got USING (query_id)"""
+)
+def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.broadcast(_questions(spark, sf_dir).select("query_id", F.col("text").alias("q")).limit(rt.QUERY_ROWS))
+    relevant = _documents(spark, sf_dir).join(q, F.contains("text", F.col("q"))).select("query_id", "doc_id", F.lit(1).alias("gain"))
+    return rt.ir_metrics(rrf_fusion(spark, sf_dir), relevant)
+
+
+# -- graph --------------------------------------------------------------------------------------------------------
+
+_GRAPH = (
+    _VOCAB
+    + """,
+hubs AS (SELECT concept FROM mentions GROUP BY 1 HAVING count(*) > 400),
+known AS (SELECT chunk_id, concept FROM mentions WHERE concept NOT IN (SELECT concept FROM hubs)),
+pages_of AS (SELECT chunk_id, document_id || printf(':p%04d', p) AS page_id FROM (SELECT chunk_id, document_id, unnest(range(page_start, page_end + 1)) AS p FROM chunks)),
+s AS (SELECT c.* FROM chunks c JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id) WHERE chunk_index = 0),
+paths0 AS (
+  SELECT s.chunk_id AS seed_id, 'SAME_SECTION' AS relation, c.chunk_id, CAST(NULL AS VARCHAR) AS via FROM s JOIN chunks c USING (section_id) WHERE c.chunk_id <> s.chunk_id
+  UNION SELECT s.chunk_id, 'ADJACENT', c.chunk_id, NULL FROM s JOIN chunks c ON c.document_id = s.document_id AND abs(c.chunk_index - s.chunk_index) = 1
+  UNION SELECT s.chunk_id, 'SAME_PAGE', b.chunk_id, b.page_id FROM s JOIN pages_of a USING (chunk_id) JOIN pages_of b ON a.page_id = b.page_id WHERE b.chunk_id <> s.chunk_id
+  UNION SELECT s.chunk_id, 'SHARED_CONCEPT', b.chunk_id, b.concept FROM s JOIN known a USING (chunk_id) JOIN known b ON a.concept = b.concept WHERE b.chunk_id <> s.chunk_id
+  UNION SELECT s.chunk_id, 'SAME_LESSON', c.chunk_id, NULL FROM s JOIN chunks c ON c.unit_id = s.unit_id AND c.section_title = s.section_title AND c.document_id <> s.document_id),
+paths AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id, relation ORDER BY chunk_id, via NULLS FIRST) AS INT) AS position FROM paths0) WHERE position <= 8),
+gs AS (SELECT chunk_id, round(sum(CASE relation WHEN 'SAME_SECTION' THEN 1.0 WHEN 'ADJACENT' THEN 0.9 WHEN 'SAME_PAGE' THEN 0.7 WHEN 'SHARED_CONCEPT' THEN 0.6 ELSE 0.5 END), 6) AS score, count(*) AS n_paths
+  FROM paths WHERE chunk_id NOT IN (SELECT seed_id FROM paths) GROUP BY 1)"""
+)
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.chunks(spark, sf_dir)
+    low = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    seeds = c.where("chunk_index = 0").join(low, "doc_id", "left_semi").select(F.col("chunk_id").alias("seed_id"))
+    m = _mentions(c)
+    hubs = m.groupBy("concept").agg(F.count("*").alias("n")).where("n > 400").select("concept")
+    return rt.expand(seeds, c, corpus.on_page(c), m.join(hubs, "concept", "left_anti").select("chunk_id", "concept"))
+
+
+@query(f"WITH {_GRAPH} SELECT seed_id, relation, chunk_id, via, position FROM paths")
+def expand_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("seed_id", "relation", "chunk_id", "via", "position")
+
+
+@query(f"WITH {_GRAPH} SELECT chunk_id, score, n_paths FROM gs")
+def graph_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.graph_scores(_paths(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_GRAPH}, chosen AS (SELECT chunk_id FROM gs WHERE score >= 1),
+    n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seed_id, relation, coalesce(via, '')) AS nth FROM paths)
+    SELECT seed_id, relation, chunk_id, via, CASE WHEN chunk_id IN (SELECT seed_id FROM paths) THEN 'SEED_NODE' WHEN chunk_id IN (SELECT chunk_id FROM chosen) AND nth = 1 THEN 'SELECTED_GRAPH_CANDIDATE'
+    WHEN chunk_id IN (SELECT chunk_id FROM chosen) THEN 'DUPLICATE_PATH' ELSE 'GRAPH_TOP_K_CUTOFF' END AS reason FROM n"""
+)
+def trace_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = _paths(spark, sf_dir)
+    return rt.trace_reasons(paths, rt.graph_scores(paths).where("score >= 1").select("chunk_id"))
+
+
+# -- events, inspection, store ------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT user_id, count(*) AS n_events, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors, round(sum(value), 4) AS total, "
+    "arg_max(event_type, row(ts, event_id)) AS last_event FROM events GROUP BY 1"
+)
+def event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.fold(table(spark, sf_dir, "events"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, round(max(value), 6) AS longest FROM events WHERE value > 0 GROUP BY 1")
+def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").where("value > 0")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.round(F.max("value"), 6).alias("longest"))
+
+
+@query("WITH r AS (SELECT user_id, max(row(ts, event_id)) AS latest, count(*) AS n_events FROM events GROUP BY 1) SELECT user_id, n_events FROM r ORDER BY latest DESC LIMIT 20")
+def recent_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("at"), F.count("*").alias("n_events"))
+    return rows.orderBy(F.desc("at")).limit(20).select("user_id", "n_events")
+
+
+@query("SELECT event_id, 'event: ' || event_type || chr(10) || 'data: ' || props || chr(10) || chr(10) AS frame FROM events")
+def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), "props", F.lit("\n\n")).alias("frame"))
+
+
+@query()
+def stream_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = f"fold_{uuid.uuid4().hex}"
+    run = ev.fold_stream(spark, sf_dir).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).groupBy("user_id").agg(F.max_by(F.struct("n_events", "n_errors", "total", "last_event"), "n_events").alias("r")).select("user_id", "r.*")
+
+
+@query(f"WITH {_CHUNKS} SELECT grade, subject, count(DISTINCT unit_id) AS units, count(DISTINCT document_id) AS documents, count(*) AS n_chunks FROM chunks GROUP BY 1, 2")
+def coverage_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.chunks(spark, sf_dir).groupBy("grade", "subject").agg(
+        F.countDistinct("unit_id").alias("units"), F.countDistinct("document_id").alias("documents"), F.count("*").alias("n_chunks")
+    )
+
+
+@query("SELECT count(*) AS total, count(embedding) AS present, sum(CASE WHEN len(embedding) = 64 THEN 1 ELSE 0 END)::BIGINT AS current FROM embeddings")
+def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").agg(F.count("*").alias("total"), F.count("embedding").alias("present"), F.sum((F.size("embedding") == 64).cast("long")).alias("current"))
+
+
+@query("SELECT source, lang, count(*) AS n, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) AS chars FROM documents GROUP BY 1, 2")
+def source_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"))
+
+
+@query(f"WITH {_CHUNKS} SELECT unit_id, count(DISTINCT document_id) AS documents, count(DISTINCT section_id) AS sections, count(*) AS n_chunks FROM chunks GROUP BY 1")
+def unit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.chunks(spark, sf_dir).groupBy("unit_id").agg(F.countDistinct("document_id").alias("documents"), F.countDistinct("section_id").alias("sections"), F.count("*").alias("n_chunks"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def orphan_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query(
+    "SELECT r_name, n_name, c_mktsegment, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM region JOIN nation ON r_regionkey = n_regionkey "
+    "JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2, 3"
+)
+def lineage_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda n: table(spark, sf_dir, n)
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("r_name", "n_name", "c_mktsegment").agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("SELECT n_name, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1")
+def optional_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return joined.groupBy("n_name").agg(F.count("s_suppkey").alias("suppliers"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3"
+)
+def top_lines_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.row_number().over(order).alias("rank"))
+    return rows.where(F.col("rank") <= 3)
+
+
+@query("SELECT d.doc_id, md5(text) AS digest FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)")
+def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return table(spark, sf_dir, "documents").join(done, "doc_id", "left_anti").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query(
+    "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
+)
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return rows
