@@ -1,7 +1,7 @@
 """Training-order materialisation: a keyed Feistel permutation gives every sequence a global slot.
 
-Texts become sequences of at most ``LENGTH`` token ids, each text closed by id 0. A first pass
-counts the sequences of each input partition; their running sum gives every sequence an ordinal
+Texts become sequences of at most ``LENGTH`` token ids, each text closed by id 0. A first pass stores
+the ids and counts the sequences of each input partition; their running sum gives every sequence an ordinal
 below N. A Feistel network over the next even power of two, walked along its cycle until it lands
 below N, maps ordinals to slots one to one, with no table of the permutation. Slots are grouped by
 range into blocks, and each block is stored as one run of fixed-stride records, so a reader finds
@@ -14,15 +14,13 @@ missing; repeated rows each give sequences; extra columns are ignored; an empty
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import bind, shared_folder, stored, table
 from .tokens import default_vocabulary, tokenizer
 
 LENGTH = 1024
@@ -52,54 +50,53 @@ def feistel(at: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[tuple[object, bytes]]:
-    """(key, ids) of each text of a partition, closed by id 0."""
-    encode = tokenizer(vocabulary).ids
-    for batch in batches:
-        for key, text in zip(batch["_key"].tolist(), batch["_text"].tolist(), strict=True):
-            yield key, encode(text) + b"\0\0"
+def tokenised(docs: DataFrame, vocabulary: str, id_column: str, text: str) -> DataFrame:
+    """part, at, n, _key, ids: each text's ids closed by id 0, its n sequences, and how many its partition has before it."""
+    rows = docs.select(F.coalesce(F.col(id_column), F.lit(NO_KEY)).alias("_key"), F.col(text).alias("_text"))
 
+    def encode(batches):
+        ids_of, part, at = tokenizer(vocabulary).ids, TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids = [ids_of(t) + b"\0\0" for t in batch["_text"].tolist()]
+            n = np.array([-(-len(x) // (2 * LENGTH)) for x in ids], dtype=np.int64)
+            yield pd.DataFrame({"part": part, "at": at + n.cumsum() - n, "n": n, "_key": batch["_key"], "ids": ids})
+            at += int(n.sum())
 
-def materialise(docs: DataFrame, path: str, key: int = 2024, vocabulary: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes blocks of records in training order below ``path``; returns block, n, payload as read again."""
-    vocabulary = vocabulary or default_vocabulary()
-    rows = docs.select(F.coalesce(F.col(id_column), F.lit(NO_KEY)).alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInPandas(encode, "part int, at long, n long, _key long, ids binary")
 
-    def count(batches):
-        n = sum(-(-len(ids) // (2 * LENGTH)) for _, ids in sequences(batches, vocabulary))
-        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [n]})
 
-    counts = sorted((r["part"], r["n"]) for r in rows.mapInPandas(count, "part int, n long").where("n > 0").collect())
+def materialise(docs: DataFrame, path: str, key: int = 2024, vocabulary: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes blocks of records in training order below ``path``; returns block, n, payload as read again."""
+    whole = stored(tokenised(docs, vocabulary or default_vocabulary(), id_column, text), "ids", compression="zstd")
     first, total = {}, 0
-    for part, n in counts:
-        first[part], total = total, total + n
+    for r in sorted(whole.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row for each input partition
+        first[r["part"]], total = total, total + r["n"]
 
     def place(batches):
-        at, keys, records = first.get(TaskContext.get().partitionId(), 0), [], []
-
-        def out():
-            slots = feistel(np.arange(at - len(records), at), total, key)
-            return pd.DataFrame({"block": slots // PER_BLOCK, "slot": slots, "record": records})
-
-        for key_, ids in sequences(batches, vocabulary):
-            for start in range(0, len(ids), 2 * LENGTH):
-                piece = ids[start : start + 2 * LENGTH]
-                head = int(key_).to_bytes(8, "big", signed=True) + (start // 2).to_bytes(4, "big") + (len(piece) // 2).to_bytes(4, "big")
-                records.append(head + piece.ljust(2 * LENGTH, b"\0"))
-                at += 1
-            if len(records) >= 2048:
-                yield out()
-                records.clear()
-        if records:
-            yield out()
+        for batch in batches:
+            ordinals, records = [], []
+            for part, at, key_, ids in zip(*(batch[c].tolist() for c in ("part", "at", "_key", "ids")), strict=True):
+                for i, start in enumerate(range(0, len(ids), 2 * LENGTH)):
+                    piece = ids[start : start + 2 * LENGTH]
+                    head = int(key_).to_bytes(8, "big", signed=True) + (start // 2).to_bytes(4, "big") + (len(piece) // 2).to_bytes(4, "big")
+                    records.append(head + piece)
+                    ordinals.append(first[part] + at + i)
+                if len(records) >= 4096:
+                    yield framed(ordinals, records)
+                    ordinals, records = [], []
+            yield framed(ordinals, records)
+
+    def framed(ordinals, records):
+        slots = feistel(np.array(ordinals, dtype=np.int64), total, key)
+        return pd.DataFrame({"block": slots // PER_BLOCK, "slot": slots, "record": records})
 
     def join(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("slot")
-        return pd.DataFrame({"block": block["block"].iloc[:1], "n": [len(block)], "payload": [b"".join(block["record"])]})
+        return pd.DataFrame({"block": block["block"].iloc[:1], "n": [len(block)], "payload": [b"".join(x.ljust(STRIDE, b"\0") for x in block["record"])]})
 
-    placed = rows.mapInPandas(place, "block long, slot long, record binary")
+    placed = whole.mapInPandas(place, "block long, slot long, record binary")
     blocks = placed.groupBy("block").applyInPandas(join, "block long, n int, payload binary")
-    blocks.write.parquet(path)
+    blocks.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(blocks.schema).parquet(path)
 
 
@@ -108,7 +105,9 @@ def read_slots(blocks: DataFrame, first: int = 0, last: int | None = None) -> Da
     some = blocks.where(F.col("block") >= first // PER_BLOCK)
     if last is not None:
         some = some.where(F.col("block") <= (last - 1) // PER_BLOCK)
-    each = some.select("block", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring("payload", i * STRIDE + 1, F.lit(STRIDE)))).alias("i", "r"))
+    # bound, as each use of a binary column inside a lambda would copy the whole payload
+    records = bind(F.col("payload"), lambda p: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(p, i * STRIDE + 1, F.lit(STRIDE))))
+    each = some.select("block", F.posexplode(records).alias("i", "r"))
     number = lambda a, n: F.conv(F.hex(F.substring("r", a, n)), 16, -10).cast("long")
     out = each.select(
         (F.col("block") * PER_BLOCK + F.col("i")).alias("slot"),
