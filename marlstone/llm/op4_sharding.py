@@ -34,7 +34,8 @@ def in_buckets(docs: DataFrame, buckets: int, seed: int, key: str) -> DataFrame:
 
 
 def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 17, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``."""
+    """``docs`` with ``shard`` and ``slot``; columns of these names are replaced."""
+    docs = docs.drop("shard", "slot", "_bucket", "_first")
     if buckets is None:
         total = docs.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
         buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
