@@ -76,13 +76,19 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, float]:
         return [], np.zeros((PLACES, 0), np.float32), 1.0
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761) % (1 << 32))
     langs = sorted({r["lang"] for r in rows})
-    x = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :PLACES].astype(np.float32)
-    x /= np.sqrt(x.sum(axis=1, keepdims=True))
+    packed = np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1)
+
+    def unit(at) -> np.ndarray:
+        x = np.unpackbits(packed[at], axis=1)[:, :PLACES].astype(np.float32)
+        return x / np.sqrt(x.sum(axis=1, keepdims=True))
+
     y = np.array([[1.0 if r["lang"] == g else 0.0 for g in langs] for r in rows])
     chosen = [i for g in range(len(langs)) for i in np.flatnonzero(y[:, g])[: max(1, LANDMARKS // len(langs))]]
-    near, inner = (x @ x[chosen].T).astype(np.float64), (x[chosen] @ x[chosen].T).astype(np.float64)
+    marks = unit(chosen)
+    near = np.concatenate([unit(slice(i, i + 128)) @ marks.T for i in range(0, len(rows), 128)]).astype(np.float64)
+    inner = (marks @ marks.T).astype(np.float64)
     weights = np.linalg.solve(near.T @ near + RIDGE * inner + 1e-6 * np.eye(len(chosen)), near.T @ y)
-    folded = (x[chosen].T @ weights.astype(np.float32)).astype(np.float32)
+    folded = (marks.T @ weights.astype(np.float32)).astype(np.float32)
     raw, truth = near @ weights, y.argmax(axis=1)
 
     def loss(k: float) -> float:
