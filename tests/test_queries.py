@@ -1,6 +1,7 @@
 """Every query against its SQL in another engine, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from marlstone.plans.queries import QUERIES, SQL
@@ -10,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "~"
         return f"{float(v):.5f}" if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
 
