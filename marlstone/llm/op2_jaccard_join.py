@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, stored, table, words
+from .common import bind, small, stored, table, words
 from .graph import components
 
 WIDTH, SIMILAR = 5, 0.8
@@ -200,11 +200,20 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out + total + total.T
 
 
-def verified(members: DataFrame) -> DataFrame:
-    """rep, links, root: exact comparison of (component, rep, copies, n, s) inside each component's block pairs."""
+def with_blocks(members: DataFrame) -> DataFrame:
+    """(component, rep, copies, n) with ``blocks``, into how many its component is split.
+
+    Only components of several blocks are joined, so that no task gets a large component whole.
+    """
     # n counts shingles: the blocks of a component hold about as many each
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).alias("blocks"))
-    rows = in_blocks(members.join(sizes, "component"), "component", F.col("blocks"))
+    large = small(stored(sizes.where("blocks > 1"), "blocks"))
+    return members.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+
+
+def verified(members: DataFrame) -> DataFrame:
+    """rep, links, root: exact comparison of (component, rep, copies, blocks, s) inside each component's block pairs."""
+    rows = in_blocks(members, "component", F.col("blocks"))
     groups = rows.groupBy("component", "x", "y").agg(F.collect_list(F.struct("rep", "copies", "own", "s")).alias("m")).select("x", "y", "m")
 
     def compare(batches):
@@ -238,9 +247,10 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     reps = stored(classes(rows), "classes")
     near = components(candidate_links(reps))
     members = near.join(reps.select("rep", "copies", "n"), near["node"] == F.col("rep")).select("rep", "copies", "n", F.col("root").alias("component"))
+    members = with_blocks(stored(members, "members"))
     texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text"))
     # a key that repeats has one text here, that of its representative's words
-    whole = texts.join(members.hint("shuffle_hash"), "rep").select("component", "rep", "copies", "n", shingles(F.col("_text")).alias("s"))
+    whole = texts.join(members.hint("shuffle_hash"), "rep").select("component", "rep", "copies", "blocks", shingles(F.col("_text")).alias("s"))
     exact = stored(verified(whole.dropDuplicates(["component", "rep"])), "verified")
     counted = exact.groupBy("rep").agg(F.sum("links").alias("links"))
     final = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b")))
