@@ -10,7 +10,7 @@ Bounds: at most ``SAMPLE`` labelled texts by order of a hash of their key, and `
 every language that has so many; at most ``LANGUAGES`` languages. Every text is then scored whole.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows are scored alone, so
-repeated ones score alike; extra columns are ignored; without labels every text is ``und``.
+repeated ones score alike; a row without a key is scored but not learnt from; extra columns are ignored; without labels every text is ``und``.
 """
 
 from __future__ import annotations
@@ -51,15 +51,17 @@ def presence(text: str) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame) -> DataFrame:
     """doc_id, text, lang: the bounded sample to learn from."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~is_held_out(F.col("doc_id"), FOLDS, HELD_OUT))
-    known = known.withColumn("_order", F.xxhash64(F.lit(6), "doc_id"))
-    mixed = known.orderBy("_order", "doc_id").limit(SAMPLE)
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~is_held_out(F.col("doc_id"), FOLDS, HELD_OUT))
+    # keys are chosen first, so that no text goes to the task that takes the least
+    known = usable.select("doc_id", "lang", F.xxhash64(F.lit(6), "doc_id").alias("_order"))
+    first = lambda rows, n: rows.orderBy("_order", "doc_id").limit(n).select("doc_id")
+    picked = first(known, SAMPLE)
     counts = docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     total = sum(r["count"] for r in counts)
-    out = mixed
     for r in counts:
         if SAMPLE * r["count"] < 2 * PER_LANGUAGE * total:  # the mixed sample may hold too few of it
-            out = out.unionByName(known.where(F.col("lang") == r["lang"]).orderBy("_order", "doc_id").limit(PER_LANGUAGE))
+            picked = picked.unionByName(first(known.where(F.col("lang") == r["lang"]), PER_LANGUAGE))
+    out = usable.join(F.broadcast(picked.distinct()), "doc_id")  # at most SAMPLE + LANGUAGES * PER_LANGUAGE keys
     return out.dropDuplicates(["doc_id"]).select("doc_id", "text", "lang")
 
 
