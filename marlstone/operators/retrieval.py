@@ -178,3 +178,15 @@ def ir_metrics(results: DataFrame, relevant: DataFrame, key: str = "doc_id", k:
         F.round(F.avg(zero(F.col("rr"))), 4).alias("mrr"),
         F.round(F.avg(zero(F.col("dcg") / F.col("idcg"))), 4).alias("ndcg"),
     )
+
+
+def hashed_embeddings(docs: DataFrame, key: str = "doc_id", dims: int = 64) -> DataFrame:
+    """key, dim, value: signed feature hashing of the tokens to ``dims`` places, of length one; places of zero are left out.
+
+    Counts are combined before the shuffle, so at most ``dims`` rows a document leave a task.
+    """
+    h = F.conv(F.substring(F.md5("t"), 1, 4), 16, 10).cast("int")
+    each = docs.select(key, F.explode(tokens(F.col("text"))).alias("t")).select(key, (h % dims).alias("dim"), F.when(F.floor(h / dims) % 2 == 0, 1).otherwise(-1).alias("sign"))
+    rows = each.groupBy(key, "dim").agg(F.sum("sign").alias("v")).where("v <> 0")
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
+    return rows.select(key, "dim", F.round(F.col("v") / norm, 6).alias("value"))

@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import answers as an
+from marlstone.functions import concepts as cn
 from marlstone.functions import partitions as rules
 from marlstone.functions import text as tx
 from marlstone.functions.scope import Scope
+from marlstone.operators import chunking as ck
 from marlstone.operators import retrieval as rt
 from marlstone.session import table
 from marlstone.sources import corpus
@@ -590,3 +593,160 @@ def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
     return rows
+
+
+# -- titles, answers, evidence, chunk packing, purge ---------------------------------------------------------------
+
+
+def _in(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_CONCEPTS = (
+    _CHUNKS
+    + rf""",
+titles AS (SELECT DISTINCT section_title FROM chunks),
+cleaned AS (SELECT section_title, trim(regexp_replace(section_title, '\s+', ' ', 'g')) AS flat, trim(regexp_replace(regexp_replace(section_title, '{cn.PREFIX}', ''), '\s+', ' ', 'g')) AS cut FROM titles),
+pieces AS (SELECT section_title, unnest(list_concat([clean], regexp_split_to_array(clean, '{cn.SEPARATOR}'))) AS raw FROM (SELECT section_title, CASE WHEN cut = '' THEN flat ELSE cut END AS clean FROM cleaned)),
+phrases AS (SELECT DISTINCT section_title, regexp_replace(raw, '{cn.EDGES}', '', 'g') AS phrase FROM pieces),
+plain AS (SELECT section_title, phrase, trim(regexp_replace(lower(trim(regexp_replace(regexp_replace(replace(phrase, '-', ' '), '{cn.PUNCTUATION}', ' ', 'g'), '\s+', ' ', 'g'))), '^(?:the|a|an)\s+', '')) AS p FROM phrases WHERE phrase <> ''),
+singular AS (SELECT section_title, phrase, CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN regexp_replace(p, 'ies$', 'y')
+  WHEN length(w) > 4 AND ends_with(w, 's') AND NOT regexp_matches(w, '{cn.NOT_PLURAL}') THEN regexp_replace(p, 's$', '') ELSE p END AS concept
+  FROM (SELECT *, regexp_extract(p, '(\S+)$', 1) AS w FROM plain)),
+split_ AS (SELECT *, string_split(concept, ' ') AS ws FROM singular),
+title_concepts AS (SELECT DISTINCT section_title, concept FROM split_ WHERE length(phrase) >= {cn.MIN_CHARS} AND length(concept) >= {cn.MIN_CHARS} AND regexp_matches(phrase, '\p{{L}}')
+  AND NOT regexp_matches(phrase, '{cn.STRUCTURE}') AND NOT list_contains({_in(cn.BLOCKED_PHRASES)}, concept) AND NOT list_contains({_in(cn.BLOCKED_PHRASES)}, lower(phrase))
+  AND len(ws) <= {cn.MAX_WORDS} AND len(list_filter(ws, lambda x: NOT list_contains({_in(cn.STOP_WORDS)}, x))) > 0
+  AND len(list_filter(ws, lambda x: regexp_matches(x, '{cn.CODE}'))) = 0 AND NOT regexp_matches(ws[1], '{cn.SHORT}')
+  AND 2 * len(list_filter(ws, lambda x: regexp_matches(x, '{cn.SHORT}'))) < len(ws)
+  AND (len(ws) > 1 OR (length(concept) >= 5 AND NOT list_contains({_in(cn.BLOCKED_WORDS + cn.STOP_WORDS)}, concept))))"""
+)
+
+
+def _title_concepts(chunk_rows: DataFrame) -> DataFrame:
+    each = chunk_rows.select("section_title").distinct().select("section_title", F.explode(cn.title_pieces(F.col("section_title"))).alias("phrase"))
+    each = each.withColumn("concept", cn.normal_form(F.col("phrase")))
+    return each.where(cn.is_concept(F.col("phrase"), F.col("concept"))).select("section_title", "concept").distinct()
+
+
+@query(f"WITH {_CONCEPTS} SELECT section_title, concept FROM title_concepts")
+def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _title_concepts(corpus.chunks(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_CONCEPTS} SELECT concept, count(*) AS support FROM title_concepts GROUP BY 1
+    HAVING count(*) >= CASE WHEN contains(concept, ' ') THEN 1 ELSE 2 END"""
+)
+def phrase_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _title_concepts(corpus.chunks(spark, sf_dir)).groupBy("concept").agg(F.count("*").alias("support"))
+    return counted.where(F.col("concept").contains(" ") | (F.col("support") >= 2))
+
+
+@query(
+    rf"""WITH n AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), c AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) AS k FROM n)
+    SELECT conv_id, turn, CAST(k AS INT) AS n_words, regexp_matches(t, '{_q(an.LEAK)}') AS leaks, regexp_matches(t, '{_q(an.REVEALS)}') AS reveals,
+    {", ".join(f"k <= {n} AS fits_{s}" for s, n in an.WORD_LIMITS.items())} FROM c"""
+)
+def answer_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
+    flags = [an.within_limit(F.col("t"), s).alias(f"fits_{s}") for s in an.WORD_LIMITS]
+    return rows.select(
+        "conv_id", "turn", an.word_count(F.col("t")).alias("n_words"), F.regexp_like("t", F.lit(an.LEAK)).alias("leaks"), F.regexp_like("t", F.lit(an.REVEALS)).alias("reveals"), *flags
+    )
+
+
+_PAIRS = (
+    "p AS (SELECT conv_id, turn, coalesce(text, '') AS t, coalesce(lead(text) OVER w, '') AS n, coalesce(lag(text) OVER w, '') AS b "
+    "FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+)
+_LONG = "list_distinct(regexp_extract_all(lower({}), '[a-z]{{4,}}'))"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", text(F.col("text")).alias("t"), text(F.lead("text").over(w)).alias("n"), text(F.lag("text").over(w)).alias("b")
+    )
+
+
+@query(
+    rf"""WITH {_PAIRS} SELECT conv_id, turn, t <> '' AND NOT contains(t, '?') AND ends_with(n, '?') AND length(n) - length(replace(n, '?', '')) = 1
+    {" ".join(f"AND NOT regexp_matches({c}, '{_q(p)}')" for c in "tn" for p in (an.STEPS, an.LEAK, an.REVEALS))}
+    AND len(list_filter(regexp_split_to_array(t || ' ' || n, '\s+'), lambda w: w <> '')) <= 90 AS hint_ok FROM p"""
+)
+def hint_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("conv_id", "turn", an.hint_ok(F.col("t"), F.col("n")).alias("hint_ok"))
+
+
+@query(
+    f"""WITH {_PAIRS}, o AS (SELECT *, len(list_intersect({_LONG.format("t")}, {_LONG.format("b")})) AS k FROM p)
+    SELECT conv_id, turn, CAST(k AS INT) AS shared_words, k > 0 AND NOT regexp_matches(t, '{_q(an.DECLINE_ANSWERS)}') AS decline_ok FROM o"""
+)
+def turn_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("conv_id", "turn", an.overlap(F.col("t"), F.col("b")).alias("shared_words"), an.decline_ok(F.col("t"), F.col("b")).alias("decline_ok"))
+
+
+@query(
+    rf"""WITH {_CHUNKS}, f AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM chunks)
+    SELECT chunk_id, CASE WHEN page_end = page_start THEN page_start::VARCHAR ELSE page_start || '-' || page_end END AS pages,
+    CASE WHEN length(flat) <= 160 THEN flat ELSE flat[1:157] || '...' END AS preview,
+    CASE WHEN length(flat) <= 1000 THEN flat ELSE regexp_replace(flat[1:1000], ' [^ ]*$', '') || ' ...' END AS evidence FROM f"""
+)
+def evidence_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return corpus.chunks(spark, sf_dir).select(
+        "chunk_id", an.page_range(F.col("page_start"), F.col("page_end")).alias("pages"), an.preview(text).alias("preview"), an.evidence_text(text).alias("evidence")
+    )
+
+
+@query()
+def packed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ck.packed_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Documents of sources that contain one of these are purged.
+PURGED = ("src1", "src7")
+_PURGED = "(" + " OR ".join(f"contains(lower(coalesce(source, '')), '{x}')" for x in PURGED) + ")"
+
+
+@query(
+    f"""WITH {_LINEAGE} SELECT grade, subject, count(*) AS n_documents, CAST(sum(CASE WHEN {_PURGED} THEN 1 ELSE 0 END) AS BIGINT) AS n_purged,
+    count(DISTINCT CASE WHEN NOT {_PURGED} THEN unit_id END) AS n_units_left, count(DISTINCT unit_id) - count(DISTINCT CASE WHEN NOT {_PURGED} THEN unit_id END) AS n_units_orphaned,
+    bool_and({_PURGED}) AS orphan FROM lineage GROUP BY 1, 2"""
+)
+def source_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left when the named sources go: units, then subjects and grades, without documents are orphans."""
+    docs = corpus.with_lineage(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    name = F.lower(F.coalesce("source", F.lit("")))
+    gone = name.contains(PURGED[0]) | name.contains(PURGED[1])
+    units = docs.groupBy("grade", "subject", "unit_id").agg(F.count("*").alias("n"), F.sum(gone.cast("long")).alias("p"))
+    left = (F.col("p") < F.col("n")).cast("long")
+    return units.groupBy("grade", "subject").agg(
+        F.sum("n").alias("n_documents"), F.sum("p").alias("n_purged"), F.sum(left).alias("n_units_left"), F.sum(1 - left).alias("n_units_orphaned"), (F.sum(left) == 0).alias("orphan")
+    )
+
+
+@query(
+    f"""WITH {_CHUNKS} SELECT source, count(DISTINCT document_id) AS n_documents, count(DISTINCT section_id) AS n_sections, count(*) AS n_chunks,
+    CAST(sum(page_end - page_start + 1) AS BIGINT) AS n_page_edges FROM chunks GROUP BY 1"""
+)
+def source_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = corpus.chunks(spark, sf_dir).groupBy("source", "document_id").agg(
+        F.countDistinct("section_id").alias("s"), F.count("*").alias("c"), F.sum(F.col("page_end") - F.col("page_start") + 1).alias("e")
+    )
+    return per.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("s").alias("n_sections"), F.sum("c").alias("n_chunks"), F.sum("e").alias("n_page_edges"))
+
+
+_HEX = "CAST('0x' || substring(md5(t), 1, 4) AS INT)"
+
+
+@query(
+    f"""WITH e AS (SELECT doc_id, unnest({_TOK}) AS t FROM documents),
+    d AS (SELECT doc_id, CAST({_HEX} % 64 AS INT) AS dim, CAST(sum(CASE WHEN ({_HEX} // 64) % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS v FROM e GROUP BY 1, 2)
+    SELECT doc_id, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM d WHERE v <> 0"""
+)
+def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rt.hashed_embeddings(docs)
