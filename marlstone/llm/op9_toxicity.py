@@ -30,6 +30,8 @@ from .common import is_held_out, stored, table
 
 SAMPLE, TERMS, MIN_DF, CHI_SQUARE = 3000, 2000, 8, 30.0
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks of greatest bound that are read before the others are held against the last place.
+FIRST = 2
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 WORD = re.compile(r"[^\W_]+")
 
@@ -54,14 +56,14 @@ class Index:
         self.labels = np.array(labels, dtype=bool)
         self.weight = np.where(self.labels, 1.0, ratio)
         order = sorted(range(len(examples)), key=lambda i: sorted(examples[i]))  # alike examples share blocks
-        self.order = np.array(order, dtype=np.int64)
-        self.matrix = np.zeros((len(examples), terms), dtype=np.float32)
+        count = -(-len(order) // BLOCK)
+        self.order = np.array(order + [-1] * (count * BLOCK - len(order)), dtype=np.int64).reshape(count, BLOCK)
+        postings = np.zeros((terms, count * BLOCK), dtype=np.float32)
         for row, i in enumerate(order):
             for t, v in self.vector(examples[i]).items():
-                self.matrix[row, t] = v
-        blocks = range(0, len(order), BLOCK)
-        self.postings = [self.matrix[a : a + BLOCK] for a in blocks]
-        self.greatest = np.array([p.max(axis=0) for p in self.postings]) if len(order) else np.zeros((0, terms), np.float32)
+                postings[t, row] = v
+        self.postings = postings.reshape(terms, count, BLOCK)
+        self.greatest = self.postings.max(axis=2) if count else np.zeros((terms, 0), np.float32)
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
         raw = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
@@ -72,18 +74,30 @@ class Index:
         """(cosine, example) of the nearest, best first; ``without`` leaves one example out."""
         q = self.vector(counts)
         at, w = np.fromiter(q, np.int64), np.fromiter(q.values(), np.float32)
-        bound = self.greatest[:, at] @ w
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if len(best) == NEIGHBOURS and bound[b] + 1e-6 < best[-1][0]:
-                break
-            if bound[b] <= 0:
-                break
-            found = self.postings[b][:, at] @ w
-            rows = b * BLOCK + np.arange(len(found))
-            best += [(float(s), int(self.order[r])) for s, r in zip(found, rows, strict=True) if s > 0 and self.order[r] != without]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:NEIGHBOURS]
-        return best
+        bound = w @ self.greatest[at]
+        ranked = np.argsort(-bound, kind="stable")
+        ranked = ranked[bound[ranked] > 0]
+        scores, examples = self.read(ranked[:FIRST], at, w, without)
+        if len(ranked) > FIRST:
+            least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if len(scores) >= NEIGHBOURS else 0.0
+            rest = ranked[FIRST:]
+            more = self.read(rest[bound[rest] + 1e-6 >= least], at, w, without)
+            scores, examples = np.concatenate([scores, more[0]]), np.concatenate([examples, more[1]])
+        best = np.lexsort((examples, -scores))[:NEIGHBOURS]
+        return [(float(scores[i]), int(examples[i])) for i in best]
+
+    def read(self, blocks: np.ndarray, at: np.ndarray, w: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines above 0 in some blocks, and their examples; terms add up in one order, so alike examples tie."""
+        total = np.zeros((len(blocks), BLOCK), dtype=np.float32)
+        for t, x in zip(at, w, strict=True):
+            total += x * self.postings[t, blocks]
+        examples = self.order[blocks]
+        keep = (total > 0) & (examples != without)
+        scores, examples = total[keep], examples[keep]
+        if len(scores) > NEIGHBOURS:  # only what reaches the last place among these, ties included
+            top = scores >= np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS]
+            scores, examples = scores[top], examples[top]
+        return scores, examples
 
     def vote(self, near: list[tuple[float, int]], by_example: np.ndarray, weights: np.ndarray) -> float:
         total = sum(s * weights[i] for s, i in near)
