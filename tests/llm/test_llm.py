@@ -238,3 +238,21 @@ def test_pipeline(spark, sf_dir, odd, none, docs):
         for name, stage in cp.STAGES[:-1]:
             rows = stage(spark, rows, sf_dir)
             assert tuple(rows.columns) == cp.COLUMNS, name
+
+
+def test_nearest_examples_equal_brute_force():
+    import random
+
+    from marlstone.llm.op9_toxicity import NEIGHBOURS, Index
+
+    rng = random.Random(1)
+    examples = [{rng.randrange(200): rng.randint(1, 3) for _ in range(rng.randint(1, 8))} for _ in range(1000)]
+    index = Index(examples, [rng.randint(0, 1) for _ in examples], 200, 2.0)
+    vectors = [index.vector(e) for e in examples]
+    for k in range(0, 1000, 10):
+        q = vectors[k]
+        every = sorted((sum(x * v.get(t, 0.0) for t, x in q.items()) for j, v in enumerate(vectors) if j != k), reverse=True)
+        want = [s for s in every if s > 0][:NEIGHBOURS]
+        got = index.nearest(examples[k], k)
+        assert len(got) == len(want) and all(abs(a[0] - b) < 1e-5 for a, b in zip(got, want, strict=True))
+        assert k not in [e for _, e in got]
