@@ -1,10 +1,15 @@
 """Lexical retrieval packing: a sharded BM25 index returns unused neighbours, which fill a seed's window.
 
 Each text becomes token ids closed by id 0. Stretches of a full window stand alone; what is left of
-each text, its tail, is packed. Tails are dealt to index shards by hash, so shards are of equal
-size whatever the keys are. A shard builds a BM25 inverted index over its tails, takes the first unused
-tail as seed, and appends the best-scoring unused neighbours until the window is full; the last one
-is cut, and its rest is the next seed. Only the last window of a shard has padding.
+each text, its tail, is packed. Document frequencies and the mean length are those of all tails. A tail's two
+most telling ids that any other tail has name its group; groups are put together to shards of at most about
+``SHARD_DOCS`` tails, and larger groups are dealt by the second id, copies beyond that by row. A shard builds a BM25
+inverted index over its tails, takes the first unused tail as seed, ranks all unused ones by all of the
+seed's ids, and appends them, best first, until the window is full; the last one is cut, and its rest is the next seed.
+Only the last window of a shard has padding.
+
+Bound: a seed is held against its own shard, so related tails of which neither telling id leads to
+that shard are not reached.
 
 Defined results: a null text is an empty one and gives the single id 0; repeated rows are each
 packed; ties in score go to the earlier key; extra columns are ignored; an empty table gives none. A
@@ -18,51 +23,76 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .tokens import default_vocabulary, tokenizer
 
 WINDOW = 1024
 SHARD_DOCS = 2048
-QUERY_TERMS = 24
+IDS = 1 << 16
 K1, B = 1.2, 0.75
 NO_KEY = -(1 << 63)
 
-PIECES = "shard int, doc_id long, row long, start long, doc_tokens long, ids binary"
+PIECES = "doc_id long, row long, salt long, start long, doc_tokens long, ids binary"
+ROUTED = "shard int, doc_id long, row long, start long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+class Stats:
+    """Number and mean length of all tails, and how many of them have each id."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, max(1.0, mean), df
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        self.shared = np.where(df > 1, self.idf, 0.0)
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Stats:
+        df = np.zeros(IDS, dtype=np.int64)
+        for d in docs:
+            df[np.unique(d)] += 1
+        return cls(len(docs), float(np.mean([len(d) for d in docs])) if docs else 1.0, df)
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / self.mean))
+
+    def telling(self, doc: np.ndarray) -> tuple[int, int]:
+        """The two ids of greatest weight that another tail has as well; -1 for none."""
+        terms, tf = np.unique(doc, return_counts=True)
+        w = self.shared[terms] * (tf / (tf + K1 * (1 - B + B * len(doc) / self.mean)))
+        i = int(w.argmax())
+        if w[i] <= 0:
+            return -1, -1
+        w[i] = 0
+        j = int(w.argmax())
+        return int(terms[i]), int(terms[j]) if w[j] > 0 else -1
+
+
 class Bm25:
-    """Inverted index over one shard's token arrays."""
+    """Inverted index over one shard's token arrays, weighted by the statistics of all tails."""
 
-    def __init__(self, docs: list[np.ndarray]):
-        n = len(docs)
+    def __init__(self, docs: list[np.ndarray], stats: Stats):
+        self.n = n = len(docs)
         sizes = np.array([len(d) for d in docs], dtype=np.float64)
         pairs = np.concatenate([d.astype(np.int64) + (i << 32) for i, d in enumerate(docs)]) if n else np.zeros(0, np.int64)
         pairs, tf = np.unique(pairs, return_counts=True)
         doc, term = pairs >> 32, pairs & 0xFFFFFFFF
         order = np.argsort(term, kind="stable")
-        self.doc, tf = doc[order], tf[order]
-        self.terms, self.first, df = np.unique(term[order], return_index=True, return_counts=True)
+        self.doc, term, tf = doc[order], term[order], tf[order]
+        self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
         self.last = self.first + df
-        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * sizes / max(1.0, sizes.mean() if n else 1.0))
-        self.weight = np.repeat(self.idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.n = n
+        self.weight = stats.weights(term, tf, sizes[self.doc])
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        """BM25 of every text for the query's most telling terms."""
-        at = np.searchsorted(self.terms, np.unique(query))
-        if len(at) > QUERY_TERMS:
-            at = at[np.argpartition(-self.idf[at], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.first[i], self.last[i]) for i in at]
+        """BM25 of every text for all ids of the query, which is one of the texts."""
+        spans = [slice(self.first[i], self.last[i]) for i in np.searchsorted(self.terms, np.unique(query))]
         if not spans:
             return np.zeros(self.n)
         return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
 
-def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+def fill(docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None = None) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (text, from, to), which together hold every id once."""
-    index, unused = Bm25(docs), np.ones(len(docs), dtype=bool)
+    index, unused = Bm25(docs, stats or Stats.of(docs)), np.ones(len(docs), dtype=bool)
     out: list[list[tuple[int, int, int]]] = []
     at, rest = 0, None
     while True:
@@ -77,31 +107,20 @@ def fill(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, i
         parts, room = [(seed, start, start + taken)], window - taken
         rest = (seed, start + taken) if start + taken < len(docs[seed]) else None
         if room:
-            scores = np.where(unused, index.scores(docs[seed]), -1.0)
-            top = np.argpartition(-scores, min(64, len(docs) - 1))[: min(64, len(docs))]
-            for i in top[np.lexsort((top, -scores[top]))]:
-                if not room or scores[i] < 0:
+            scores, left = index.scores(docs[seed]), np.flatnonzero(unused)
+            for i in left[np.argsort(-scores[left], kind="stable")].tolist():
+                if not room:
                     break
                 cut = min(room, len(docs[i]))
-                parts.append((int(i), 0, cut))
+                parts.append((i, 0, cut))
                 unused[i], room = False, room - cut
                 if cut < len(docs[i]):
-                    rest = (int(i), cut)
-        while room and rest is None:  # small texts beyond the best 64
-            left = np.flatnonzero(unused)
-            if not len(left):
-                break
-            i = int(left[0])
-            cut = min(room, len(docs[i]))
-            parts.append((i, 0, cut))
-            unused[i], room = False, room - cut
-            if cut < len(docs[i]):
-                rest = (i, cut)
+                    rest = (i, cut)
         out.append(parts)
 
 
-def pieces(docs: DataFrame, shards: int, vocabulary: str, window: int = WINDOW) -> DataFrame:
-    """Full stretches and tails of the texts with the shard each goes to."""
+def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW) -> DataFrame:
+    """Full stretches and tails of the texts."""
     rows = docs.select(
         F.coalesce(F.col("doc_id"), F.lit(NO_KEY)).alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
@@ -116,39 +135,105 @@ def pieces(docs: DataFrame, shards: int, vocabulary: str, window: int = WINDOW)
             for doc, row, salt, text in zip(*(batch[c].tolist() for c in ("doc_id", "row", "salt", "text")), strict=True):
                 ids = encode(text) + b"\0\0"
                 n = len(ids) // 2
-                out += [((salt + a) % shards, doc, row, a, n, ids[2 * a : 2 * (a + window)]) for a in range(0, n, window)]
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "row", "start", "doc_tokens", "ids"]).astype({"shard": "int32"})
+                out += [(doc, row, salt, a, n, ids[2 * a : 2 * (a + window)]) for a in range(0, n, window)]
+            yield pd.DataFrame(out, columns=["doc_id", "row", "salt", "start", "doc_tokens", "ids"])
 
     return rows.mapInPandas(cut, PIECES)
 
 
+def tail_stats(tails: DataFrame) -> Stats:
+    """Summed by Spark; at most ``IDS`` + 2 rows reach the driver."""
+
+    def count(batches):
+        df, n, total = np.zeros(IDS, dtype=np.int64), 0, 0
+        for batch in batches:
+            for x in batch["ids"]:
+                ids = np.frombuffer(x, "<u2")
+                df[np.unique(ids)] += 1
+                n, total = n + 1, total + len(ids)
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"term": [*at.tolist(), -1, -2], "n": [*df[at].tolist(), n, total]})
+
+    got = {r["term"]: r["n"] for r in tails.select("ids").mapInPandas(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, total, df = got.pop(-1, 0), got.pop(-2, 0), np.zeros(IDS, dtype=np.int64)
+    df[list(got)] = list(got.values())
+    return Stats(n, total / n if n else 1.0, df)
+
+
+class Routes:
+    """The shard of each pair of telling ids; ``shards`` in all."""
+
+    def __init__(self, tails: DataFrame, stats: Stats, shard_docs: int):
+        def pairs(batches):
+            for batch in batches:
+                yield pd.DataFrame([stats.telling(np.frombuffer(x, "<u2")) for x in batch["ids"]], columns=["a", "b"])
+
+        counted = stored(tails.select("ids").mapInPandas(pairs, "a int, b int").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
+        groups = {r["a"]: r["n"] for r in counted.groupBy("a").agg(F.sum("n").alias("n")).collect()}  # at most IDS + 1
+        hot = {(r["a"], r["b"]): r["n"] for r in counted.where(F.col("n") > shard_docs).collect()}  # at most tails / shard_docs
+        for (a, _), n in hot.items():
+            groups[a] -= n
+        self.shards, room = 0, 0
+        self.places: dict[int | tuple[int, int], tuple[int, int]] = {}  # first shard, number of shards
+        for a, n in sorted(groups.items()):
+            if n > shard_docs:
+                self.take(a, n, shard_docs)
+                room = 0
+            else:
+                if n > room:
+                    self.shards, room = self.shards + 1, shard_docs
+                self.places[a], room = (self.shards - 1, 1), room - n
+        for key, n in sorted(hot.items()):
+            self.take(key, n, shard_docs)
+        self.shards = max(1, self.shards)
+
+    def take(self, key, n: int, shard_docs: int) -> None:
+        count = -(-n // shard_docs)
+        self.places[key], self.shards = (self.shards, count), self.shards + count
+
+    def shard(self, a: int, b: int, salt: int) -> int:
+        own = self.places.get((a, b))
+        first, count = own or self.places[a]
+        return first + (salt if own else b * 0x9E3779B1 >> 7) % count
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (unsigned 32-bit)."""
-    vocabulary = vocabulary or default_vocabulary()
-    shards = max(1, -(-docs.select(F.lit(1)).count() // shard_docs))
+    cut = stored(pieces(docs, vocabulary or default_vocabulary(), window), "pieces", compression="zstd")
+    tails = cut.where(F.octet_length("ids") < 2 * window)
+    stats = tail_stats(tails)
+    routes = Routes(tails, stats, shard_docs)
+
+    def route(batches):
+        for batch in batches:
+            shard = []
+            for x, salt, start in zip(batch["ids"], batch["salt"].tolist(), batch["start"].tolist(), strict=True):
+                ids = np.frombuffer(x, "<u2")
+                shard.append((salt + start) % routes.shards if len(ids) == window else routes.shard(*stats.telling(ids), salt))
+            yield batch.drop(columns="salt").assign(shard=np.array(shard, dtype=np.int32))[["shard", "doc_id", "row", "start", "doc_tokens", "ids"]]
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "row", "start"], kind="stable")
         doc, start, total = (shard[c].tolist() for c in ("doc_id", "start", "doc_tokens"))
         ids = [np.frombuffer(x, "<u2") for x in shard["ids"]]
         out, number, base = [], 0, int(shard["shard"].iloc[0]) << 32
-        tails = []
+        ends = []
         for i, x in enumerate(ids):
             if len(x) == window:
                 out.append((doc[i], start[i], window, total[i], base + number, 0, x.astype("<u4").tobytes()))
                 number += 1
             else:
-                tails.append(i)
-        for parts in fill([ids[i] for i in tails], window):
+                ends.append(i)
+        for parts in fill([ids[i] for i in ends], window, stats):
             offset = 0
             for t, a, b in parts:
-                i = tails[t]
+                i = ends[t]
                 out.append((doc[i], start[i] + a, b - a, total[i], base + number, offset, ids[i][a:b].astype("<u4").tobytes()))
                 offset += b - a
             number += 1
         return pd.DataFrame(out, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    packed = pieces(docs, shards, vocabulary, window).groupBy("shard").applyInPandas(one, PACKED)
+    packed = cut.mapInPandas(route, ROUTED).groupBy("shard").applyInPandas(one, PACKED)
     return packed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_KEY)))
 
 

@@ -256,3 +256,22 @@ def test_nearest_examples_equal_brute_force():
         got = index.nearest(examples[k], k)
         assert len(got) == len(want) and all(abs(a[0] - b) < 1e-5 for a, b in zip(got, want, strict=True))
         assert k not in [e for _, e in got]
+
+
+def test_packing_searches_all_tails_by_all_ids(spark):
+    from marlstone.llm.op8_packing import Bm25, Stats, fill
+
+    rare = np.arange(1000, 1030, dtype="<u2")
+    texts = [np.concatenate([rare, [5]]).astype("<u2"), np.array([5, 6], "<u2"), np.array([7, 8], "<u2")]
+    stats = Stats.of(texts * 20)
+    assert Bm25(texts, stats).scores(texts[0])[1] > 0  # its only shared id is the least telling of 31
+    assert np.isclose(stats.idf[5], np.log(1 + (60 - 40 + 0.5) / 40.5))
+    many = [np.array([9, 9], "<u2"), *[np.array([10 + i, 1000], "<u2") for i in range(100)], *[np.array([9, 2000 + i], "<u2") for i in range(100)]]
+    first = [i for i, _, _ in fill(many, 240)[0]]
+    assert set(first[:101]) == {0, *range(101, 201)}  # beyond the best 64 as well
+
+    topics = ["zebra quartz", "violin harbour", "cactus magnet", "walrus piston"]
+    rows = [(i, f"{topics[i % 4]} {topics[i % 4]} n{i}") for i in range(400)]
+    p = pack(spark.createDataFrame(rows, "doc_id long, text string"), window=64, shard_docs=100).toPandas()
+    mixed = p.assign(topic=p.doc_id % 4).groupby("sequence_id").topic.nunique()
+    assert (mixed > 1).mean() < 0.2 and p.length.sum() == p.drop_duplicates("doc_id").doc_tokens.sum()
