@@ -275,3 +275,13 @@ def test_packing_searches_all_tails_by_all_ids(spark):
     p = pack(spark.createDataFrame(rows, "doc_id long, text string"), window=64, shard_docs=100).toPandas()
     mixed = p.assign(topic=p.doc_id % 4).groupby("sequence_id").topic.nunique()
     assert (mixed > 1).mean() < 0.2 and p.length.sum() == p.drop_duplicates("doc_id").doc_tokens.sum()
+
+
+def test_added_tokens_encode_as_in_the_json():
+    import public_tokenizers
+    from marlstone.llm.tokens import default_vocabulary, tokenizer
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for x in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y\n<|endoftext|", "é \n\n<|endoftext|>\n", "<|ENDOFTEXT|> 's", "plain"):
+        assert np.frombuffer(tokenizer(default_vocabulary()).ids(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
