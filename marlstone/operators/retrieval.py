@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +57,19 @@ def coverage(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", k: int = 2
 def dense(vectors: DataFrame, wanted: DataFrame, k: int = 20) -> DataFrame:
     """query_id, vec_id, score, rank: exact cosine of a stated query set against all vectors.
 
-    The query side is broadcast only below ``QUERY_ROWS`` rows; callers with more run it in blocks.
+    The query side is broadcast in blocks of about ``QUERY_ROWS`` rows; each query is in one block, so its ranks are whole.
     """
-    if wanted.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries; run them in blocks")
+    return in_blocks(wanted, lambda part: _dense(vectors, part, k))
+
+
+def in_blocks(wanted: DataFrame, run) -> DataFrame:
+    """``run`` on the query side in blocks by a hash of query_id, of about ``QUERY_ROWS`` rows each; the results together."""
+    count = max(1, -(-wanted.count() // QUERY_ROWS))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(count))
+    return reduce(DataFrame.unionByName, [run(wanted.where(block == i) if count > 1 else wanted) for i in range(count)])
+
+
+def _dense(vectors: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     both = vectors.crossJoin(F.broadcast(wanted))
     cos = dot(F.col("embedding"), F.col("query")) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("query"), F.col("query"))))

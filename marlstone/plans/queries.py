@@ -436,8 +436,9 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) AS n_queries, round(avg(coalesce(hits / total, 0)), 4) AS recall, round(avg(coalesce(rr, 0)), 4) AS mrr, round(avg(coalesce(dcg / idcg, 0)), 4) AS ndcg FROM ideal LEFT JOIN got USING (query_id)"""
 )
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.broadcast(_questions(spark, sf_dir).select("query_id", F.col("text").alias("q")).limit(rt.QUERY_ROWS))
-    relevant = _documents(spark, sf_dir).join(q, F.contains("text", F.col("q"))).select("query_id", "doc_id", F.lit(1).alias("gain"))
+    q, docs = _questions(spark, sf_dir).select("query_id", F.col("text").alias("q")), _documents(spark, sf_dir)
+    holding = lambda part: docs.join(F.broadcast(part), F.contains("text", F.col("q"))).select("query_id", "doc_id", F.lit(1).alias("gain"))
+    relevant = rt.in_blocks(q, holding)
     return rt.ir_metrics(rrf_fusion(spark, sf_dir), relevant)
 
 

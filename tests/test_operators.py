@@ -78,3 +78,12 @@ def test_metrics(spark):
     labels = spark.createDataFrame([(1, 8, 1), (2, 9, 1)], "query_id int, doc_id int, gain int")
     r = rt.ir_metrics(found, labels).first()
     assert (r["n_queries"], r["recall"], r["mrr"]) == (2, 0.5, 0.25)
+
+
+def test_more_queries_than_a_block(spark, sf_dir, monkeypatch):
+    from marlstone.plans.queries import QUERIES
+
+    names = ("dense_topk_exact", "dense_topk_filtered", "retrieval_metrics")
+    whole = {n: sorted(QUERIES[n](spark, sf_dir).collect()) for n in names}
+    monkeypatch.setattr(rt, "QUERY_ROWS", 2)
+    assert {n: sorted(QUERIES[n](spark, sf_dir).collect()) for n in names} == whole and all(whole.values())
