@@ -14,6 +14,9 @@ WHITE = r"[\x20\x09-\x0D]+"
 #: Rows up to which a table may be broadcast. Callers count first; beyond it they leave the join to Spark.
 BROADCAST_ROWS = 200_000
 
+#: Items in a block of ``scan``.
+SCAN_BLOCK = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -70,6 +73,20 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan(items: Column, zero: int, step) -> Column:
+    """``step(state, item)`` from ``zero`` on, as an array of the int states after each item.
+
+    States are appended in blocks of ``SCAN_BLOCK``, as each append copies its array.
+    """
+    last = lambda blocks: F.element_at(F.element_at(blocks, -1), -1)
+    block = lambda i: F.slice(items, i * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK))
+    inside = lambda at, xs: F.aggregate(xs, F.array(at), lambda out, x: F.concat(out, F.array(step(F.element_at(out, -1), x).cast("int"))))
+    firsts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(items) - 1) / SCAN_BLOCK).cast("int"), F.lit(0)))
+    blocks = F.aggregate(firsts, F.array(F.array(F.lit(zero))), lambda out, i: F.concat(out, F.array(inside(last(out), block(i)))))
+    # the first block is the start alone, and each other one begins with the state it got
+    return F.flatten(F.transform(F.slice(blocks, 2, F.size(firsts)), lambda b: F.slice(b, 2, F.lit(SCAN_BLOCK))))
+
+
 def is_held_out(key: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the key as text falls in the fold; a null key counts as the text ''."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold

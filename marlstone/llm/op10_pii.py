@@ -12,9 +12,11 @@
 Everything on the rows is built-in expressions; the driver sees only the two bounded count tables.
 
 Defined results: null and empty texts have no spans; positions count code points of the whole
-text, end exclusive; repeated rows are searched separately; extra columns are ignored or carried
-on; an empty table gives an empty result. Patterns have no nested unbounded repetition, so a run
-of many thousand digits or letters neither overflows the stack nor takes quadratic time.
+text, end exclusive; repeated rows are searched separately; of added spans that overlap the one that
+starts first is kept, of equal starts the one of the kind listed first; extra columns are ignored or carried
+on; an empty table gives an empty result. Repeated groups in the patterns are bounded or possessive, which
+Java matches in a loop, so a run of many thousand digits, letters or labels doesn't overflow the stack.
+Positions come from running sums in blocks (``scan``), so texts with very many matches take no quadratic time.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import bind, scan, stored, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "name", "national")
 
 #: (kind, pattern, what a text must match for the pattern to be tried). A match of e-mail or address can only begin
 #: where a run of its first class begins or where the match before ended; card matches whole digit groups only.
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){13,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
@@ -56,6 +58,8 @@ GAZETTEER = {
 }
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Code points in a run of ``redact``; a place beyond every text.
+RUN, NOWHERE = 1024, (1 << 31) - 1
 CAND = "array<struct<start:int,rank:int,kind:string,end:int,base:boolean,votes:string,traits:array<string>>>"
 
 
@@ -112,29 +116,30 @@ def traits(kind: str, m: Column, left: Column) -> Column:
 
 def found(text: Column, kind: str, pattern: str, base: bool, when: Column) -> Column:
     """Candidates of one pattern, in order. Splitting at the matches gives the lengths between them."""
-    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(parts, hits, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    rows = F.zip_with(pairs, F.slice(parts, 2, F.size(parts)), lambda x, n: F.struct(x["p"].alias("p"), x["m"].alias("m"), n.alias("n")))
     rank = KINDS.index(kind)
 
-    def step(s: Column, x: Column) -> Column:
-        start, m = s["at"] + F.length(x["p"]), x["m"]
-        left = F.right(x["p"], F.lit(24))
-        ok = base_ok(kind, m) if base else F.lit(False)
-        span = F.struct(
-            start.alias("start"),
-            F.lit(rank).alias("rank"),
-            F.lit(kind).alias("kind"),
-            (start + F.length(m)).alias("end"),
-            ok.alias("base"),
-            votes(kind, m, left, x["n"], ok).alias("votes"),
-            traits(kind, m, left).alias("traits"),
-        )
-        out = F.when(m.isNotNull(), F.concat(s["out"], F.array(span).cast(CAND))).otherwise(s["out"])
-        return F.struct((start + F.coalesce(F.length(m), F.lit(0))).alias("at"), out.alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(CAND).alias("out"))
-    return F.when(when, F.aggregate(rows, zero, step, lambda s: s["out"])).otherwise(F.array().cast(CAND))
+    def span(m: Column, before: Column, after: Column, end: Column) -> Column:
+        left = F.right(before, F.lit(24))
+
+        def judged(ok: Column) -> Column:
+            return F.struct(
+                (end - F.length(m)).alias("start"),
+                F.lit(rank).alias("rank"),
+                F.lit(kind).alias("kind"),
+                end.alias("end"),
+                ok.alias("base"),
+                votes(kind, m, left, after, ok).alias("votes"),
+                traits(kind, m, left).alias("traits"),
+            )
+
+        return bind(base_ok(kind, m), judged) if base else judged(F.lit(False))
+
+    def located(hits: Column, parts: Column) -> Column:
+        steps = F.transform(hits, lambda m, i: F.length(F.get(parts, i)) + F.length(m))
+        return bind(scan(steps, 0, lambda at, x: at + x), lambda ends: F.transform(hits, lambda m, i: span(m, F.get(parts, i), F.get(parts, i + 1), F.get(ends, i))))
+
+    every = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: bind(F.split(text, pattern, -1), lambda parts: located(hits, parts)))
+    return F.when(when, every.cast(CAND)).otherwise(F.array().cast(CAND))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -207,29 +212,57 @@ def find_spans(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     base = F.sort_array(as_span(F.filter("_cands", lambda c: c["base"])))
     logit = math.log(threshold / (1 - threshold))
     extra = F.sort_array(as_span(F.filter("_cands", lambda c: ~c["base"] & (score(c) >= logit))))
-    clash = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    added = F.aggregate(
-        F.col("_extra"),
-        F.array().cast(SPAN),
-        lambda s, x: F.when(F.exists(F.col("_base"), lambda y: clash(x, y)) | F.exists(s, lambda y: clash(x, y)), s).otherwise(F.concat(s, F.array(x))),
-    )
+    spans = F.when(F.size("_extra") > 0, F.sort_array(F.concat("_base", added(F.col("_base"), F.col("_extra"))))).otherwise(F.col("_base"))
     return (
         rows.withColumns({"_base": base, "_extra": F.when(F.size("_cands") > 0, extra).otherwise(F.array().cast(SPAN))})
-        .select(*keep, F.col("_base").alias("base"), F.sort_array(F.concat("_base", added)).alias("spans"))
+        .select(*keep, F.col("_base").alias("base"), spans.alias("spans"))
     )
 
 
+def added(base: Column, extra: Column) -> Column:
+    """The spans of ``extra`` that overlap no base span and no kept one before them. Both are sorted."""
+    marked = F.concat(F.transform(base, lambda x: F.struct(*_fields(x), F.lit(True).alias("fixed"))), F.transform(extra, lambda x: F.struct(*_fields(x), F.lit(False).alias("fixed"))))
+
+    def free(every: Column) -> Column:
+        reach = scan(every, 0, lambda to, x: F.greatest(to, F.when(x["fixed"], x["end"]).otherwise(0)))  # how far base spans up to each reach
+        nearest = scan(F.reverse(every), NOWHERE, lambda at, x: F.when(x["fixed"], x["start"]).otherwise(at))  # start of the next base span
+        last = F.size(every) - 1
+        clear = lambda r, n: F.filter(every, lambda x, i: ~x["fixed"] & (F.get(r, i) <= x["start"]) & (F.get(n, last - i) >= x["end"]))
+        return bind(reach, lambda r: bind(nearest, lambda n: clear(r, n)))
+
+    def first(clear: Column) -> Column:
+        reach = scan(clear, 0, lambda to, x: F.when(x["start"] >= to, x["end"]).otherwise(to))
+        kept = lambda r: F.filter(clear, lambda x, i: (i == 0) | (x["start"] >= F.get(r, F.greatest(i - 1, F.lit(0)))))
+        return bind(reach, kept)
+
+    return F.transform(bind(bind(F.sort_array(marked), free), first), lambda x: F.struct(*_fields(x))).cast(SPAN)
+
+
+def _fields(x: Column) -> list[Column]:
+    return [x[f].alias(f) for f in ("start", "rank", "kind", "end")]
+
+
 def redact(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in brackets; of overlapping spans the first one holds."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """``text`` with each span replaced by its kind in brackets; of overlapping spans the first one holds.
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = F.concat(s["out"], F.array(F.substring(text, s["at"] + 1, x["start"] - s["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))
-        late = x["start"] < s["at"]
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(late, s["out"]).otherwise(fresh).alias("out"))
+    The text is cut once into runs of ``RUN`` code points, so that no span is sought from the text's beginning.
+    """
 
-    end = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, end)).otherwise(text)
+    def between(runs: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / RUN).cast("int")
+        some = F.array_join(F.slice(runs, first + 1, F.floor(b / RUN).cast("int") - first + 1), "")
+        return F.substring(some, a - first * RUN + 1, b - a)
+
+    def joined(runs: Column, reach: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(reach, F.greatest(i - 1, F.lit(0)))).otherwise(0)
+        label = lambda x: F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        part = lambda x, i: F.when(x["start"] >= before(i), F.concat(between(runs, before(i), x["start"]), label(x))).otherwise("")
+        end = F.element_at(reach, -1)
+        return F.concat(F.array_join(F.transform(spans, part), ""), between(runs, end, F.greatest(end, F.length(text))))
+
+    runs = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{RUN}}}"), F.lit(0))
+    reach = scan(spans, 0, lambda to, x: F.greatest(to, x["end"]))
+    return F.when(F.size(spans) > 0, bind(runs, lambda r: bind(reach, lambda e: joined(r, e)))).otherwise(text)
 
 
 def listed(spans: Column) -> Column:

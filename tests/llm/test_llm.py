@@ -285,3 +285,46 @@ def test_added_tokens_encode_as_in_the_json():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for x in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y\n<|endoftext|", "é \n\n<|endoftext|>\n", "<|ENDOFTEXT|> 's", "plain"):
         assert np.frombuffer(tokenizer(default_vocabulary()).ids(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_scan_equals_running_sums(spark):
+    from marlstone.llm.common import SCAN_BLOCK, scan
+
+    sizes = (0, 1, SCAN_BLOCK, SCAN_BLOCK + 1, 3 * SCAN_BLOCK)
+    rows = spark.createDataFrame([(n, list(range(n))) for n in sizes], "n int, a array<int>")
+    for r in rows.select("a", scan(F.col("a"), 5, lambda at, x: at + x).alias("s")).collect():
+        assert r["s"] == [5 + sum(r["a"][: i + 1]) for i in range(len(r["a"]))]
+
+
+def test_pii_in_texts_with_very_many_matches(spark):
+    texts = [
+        "x a@b" + ".c" * 30_000,
+        " ".join(f"u{i}@ex.com" for i in range(20_000)),
+        "1.2." * 10_000 + "1 " * 20_000 + "é\U0001f600 " * 3000,
+        "call 555-123-4567 " * 4000 + "Dr. Anna Bell a@b.co \U0001f600 " * 2000,
+    ]
+    rows = find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), keep=("doc_id", "text"))
+    got = rows.select("doc_id", "text", "base", "spans", redact(F.col("text"), F.col("spans")).alias("redacted")).collect()
+    assert [len(r["base"]) for r in sorted(got)] == [1, 20_000, 5000, 2000]
+    for r in got:
+        out, at = [], 0
+        for x in r["spans"]:
+            if x["start"] >= at:
+                out += [r["text"][at : x["start"]], f"[{x['kind'].upper()}]"]
+            at = max(at, x["end"])
+        assert r["redacted"] == "".join(out) + r["text"][at:]
+        assert set(r["base"]) <= set(r["spans"])
+
+
+def test_pii_added_spans_keep_clear_of_others(spark):
+    from marlstone.llm.op10_pii import KINDS, SPAN, added
+
+    rng = np.random.default_rng(4)
+    make = lambda n: sorted({(int(a), int(k), KINDS[k], int(a + d)) for a, d, k in zip(rng.integers(0, 60, n), rng.integers(1, 6, n), rng.integers(0, 7, n), strict=True)})
+    cases = [(i, make(i % 7), make(1 + i % 9)) for i in range(60)]
+    for r in spark.createDataFrame(cases, f"i int, base {SPAN}, extra {SPAN}").select("base", "extra", added(F.col("base"), F.col("extra")).alias("a")).collect():
+        want = []
+        for x in r["extra"]:
+            if not any(x["start"] < y["end"] and y["start"] < x["end"] for y in [*r["base"], *want]):
+                want.append(x)
+        assert r["a"] == want
