@@ -1,24 +1,27 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are chosen over a bounded sample of labelled texts: those whose presence differs between the
-labels beyond chance (chi-square) and that occur in enough of them. The examples that have such terms
-form an inverted index whose postings are cut into blocks; the greatest weight of a term in a
-block bounds what any example there can score, so blocks that cannot reach the nearest ``NEIGHBOURS`` are
-skipped and the result stays exact. Neighbours vote by similarity; votes of examples left out of
-their own vote are mapped to probabilities by isotonic regression on the sample.
-
-Bounds: ``SAMPLE`` texts of each label by order of a hash of their key, ``TERMS`` terms. Every text
-is scored whole.
-
-Defined results: null, empty and other texts without any chosen term score the sample's rate among
-such texts; rows are scored alone; ties among neighbours go to the earlier example; extra columns are
-ignored; without labels every score is 0.
+A bounded sample of labelled texts gives the examples. Every term of theirs is kept. A term weighs
+(1 + log count) * idf, with document frequencies counted over all documents, times 1 + ``CONTRAST`` * chi-square of its
+presence against the labels in the sample: without that factor, what a text is about hides how it speaks.
+
+The examples form a sparse inverted index, cut into blocks of ``BLOCK`` examples. Each list knows its greatest weight in
+each block; their sum bounds what any example there can score. The blocks of greatest bound are read first, and others
+only where their bound reaches the last place, so skipping changes no result. Neighbours vote by similarity; votes of examples left out of their own vote
+are mapped to probabilities by isotonic regression on the sample.
+
+Bound: ``SAMPLE`` texts of each label by order of a hash of their key. Every text is scored whole.
+
+Defined results: null, empty and other texts without any known term score the label's share; rows are
+scored alone, so repeated ones score alike; ties among neighbours go to the earlier example; of a key or a text with both labels
+1 holds; a text of any length is read whole; extra columns are ignored, whatever their names; without labels of both kinds every score is 0,
+or 1 where only label 1 occurs; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import is_held_out, stored, table
 
-SAMPLE, TERMS, MIN_DF, CHI_SQUARE = 3000, 2000, 8, 30.0
+SAMPLE, CONTRAST = 1500, 0.1
 NEIGHBOURS, BLOCK = 15, 64
 #: Blocks of greatest bound that are read before the others are held against the last place.
 FIRST = 2
@@ -38,70 +41,93 @@ WORD = re.compile(r"[^\W_]+")
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic: at most ``SAMPLE`` of each label; equal texts once."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"), FOLDS, HELD_OUT)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    known = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"), FOLDS, HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("_order", F.xxhash64(F.lit(9), "doc_id"))
     some = [known.where(F.col("toxic") == y).orderBy("_order", "doc_id").limit(SAMPLE) for y in (0, 1)]
     picked = F.broadcast(some[0].unionByName(some[1]).select("doc_id", "toxic"))  # at most 2 * SAMPLE rows
-    return docs.where("text IS NOT NULL").select("doc_id", "text").join(picked, "doc_id").dropDuplicates(["text"])
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(picked, "doc_id")
+    return rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+
+
+class Vocabulary:
+    """Terms with their weights."""
+
+    def __init__(self, places: dict[str, int], weight: np.ndarray):
+        self.places, self.weight = places, weight
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Places, in order, and weights of unit length."""
+        got = sorted((self.places[t], c) for t, c in counts.items() if t in self.places)
+        at, c = np.array([g[0] for g in got], dtype=np.int64), np.array([g[1] for g in got], dtype=np.float64)
+        raw = (1 + np.log(c)) * self.weight[at]
+        return at, raw / (np.sqrt((raw * raw).sum()) or 1.0)
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``first`` and have ``n`` members, one after the other."""
+    ends = n.cumsum()
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + n, n)
 
 
 class Index:
-    """Block-max inverted index over the examples' term weights."""
-
-    def __init__(self, examples: list[dict[int, int]], labels: list[int], terms: int, ratio: float):
-        df = np.zeros(terms)
-        for e in examples:
-            df[list(e)] += 1
-        self.idf = np.log(1 + len(examples) / (1 + df))
-        self.labels = np.array(labels, dtype=bool)
-        self.weight = np.where(self.labels, 1.0, ratio)
-        order = sorted(range(len(examples)), key=lambda i: sorted(examples[i]))  # alike examples share blocks
-        count = -(-len(order) // BLOCK)
-        self.order = np.array(order + [-1] * (count * BLOCK - len(order)), dtype=np.int64).reshape(count, BLOCK)
-        postings = np.zeros((terms, count * BLOCK), dtype=np.float32)
-        for row, i in enumerate(order):
-            for t, v in self.vector(examples[i]).items():
-                postings[t, row] = v
-        self.postings = postings.reshape(terms, count, BLOCK)
-        self.greatest = self.postings.max(axis=2) if count else np.zeros((terms, 0), np.float32)
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + math.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = math.sqrt(sum(v * v for v in raw.values())) or 1.0
-        return {t: v / norm for t, v in raw.items()}
-
-    def nearest(self, counts: dict[int, int], without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest, best first; ``without`` leaves one example out."""
-        q = self.vector(counts)
-        at, w = np.fromiter(q, np.int64), np.fromiter(q.values(), np.float32)
-        bound = w @ self.greatest[at]
-        ranked = np.argsort(-bound, kind="stable")
-        ranked = ranked[bound[ranked] > 0]
-        scores, examples = self.read(ranked[:FIRST], at, w, without)
-        if len(ranked) > FIRST:
-            least = np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS] if len(scores) >= NEIGHBOURS else 0.0
-            rest = ranked[FIRST:]
-            more = self.read(rest[bound[rest] + 1e-6 >= least], at, w, without)
-            scores, examples = np.concatenate([scores, more[0]]), np.concatenate([examples, more[1]])
-        best = np.lexsort((examples, -scores))[:NEIGHBOURS]
-        return [(float(scores[i]), int(examples[i])) for i in best]
-
-    def read(self, blocks: np.ndarray, at: np.ndarray, w: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines above 0 in some blocks, and their examples; terms add up in one order, so alike examples tie."""
-        total = np.zeros((len(blocks), BLOCK), dtype=np.float32)
-        for t, x in zip(at, w, strict=True):
-            total += x * self.postings[t, blocks]
-        examples = self.order[blocks]
-        keep = (total > 0) & (examples != without)
-        scores, examples = total[keep], examples[keep]
-        if len(scores) > NEIGHBOURS:  # only what reaches the last place among these, ties included
+    """Block-max inverted index over unit vectors (places, weights) of the examples."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        # examples of alike heaviest terms share blocks, which keeps the bounds of the others low
+        heaviest = [(int(at[w.argmax()]), -float(w.max())) if len(at) else (terms, 0.0) for at, w in vectors]
+        self.examples = np.array(sorted(range(len(vectors)), key=lambda i: heaviest[i]), dtype=np.int64)
+        ordered = [vectors[i] for i in self.examples]
+        term = np.concatenate([v[0] for v in ordered]) if ordered else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(ordered)), [len(v[0]) for v in ordered])
+        weight = np.concatenate([v[1] for v in ordered]) if ordered else np.zeros(0)
+        order = np.lexsort((row, term))
+        term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order]
+        self.blocks = -(-len(ordered) // BLOCK)
+        # a run is the part of a term's list in one block
+        new = np.flatnonzero(np.diff(term * (self.blocks + 1) + self.row // BLOCK, prepend=-1))
+        self.run_first, self.run_n = new, np.diff(new, append=len(term))
+        self.run_block = (self.row[new] // BLOCK).astype(np.int32)
+        self.run_max = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.list_first = np.searchsorted(term[new], np.arange(terms + 1))
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
+        """(cosine, example) of the nearest with a cosine above 0, best first; ``without`` leaves one example out."""
+        n = self.list_first[at + 1] - self.list_first[at]
+        runs, by = spread(self.list_first[at], n), np.repeat(w, n)
+        block = self.run_block[runs]
+        bound = np.bincount(block, by * self.run_max[runs], self.blocks)
+        if self.blocks <= FIRST:
+            return self.best(*self.read(runs, by), without)
+        early = np.zeros(self.blocks, dtype=bool)
+        early[np.argpartition(-bound, FIRST)[:FIRST]] = True
+        some = early[block]
+        rows, scores = self.read(runs[some], by[some])
+        near = self.best(rows, scores, without)
+        least = near[-1][0] if len(near) == NEIGHBOURS else 0.0
+        more = ((bound >= least - 1e-9) & (bound > 0) & ~early)[block]
+        if not more.any():
+            return near
+        rest = self.read(runs[more], by[more])
+        return self.best(np.concatenate([rows, rest[0]]), np.concatenate([scores, rest[1]]), without)
+
+    def read(self, runs: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows with their whole cosines, over all terms of some blocks; terms add up in one order, so alike examples tie."""
+        n = self.run_n[runs]
+        at = spread(self.run_first[runs], n)
+        total = np.bincount(self.row[at], np.repeat(by, n) * self.weight[at], len(self.examples))
+        rows = np.flatnonzero(total > 0)
+        return rows, total[rows]
+
+    def best(self, rows: np.ndarray, scores: np.ndarray, without: int) -> list[tuple[float, int]]:
+        examples = self.examples[rows]
+        if without >= 0:
+            other = examples != without
+            examples, scores = examples[other], scores[other]
+        if len(scores) > NEIGHBOURS:  # only what reaches the last place, ties included
             top = scores >= np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS]
-            scores, examples = scores[top], examples[top]
-        return scores, examples
-
-    def vote(self, near: list[tuple[float, int]], by_example: np.ndarray, weights: np.ndarray) -> float:
-        total = sum(s * weights[i] for s, i in near)
-        return sum(s * weights[i] for s, i in near if by_example[i]) / total if total else -1.0
+            examples, scores = examples[top], scores[top]
+        order = np.lexsort((examples, -scores))[:NEIGHBOURS]
+        return list(zip(scores[order].tolist(), examples[order].tolist(), strict=True))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,80 +142,107 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([p[0] for p in pool]), np.array([p[1] / p[2] for p in pool])
 
 
-def term_counts(text: str | None, places: dict[str, int]) -> dict[int, int]:
-    counts: dict[int, int] = {}
-    for w in WORD.findall((text or "").lower()):
-        t = places.get(w)
-        if t is not None:
-            counts[t] = counts.get(t, 0) + 1
-    return counts
+class Model(NamedTuple):
+    """What scoring needs; without ``vocabulary`` every text scores ``base``."""
 
+    base: float
+    vocabulary: Vocabulary | None = None
+    index: Index | None = None
+    keys: np.ndarray | None = None
+    toxic: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    values: np.ndarray | None = None
 
-def fit(docs: DataFrame, labels: DataFrame):
-    """(places of terms, index, labels by example, vote weights, steps, values, score of texts without terms)."""
-    sample = stored(labelled_sample(docs, labels), "toxic")
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
-        return None, None, None, None, None, None, float(bool(pos))
-    whole = {r["toxic"]: r["count"] for r in labels.where(~is_held_out(F.col("doc_id"), FOLDS, HELD_OUT)).groupBy("toxic").count().collect()}
-    ratio = (whole[0] / neg) / (whole[1] / pos)
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        total = sum(s * self.weights[i] for s, i in near)
+        return sum(s * self.weights[i] for s, i in near if self.toxic[i]) / total
+
+    def judge(self, text: str | None) -> tuple[float, str | None]:
+        """Score, and the three nearest examples as doc_id:label:cosine."""
+        near = self.index.nearest(*self.vocabulary.vector(term_counts(text))) if self.vocabulary else []
+        if not near:
+            return self.base, None
+        score = float(self.values[min(np.searchsorted(self.ends, self.vote(near)), len(self.values) - 1)])
+        return score, ",".join(f"{self.keys[i]}:{int(self.toxic[i])}:{s:.3f}" for s, i in near[:3])
+
+
+def term_counts(text: str | None) -> Counter:
+    return Counter(WORD.findall((text or "").lower()))
 
-    def split(batches):
+
+def document_frequencies(docs: DataFrame, places: dict[str, int]) -> tuple[int, np.ndarray]:
+    """Number of documents, and how many of them hold each term; counted in the tasks, summed by Spark."""
+    known = docs.sparkSession.sparkContext.broadcast(places)
+
+    def count(batches):
+        df, n = np.zeros(len(known.value), dtype=np.int64), 0
         for batch in batches:
-            out = [(y, w) for t, y in zip(batch["text"], batch["toxic"], strict=True) for w in set(WORD.findall(t.lower()))]
-            yield pd.DataFrame(out, columns=["toxic", "term"])
-
-    df = sample.select("text", "toxic").mapInPandas(split, "toxic int, term string").groupBy("term").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    n, a = F.col("n").cast("double"), F.col("a").cast("double")
-    b, c = n - a, pos - F.col("a").cast("double")
-    d = neg - b
-    total = float(pos + neg)
-    chi = total * F.pow(a * d - b * c, 2) / (n * (total - n) * float(pos) * float(neg))
-    chosen = df.where((F.col("n") >= MIN_DF) & (n < total)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
-    terms = [r["term"] for r in chosen.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()]
-    places = {t: i for i, t in enumerate(sorted(terms))}
+            place = known.value.get
+            for text in batch["text"].tolist():
+                got = [p for t in set(WORD.findall((text or "").lower())) if (p := place(t)) is not None]
+                df[got] += 1
+            n += len(batch)
+        at = np.flatnonzero(df)
+        yield pd.DataFrame({"term": [*at.tolist(), -1], "n": [*df[at].tolist(), n]})
+
+    got = docs.select("text").mapInPandas(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    counts = dict(zip(got["term"].tolist(), got["n"].tolist(), strict=True))
+    total, df = counts.pop(-1, 0), np.zeros(len(places))
+    df[list(counts)] = list(counts.values())
+    return int(total), df
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model of the sample; what reaches the driver is bounded by it."""
+    usable = labels.where(F.col("toxic").isin(0, 1) & ~is_held_out(F.col("doc_id"), FOLDS, HELD_OUT))
+    whole = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    sample = stored(labelled_sample(docs, labels), "toxic")
 
     def count(batches):
         for batch in batches:
-            found = [term_counts(t, places) for t in batch["text"]]
+            found = [term_counts(t) for t in batch["text"].tolist()]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "t": [list(x) for x in found], "n": [list(x.values()) for x in found]})
 
-    rows = sorted(sample.mapInPandas(count, "doc_id long, toxic int, t array<int>, n array<int>").collect(), key=lambda r: r["doc_id"])
+    rows = sorted(sample.mapInPandas(count, "doc_id long, toxic int, t array<string>, n array<int>").collect(), key=lambda r: r["doc_id"])
+    toxic = np.array([r["toxic"] for r in rows], dtype=bool)
+    pos, neg = int(toxic.sum()), int((~toxic).sum())
+    if not pos or not neg:
+        return Model(float(bool(pos)))
     counts = [dict(zip(r["t"], r["n"], strict=True)) for r in rows]
-    with_terms = [i for i, x in enumerate(counts) if x]
-    y = np.array([r["toxic"] for r in rows], dtype=float)
-    w = np.where(y > 0, 1.0, ratio)
-    without = np.array([not x for x in counts])
-    base = float((y * w)[without].sum() / w[without].sum()) if without.any() else float((y * w).sum() / w.sum())
-    if not with_terms:
-        return places, None, None, None, None, None, base
-    index = Index([counts[i] for i in with_terms], [int(y[i]) for i in with_terms], max(1, len(places)), ratio)
-    by, weights = y[with_terms] > 0, w[with_terms]
-    votes = np.array([index.vote(index.nearest(counts[i], k), by, weights) for k, i in enumerate(with_terms)])
-    ends, values = isotonic(votes, y[with_terms], weights)
-    return places, index, by, weights, ends, values, base
-
-
-def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with score, predicted and evidence (the terms found, most telling first)."""
-    places, index, by, weights, ends, values, base = model
+    places = {t: i for i, t in enumerate(sorted({t for x in counts for t in x}))}
+    n, df = document_frequencies(docs, places)
+    have, among = np.zeros(len(places)), np.zeros(len(places))
+    for x, y in zip(counts, toxic, strict=True):
+        at = [places[t] for t in x]
+        have[at] += 1
+        among[at] += y
+    every, b = float(len(rows)), have - among
+    chi = every * (among * (neg - b) - b * (pos - among)) ** 2 / np.maximum(have * (every - have) * pos * neg, 1)
+    vocabulary = Vocabulary(places, np.log(1 + n / (1 + df)) * (1 + CONTRAST * chi))
+    vectors = [vocabulary.vector(x) for x in counts]
+    weights = np.where(toxic, 1.0, (whole[0] / neg) / (whole[1] / pos))
+    base = float(weights[toxic].sum() / weights.sum())
+    model = Model(base, vocabulary, Index(vectors, len(places)), np.array([r["doc_id"] for r in rows]), toxic, weights)
+    near = [model.index.nearest(*v, without=i) for i, v in enumerate(vectors)]
+    some = np.array([bool(x) for x in near])
+    if not some.any():
+        return Model(base)
+    votes = np.array([model.vote(x) for x in near if x])
+    ends, values = isotonic(votes, toxic[some].astype(float), weights[some])
+    return model._replace(ends=ends, values=values)
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` with score, predicted and evidence (the nearest examples)."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    names = sorted(places, key=places.get) if places else []
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def rate(batches):
         for batch in batches:
-            out, why = [], []
-            for text in batch.column("_text"):
-                counts = term_counts(text.as_py(), places) if places else {}
-                if not counts or index is None:
-                    out.append(base)
-                    why.append(None)
-                    continue
-                v = index.vote(index.nearest(counts), by, weights)
-                out.append(float(values[min(np.searchsorted(ends, v), len(values) - 1)]))
-                why.append(",".join(names[t] for t in sorted(counts, key=lambda t: (-index.idf[t], t))[:5]))
-            new = [pa.array(out, pa.float64()), pa.array([int(s >= CUT) for s in out], pa.int32()), pa.array(why, pa.string())]
+            judged = [shared.value.judge(text) for text in batch.column("_text").to_pylist()]
+            out = [s for s, _ in judged]
+            new = [pa.array(out, pa.float64()), pa.array([int(s >= CUT) for s in out], pa.int32()), pa.array([w for _, w in judged], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, "score", "predicted", "evidence"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(rate, f"{fields}, score double, predicted int, evidence string")

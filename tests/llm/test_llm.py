@@ -241,21 +241,55 @@ def test_pipeline(spark, sf_dir, odd, none, docs):
 
 
 def test_nearest_examples_equal_brute_force():
-    import random
-
-    from marlstone.llm.op9_toxicity import NEIGHBOURS, Index
-
-    rng = random.Random(1)
-    examples = [{rng.randrange(200): rng.randint(1, 3) for _ in range(rng.randint(1, 8))} for _ in range(1000)]
-    index = Index(examples, [rng.randint(0, 1) for _ in examples], 200, 2.0)
-    vectors = [index.vector(e) for e in examples]
-    for k in range(0, 1000, 10):
-        q = vectors[k]
-        every = sorted((sum(x * v.get(t, 0.0) for t, x in q.items()) for j, v in enumerate(vectors) if j != k), reverse=True)
-        want = [s for s in every if s > 0][:NEIGHBOURS]
-        got = index.nearest(examples[k], k)
-        assert len(got) == len(want) and all(abs(a[0] - b) < 1e-5 for a, b in zip(got, want, strict=True))
-        assert k not in [e for _, e in got]
+    from marlstone.llm.op9_toxicity import BLOCK, FIRST, NEIGHBOURS, Index, Vocabulary
+
+    rng = np.random.default_rng(1)
+    words = Vocabulary({f"w{i}": i for i in range(200)}, np.concatenate([np.full(10, 40.0), rng.uniform(0.5, 3, 190)]))
+    counts = [{f"w{t}": int(rng.integers(1, 4)) for t in rng.integers(0, 200, rng.integers(0, 12))} for _ in range(1000)]
+    counts += counts[:50]
+    vectors = [words.vector(x) for x in counts]
+    whole = np.zeros((len(counts), 200))
+    for row, (at, w) in zip(whole, vectors, strict=True):
+        row[at] = w
+    index, skipped = Index(vectors, 200), 0
+    read = index.read
+    for k in range(0, 1050, 7):
+        blocks = set()
+        index.read = lambda runs, by: blocks.update(index.run_block[runs].tolist()) or read(runs, by)  # noqa: B023
+        cosines = np.round(whole @ whole[k], 9)
+        cosines[k] = 0
+        want = [(cosines[i], i) for i in np.lexsort((np.arange(1050), -cosines))[:NEIGHBOURS] if cosines[i] > 0]
+        got = index.nearest(*vectors[k], without=k)
+        assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
+        skipped += len(blocks) < index.blocks
+    assert skipped > 50 and index.blocks == -(-1050 // BLOCK) > FIRST
+
+
+def test_toxicity_scores_by_neighbours_over_all_terms(spark, sf_dir, docs):
+    from marlstone.llm.op9_toxicity import NEIGHBOURS, document_frequencies, term_counts
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = fit_toxicity(rows, labels)
+    p = score(rows, model).toPandas()
+    empty = {d for d, t in zip(docs.doc_id, docs.text, strict=True) if not term_counts(t)}
+    assert p[~p.doc_id.isin(empty)].evidence.notna().mean() > 0.95
+    texts, words = dict(zip(docs.doc_id, docs.text, strict=True)), model.vocabulary
+    n, df = document_frequencies(rows, words.places)
+    assert n == len(docs) and all(df[words.places[t]] == sum(t in term_counts(x) for x in docs.text) for t in list(words.places)[::997])
+    vectors = [dict(zip(*words.vector(term_counts(texts[k])), strict=True)) for k in model.keys]
+    for d, text in list(texts.items())[::9]:
+        q = dict(zip(*words.vector(term_counts(text)), strict=True))
+        every = sorted(((round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), -i) for i, v in enumerate(vectors)), reverse=True)
+        near = [(s, -i) for s, i in every[:NEIGHBOURS] if s > 0]
+        assert [i for _, i in model.index.nearest(*words.vector(term_counts(text)))] == [i for _, i in near], d
+
+
+def test_toxicity_of_conflicting_labels_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "same words", 5, 0.1), (2, "same words", 6, 0.2), (None, None, None, None), (4, "other thing", 7, 0.3)], "doc_id long, text string, toxic int, score double")
+    labels = spark.createDataFrame([(i, y) for i in (1, 2, 4) for y in ((0, 1) if i < 4 else (0,))] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    got = sorted((r["doc_id"] or 0, r["score"]) for r in score(rows, fit_toxicity(rows, labels)).collect())
+    assert len(got) == 4 and got[1][1] == got[2][1] and all(0 <= s <= 1 for _, s in got)
 
 
 def test_packing_searches_all_tails_by_all_ids(spark):
