@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from .common import is_held_out, stored, table
 
-SAMPLE, CONTRAST = 1500, 0.1
+SAMPLE, CONTRAST = 1000, 0.1
 NEIGHBOURS, BLOCK = 15, 64
 #: Blocks of greatest bound that are read before the others are held against the last place.
 FIRST = 2
+#: A list of more than one in so many examples is kept in full width; queries in a batch.
+FREQUENT, BATCH = 10, 64
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 WORD = re.compile(r"[^\W_]+")
 
@@ -57,8 +59,10 @@ class Vocabulary:
 
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Places, in order, and weights of unit length."""
-        got = sorted((self.places[t], c) for t, c in counts.items() if t in self.places)
-        at, c = np.array([g[0] for g in got], dtype=np.int64), np.array([g[1] for g in got], dtype=np.float64)
+        place = self.places.get
+        at = np.fromiter((place(t, -1) for t in counts), np.int64, len(counts))
+        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+        at, c = at[order], np.fromiter(counts.values(), np.float64, len(counts))[order]
         raw = (1 + np.log(c)) * self.weight[at]
         return at, raw / (np.sqrt((raw * raw).sum()) or 1.0)
 
@@ -70,59 +74,73 @@ def spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index over unit vectors (places, weights) of the examples."""
+    """Block-max inverted index over unit vectors (places, weights) of the examples.
+
+    Lists that hold at least one of ``FREQUENT`` examples are kept in full width, so that a batch of queries reads them
+    as one matrix product; the others are sparse, and their blocks are skipped where the bounds allow.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         # examples of alike heaviest terms share blocks, which keeps the bounds of the others low
         heaviest = [(int(at[w.argmax()]), -float(w.max())) if len(at) else (terms, 0.0) for at, w in vectors]
-        self.examples = np.array(sorted(range(len(vectors)), key=lambda i: heaviest[i]), dtype=np.int64)
-        ordered = [vectors[i] for i in self.examples]
-        term = np.concatenate([v[0] for v in ordered]) if ordered else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(ordered)), [len(v[0]) for v in ordered])
-        weight = np.concatenate([v[1] for v in ordered]) if ordered else np.zeros(0)
-        order = np.lexsort((row, term))
-        term, self.row, self.weight = term[order], row[order].astype(np.int32), weight[order]
-        self.blocks = -(-len(ordered) // BLOCK)
-        # a run is the part of a term's list in one block
+        order = sorted(range(len(vectors)), key=lambda i: heaviest[i])
+        self.blocks = -(-len(order) // BLOCK)
+        self.examples = np.array(order + [-1] * (self.blocks * BLOCK - len(order)), dtype=np.int64).reshape(self.blocks, BLOCK)
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        row = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        by_term = np.lexsort((row, term))
+        term, row, weight = term[by_term], row[by_term], weight[by_term]
+        frequent = np.flatnonzero(np.bincount(term, minlength=terms) * FREQUENT >= max(len(order), BLOCK))
+        self.wide = np.full(terms, -1)
+        self.wide[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK))
+        full = self.wide[term] >= 0
+        self.dense[self.wide[term[full]], row[full]] = weight[full]
+        term, self.row, self.weight = term[~full], row[~full].astype(np.int32), weight[~full]
+        # a run is the part of a sparse list in one block
         new = np.flatnonzero(np.diff(term * (self.blocks + 1) + self.row // BLOCK, prepend=-1))
         self.run_first, self.run_n = new, np.diff(new, append=len(term))
         self.run_block = (self.row[new] // BLOCK).astype(np.int32)
         self.run_max = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
         self.list_first = np.searchsorted(term[new], np.arange(terms + 1))
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example) of the nearest with a cosine above 0, best first; ``without`` leaves one example out."""
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: range | None = None) -> list[list[tuple[float, int]]]:
+        """For each query (cosine, example) of the nearest with a cosine above 0, best first; ``without`` names an example each leaves out."""
+        wanted = np.zeros((len(queries), len(self.dense)))
+        for i, (at, w) in enumerate(queries):
+            full = self.wide[at] >= 0
+            wanted[i, self.wide[at[full]]] = w[full]
+        known = (wanted @ self.dense).reshape(len(queries), self.blocks, BLOCK)
+        return [self.one(at, w, known[i], -1 if without is None else without[i]) for i, (at, w) in enumerate(queries)]
+
+    def one(self, at: np.ndarray, w: np.ndarray, known: np.ndarray, without: int) -> list[tuple[float, int]]:
         n = self.list_first[at + 1] - self.list_first[at]
         runs, by = spread(self.list_first[at], n), np.repeat(w, n)
         block = self.run_block[runs]
-        bound = np.bincount(block, by * self.run_max[runs], self.blocks)
-        if self.blocks <= FIRST:
-            return self.best(*self.read(runs, by), without)
+        bound = np.bincount(block, by * self.run_max[runs], self.blocks) + (known.max(axis=1) if self.blocks else 0)
         early = np.zeros(self.blocks, dtype=bool)
-        early[np.argpartition(-bound, FIRST)[:FIRST]] = True
-        some = early[block]
-        rows, scores = self.read(runs[some], by[some])
-        near = self.best(rows, scores, without)
+        early[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        near = self.best(*self.read(runs, by, block, known, early), without)
         least = near[-1][0] if len(near) == NEIGHBOURS else 0.0
-        more = ((bound >= least - 1e-9) & (bound > 0) & ~early)[block]
+        more = (bound >= least - 1e-8) & (bound > 0) & ~early
         if not more.any():
             return near
-        rest = self.read(runs[more], by[more])
-        return self.best(np.concatenate([rows, rest[0]]), np.concatenate([scores, rest[1]]), without)
+        # read again with the first blocks, so that the last place is found among all
+        return self.best(*self.read(runs, by, block, known, early | more), without)
 
-    def read(self, runs: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows with their whole cosines, over all terms of some blocks; terms add up in one order, so alike examples tie."""
+    def read(self, runs: np.ndarray, by: np.ndarray, block: np.ndarray, known: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of some blocks with their whole cosines, rounded so that alike examples tie."""
+        keep = some[block]
+        runs, by = runs[keep], by[keep]
         n = self.run_n[runs]
         at = spread(self.run_first[runs], n)
-        total = np.bincount(self.row[at], np.repeat(by, n) * self.weight[at], len(self.examples))
-        rows = np.flatnonzero(total > 0)
-        return rows, total[rows]
-
-    def best(self, rows: np.ndarray, scores: np.ndarray, without: int) -> list[tuple[float, int]]:
-        examples = self.examples[rows]
-        if without >= 0:
-            other = examples != without
-            examples, scores = examples[other], scores[other]
+        rare = np.bincount(self.row[at], np.repeat(by, n) * self.weight[at], self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        return self.examples[some].ravel(), np.round(known[some] + rare[some], 9).ravel()
+
+    def best(self, examples: np.ndarray, scores: np.ndarray, without: int) -> list[tuple[float, int]]:
+        held = (scores > 0) & (examples >= 0) & (examples != without)
+        examples, scores = examples[held], scores[held]
         if len(scores) > NEIGHBOURS:  # only what reaches the last place, ties included
             top = scores >= np.partition(scores, -NEIGHBOURS)[-NEIGHBOURS]
             examples, scores = examples[top], scores[top]
@@ -158,13 +176,15 @@ class Model(NamedTuple):
         total = sum(s * self.weights[i] for s, i in near)
         return sum(s * self.weights[i] for s, i in near if self.toxic[i]) / total
 
-    def judge(self, text: str | None) -> tuple[float, str | None]:
-        """Score, and the three nearest examples as doc_id:label:cosine."""
-        near = self.index.nearest(*self.vocabulary.vector(term_counts(text))) if self.vocabulary else []
-        if not near:
-            return self.base, None
-        score = float(self.values[min(np.searchsorted(self.ends, self.vote(near)), len(self.values) - 1)])
-        return score, ",".join(f"{self.keys[i]}:{int(self.toxic[i])}:{s:.3f}" for s, i in near[:3])
+    def judge(self, texts: list[str | None]) -> list[tuple[float, str | None]]:
+        """For each text its score, and the three nearest examples as doc_id:label:cosine."""
+        if self.vocabulary is None:
+            return [(self.base, None)] * len(texts)
+        out = []
+        for near in self.index.nearest([self.vocabulary.vector(term_counts(t)) for t in texts]):
+            rate = float(self.values[min(np.searchsorted(self.ends, self.vote(near)), len(self.values) - 1)]) if near else self.base
+            out.append((rate, ",".join(f"{self.keys[i]}:{int(self.toxic[i])}:{s:.3f}" for s, i in near[:3]) or None))
+        return out
 
 
 def term_counts(text: str | None) -> Counter:
@@ -224,12 +244,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     weights = np.where(toxic, 1.0, (whole[0] / neg) / (whole[1] / pos))
     base = float(weights[toxic].sum() / weights.sum())
     model = Model(base, vocabulary, Index(vectors, len(places)), np.array([r["doc_id"] for r in rows]), toxic, weights)
-    near = [model.index.nearest(*v, without=i) for i, v in enumerate(vectors)]
-    some = np.array([bool(x) for x in near])
-    if not some.any():
+    near = [x for i in range(0, len(vectors), BATCH) for x in model.index.nearest(vectors[i : i + BATCH], range(i, i + BATCH))]
+    linked = np.array([bool(x) for x in near])
+    if not linked.any():
         return Model(base)
     votes = np.array([model.vote(x) for x in near if x])
-    ends, values = isotonic(votes, toxic[some].astype(float), weights[some])
+    ends, values = isotonic(votes, toxic[linked].astype(float), weights[linked])
     return model._replace(ends=ends, values=values)
 
 
@@ -239,8 +259,8 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def rate(batches):
-        for batch in batches:
-            judged = [shared.value.judge(text) for text in batch.column("_text").to_pylist()]
+        for batch in (whole.slice(i, BATCH) for whole in batches for i in range(0, whole.num_rows, BATCH)):
+            judged = shared.value.judge(batch.column("_text").to_pylist())
             out = [s for s, _ in judged]
             new = [pa.array(out, pa.float64()), pa.array([int(s >= CUT) for s in out], pa.int32()), pa.array([w for _, w in judged], pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *new], [*keep, "score", "predicted", "evidence"])

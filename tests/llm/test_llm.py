@@ -244,8 +244,8 @@ def test_nearest_examples_equal_brute_force():
     from marlstone.llm.op9_toxicity import BLOCK, FIRST, NEIGHBOURS, Index, Vocabulary
 
     rng = np.random.default_rng(1)
-    words = Vocabulary({f"w{i}": i for i in range(200)}, np.concatenate([np.full(10, 40.0), rng.uniform(0.5, 3, 190)]))
-    counts = [{f"w{t}": int(rng.integers(1, 4)) for t in rng.integers(0, 200, rng.integers(0, 12))} for _ in range(1000)]
+    words = Vocabulary({f"w{i}": i for i in range(200)}, np.concatenate([rng.uniform(0.5, 3, 190), np.full(10, 40.0)]))
+    counts = [{f"w{t}": int(rng.integers(1, 4)) for t in [0, *rng.integers(3, 200, rng.integers(0, 12))][k % 5 > 0 :]} for k in range(1000)]
     counts += counts[:50]
     vectors = [words.vector(x) for x in counts]
     whole = np.zeros((len(counts), 200))
@@ -253,16 +253,18 @@ def test_nearest_examples_equal_brute_force():
         row[at] = w
     index, skipped = Index(vectors, 200), 0
     read = index.read
+    assert 0 < len(index.dense) < 200
     for k in range(0, 1050, 7):
         blocks = set()
-        index.read = lambda runs, by: blocks.update(index.run_block[runs].tolist()) or read(runs, by)  # noqa: B023
+        index.read = lambda *x: blocks.update(np.flatnonzero(x[-1]).tolist()) or read(*x)  # noqa: B023
         cosines = np.round(whole @ whole[k], 9)
         cosines[k] = 0
         want = [(cosines[i], i) for i in np.lexsort((np.arange(1050), -cosines))[:NEIGHBOURS] if cosines[i] > 0]
-        got = index.nearest(*vectors[k], without=k)
+        got = index.nearest([vectors[k]], range(k, k + 1))[0]
         assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want])
         skipped += len(blocks) < index.blocks
     assert skipped > 50 and index.blocks == -(-1050 // BLOCK) > FIRST
+    assert Index([], 3).nearest([words.vector({})]) == [[]]
 
 
 def test_toxicity_scores_by_neighbours_over_all_terms(spark, sf_dir, docs):
@@ -282,7 +284,7 @@ def test_toxicity_scores_by_neighbours_over_all_terms(spark, sf_dir, docs):
         q = dict(zip(*words.vector(term_counts(text)), strict=True))
         every = sorted(((round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9), -i) for i, v in enumerate(vectors)), reverse=True)
         near = [(s, -i) for s, i in every[:NEIGHBOURS] if s > 0]
-        assert [i for _, i in model.index.nearest(*words.vector(term_counts(text)))] == [i for _, i in near], d
+        assert [i for _, i in model.index.nearest([words.vector(term_counts(text))])[0]] == [i for _, i in near], d
 
 
 def test_toxicity_of_conflicting_labels_and_clashing_names(spark):
