@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,17 +43,46 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_open_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``stored`` writes inside this block are deleted at its end; what is still read from them must be written before."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for name in _open_scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows written once as Parquet to the shared folder and read again; cuts lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged (a shuffled join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def numbered(docs: DataFrame, fixed: bool = False) -> DataFrame:
+    """``docs`` with ``_row``, which tells rows of equal or missing keys apart.
+
+    The number follows from file split and place, so it is the same each time a table is read from files. Callers that
+    read such a table say so by ``fixed``; any other rows are stored first.
+    """
+    return (docs if fixed else stored(docs, "rows")).withColumn("_row", F.monotonically_increasing_id())
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows, else unchanged (a shuffled join).
+
+    Give a stored table: its exchange then stands right below the join, so that adaptive execution can split a hot key of the other side.
+    """
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def words(text: Column) -> Column:

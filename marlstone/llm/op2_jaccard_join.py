@@ -3,12 +3,14 @@
 Texts are sets of five-word shingles (a shorter text is one shingle); two texts link at a Jaccard
 similarity of 0.8 or more.
 
-1. Texts of equal words are one class of copies; only its representative goes on, with the number
+1. Texts of equal words are one class of copies; only its first row goes on, with the number
    of copies. Each class has ``TOKENS`` MinHash values: its embedded set.
 2. Chosen path: in each of ``RUNS`` runs a bucket chooses each position of the embedding with
    probability 1 / (0.8 * TOKENS), by a hash of its path, and splits by the value there. Buckets of
-   one member end; buckets of more than ``LIMIT`` split again, up to ``DEPTH`` times; the rest are
-   compared by brute force on their embeddings, in blocks if large. A pair at 0.8 meets in a run with
+   one member end; buckets of more than ``LIMIT`` split again until they are small, or until a split leaves more
+   than ``DENSE`` of a bucket together, as its members are then mostly alike. Each further split takes at least a fixed share,
+   so this ends without a limit of depth. Ended buckets are compared by brute force on their embeddings, in blocks if large.
+   A pair at 0.8 meets in a run of up to six splits with
    probability of at least ``RUN_RECALL``, so ``RUNS`` follows from ``RECALL``.
 3. Candidate links give connected candidates. Inside each, shingle sets are compared exactly, all
    against all in blocks of bounded size, which yields each text's number of links and its class.
@@ -17,9 +19,11 @@ Copies are never expanded: links count them by multiplication. Rows made in 2 ar
 the texts; in 3 a connected group of m different near copies is compared in (m / block)^2 block pairs,
 since each of its links has to be counted, but pairs leave no task.
 
+Rows are told apart by their place in the input, not by key, so keys may repeat or be missing.
+
 Defined results: null and empty texts have no shingles and link to nothing; repeated rows link to
-each other; extra columns are ignored; a missing key never represents a class; an empty table
-gives none.
+each other; texts of any length are read whole; extra columns are ignored, whatever their names; the id of a class is
+the least key of its members, and -1 less its first row's number if none has a key; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, small, stored, table, words
+from .common import bind, numbered, small, stored, table, words
 from .graph import components
 
 WIDTH, SIMILAR = 5, 0.8
 TOKENS = 64
-LIMIT, DEPTH = 200, 3
-RECALL, RUN_RECALL = 0.999, 0.35
+LIMIT, DENSE = 200, 0.64
+RECALL, RUN_RECALL = 0.999, 0.24
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - RUN_RECALL))
-#: Embeddings that agree in this share may be similar: 0.8 less five standard deviations of 64 trials.
-MAYBE = 0.55
+#: Embeddings that agree in this share may be similar: 0.8 less four standard deviations of 64 trials.
+MAYBE = 0.6
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
 
 
@@ -61,13 +65,16 @@ def _embed(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype("<u4")
 
 
-def embedded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, same (digest of the words), n (shingles), sig (MinHash values as bytes; null without words)."""
+def embedded(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """row, key, same (digest of the words), n (shingles), sig (MinHash values as bytes; null without words)."""
     rng = np.random.default_rng(20)
     a = rng.integers(1, 2**63, TOKENS, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 2**63, TOKENS, dtype=np.uint64)
-    rows = docs.select(
-        F.col(key).cast("long").alias("key"), F.md5(F.array_join(words(F.col(text)), " ").cast("binary")).alias("same"), shingles(F.col(text)).alias("s")
+    rows = rows.select(
+        F.col("_row").alias("row"),
+        F.col(key).cast("long").alias("key"),
+        F.md5(F.array_join(words(F.col(text)), " ").cast("binary")).alias("same"),
+        shingles(F.col(text)).alias("s"),
     )
 
     def embed(batches):
@@ -76,16 +83,17 @@ def embedded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             values, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
             ends = ends - ends[0]
             sigs = [_embed(values[x:y], a, b).tobytes() if y > x else None for x, y in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("same"), pa.array(np.diff(ends).astype("int64")), pa.array(sigs, pa.binary())], ["key", "same", "n", "sig"]
-            )
+            new = [pa.array(np.diff(ends).astype("int64")), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "key", "same")), *new], ["row", "key", "same", "n", "sig"])
 
-    return rows.mapInArrow(embed, "key long, same string, n long, sig binary")
+    return rows.mapInArrow(embed, "row long, key long, same string, n long, sig binary")
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """rep, copies, n, sig, same: a row for each set of texts of equal words that has a key."""
-    return rows.where("n > 0").groupBy("same").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")).where("rep IS NOT NULL")
+    """same, rep (first row), key (the least), copies, n, sig: one for each set of texts of equal words."""
+    return rows.where("n > 0").groupBy("same").agg(
+        F.min("row").alias("rep"), F.min("key").alias("key"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")
+    )
 
 
 def value_at(sig: Column, i: Column | int) -> Column:
@@ -104,19 +112,19 @@ def leaves(reps: DataFrame) -> DataFrame:
     spark = reps.sparkSession
     starts = spark.range(RUNS).select(F.explode(chosen(F.hash("id"))).alias("i"), F.hash("id").alias("path")).collect()
     first = F.array(*[F.xxhash64(F.lit(r["path"]), F.lit(r["i"]), value_at(F.col("sig"), r["i"])) for r in starts])
-    nodes = reps.select("rep", F.explode(first).alias("bucket"))
+    nodes = reps.select("rep", F.lit(reps.count()).alias("above"), F.explode(first).alias("bucket"))
     out = None
-    for depth in range(1, DEPTH + 1):
-        sizes = nodes.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        nodes = stored(nodes.join(sizes, "bucket"), f"paths{depth}")
-        ends = nodes if depth == DEPTH else nodes.where(F.col("size") <= LIMIT)
+    while True:
+        sizes = stored(nodes.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        nodes = stored(nodes.join(sizes, "bucket"), "paths")
+        large = (F.col("size") > LIMIT) & (F.col("size") <= DENSE * F.col("above"))
+        ends = nodes.where(~large)
         out = ends if out is None else out.unionByName(ends)
-        large = nodes.where(F.col("size") > LIMIT)
-        if depth == DEPTH or large.isEmpty():
-            break
-        split = large.join(reps.select("rep", "sig"), "rep").select("rep", "sig", "bucket", F.explode(chosen(F.col("bucket"))).alias("i"))
-        nodes = split.select("rep", F.xxhash64("bucket", "i", F.expr("substring(sig, 4 * i + 1, 4)")).alias("bucket")).distinct()
-    return out
+        large = nodes.where(large)
+        if large.isEmpty():
+            return out
+        split = large.join(reps.select("rep", "sig"), "rep").select("rep", "sig", "size", "bucket", F.explode(chosen(F.col("bucket"))).alias("i"))
+        nodes = split.select("rep", F.col("size").alias("above"), F.xxhash64("bucket", "i", F.expr("substring(sig, 4 * i + 1, 4)")).alias("bucket"))
 
 
 def in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -241,31 +249,45 @@ def verified(members: DataFrame) -> DataFrame:
     return groups.mapInPandas(compare, "rep long, links long, root long")
 
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, class_id (least key of those connected by links), n_links, n_copies: a row for each document."""
-    rows = stored(embedded(docs, key, text), "embedded")
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", fixed: bool = False) -> DataFrame:
+    """_row, key, class_id, n_links, n_copies, is_first (of its class by row): a row for each document.
+
+    ``fixed`` says that ``docs`` is read from files, else it is stored first; ``_row`` is as ``numbered`` gives it.
+    """
+    docs = numbered(docs.select(F.col(key).alias(key), F.col(text).alias("_text")), fixed)
+    rows = stored(embedded(docs, key, "_text"), "embedded")
     reps = stored(classes(rows), "classes")
-    near = components(candidate_links(reps))
+    near = stored(components(candidate_links(reps)), "components")
     members = near.join(reps.select("rep", "copies", "n"), near["node"] == F.col("rep")).select("rep", "copies", "n", F.col("root").alias("component"))
     members = with_blocks(stored(members, "members"))
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("_text"))
-    # a key that repeats has one text here, that of its representative's words
+    texts = docs.select(F.col("_row").alias("rep"), "_text")
     whole = texts.join(members.hint("shuffle_hash"), "rep").select("component", "rep", "copies", "blocks", shingles(F.col("_text")).alias("s"))
-    exact = stored(verified(whole.dropDuplicates(["component", "rep"])), "verified")
+    exact = stored(verified(whole), "verified")
     counted = exact.groupBy("rep").agg(F.sum("links").alias("links"))
-    final = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = reps.select("same", "rep", "copies").join(counted, "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    final = components(exact.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    linked = stored(final.join(reps.select("rep", "key"), "rep"), "final")
+    ids = stored(linked.groupBy("root").agg(F.min("key").alias("least")), "ids")
+    linked = linked.join(small(ids), "root").select("rep", "root", "least")
+    known = reps.select("same", "rep", "key", "copies").join(counted, "rep", "left").join(linked, "rep", "left")
+    root = F.coalesce("root", "rep")
     known = known.select(
-        "same", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("n_copies")
+        "same",
+        root.alias("root"),
+        F.coalesce(F.when(F.col("root").isNull(), F.col("key")).otherwise(F.col("least")), -1 - root).alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.col("copies").alias("n_copies"),
     )
-    alone = F.col("n") == 0
+    known = stored(known, "known")
+    own = F.coalesce("key", -1 - F.col("row"))
     return rows.join(known, (rows["same"] == known["same"]) & (rows["n"] > 0), "left").select(
+        F.col("row").alias("_row"),
         F.col("key").alias(key),
-        F.when(alone, F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_id", own).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
+        F.coalesce(F.col("root") == F.col("row"), F.lit(True)).alias("is_first"),
     )
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return similar_classes(table(spark, sf_dir, "documents").select("doc_id", "text"), fixed=True).drop("_row", "is_first")

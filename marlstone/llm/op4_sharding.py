@@ -1,14 +1,14 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one counts the rows of each bucket; a row's bucket is a seeded hash of its key, so buckets are
-of equal expected size and fit in memory. Pass two scatters the rows to their buckets, shuffles each
+Pass one counts the rows of each bucket; a row's bucket is a seeded hash of its key and its place in the input, so buckets are
+of equal expected size and fit in memory, also where one key repeats. Pass two scatters the rows to their buckets, shuffles each
 bucket by Fisher-Yates with a seed of its own, and deals the shuffled sequence of all buckets to
 the shards in turn. Shard sizes differ by one row at most, and slots have no gaps.
 
-Defined results: null texts are kept as null and count one byte; rows without a key are scattered
-by their place in the input; repeated rows each get a slot; extra columns are written along; an empty
-table gives no rows. The order depends on seed, keys and number of buckets only, so a lost task is
-made again alike.
+Defined results: null texts are kept as null and count one byte; within a bucket rows are ordered by a hash of their key before the shuffle, and those of
+equal or missing keys by their places in the input; repeated rows each get a slot; a text of any length goes to one slot whole; extra columns are
+written along unchanged, those named shard or slot are replaced; an empty table gives no rows. The order depends on seed, number of buckets and the
+input's files only, so a lost task is made again alike.
 """
 
 from __future__ import annotations
@@ -16,43 +16,42 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_folder, table
+from .common import numbered, shared_folder, table
 
 SHARDS = 16
 BUCKET_BYTES = 64 << 20
 LEAST_BUCKETS = 64
 
 
-def in_buckets(docs: DataFrame, buckets: int, seed: int, key: str) -> DataFrame:
-    own = F.coalesce(F.col(key), -1 - F.monotonically_increasing_id())
-    return docs.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), own), F.lit(buckets)).cast("int"))
-
-
-def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 17, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
-    """``docs`` with ``shard`` and ``slot``; columns of these names are replaced."""
-    docs = docs.drop("shard", "slot", "_bucket", "_first")
+def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 17, key: str = "doc_id", text: str = "text", buckets: int | None = None, fixed: bool = False) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``; ``fixed`` says that ``docs`` is read from files, else it is stored first."""
+    docs = docs.drop("shard", "slot", "_bucket", "_first", "_row")
+    names, schema = docs.columns, docs.schema
     if buckets is None:
         total = docs.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
         buckets = max(LEAST_BUCKETS, -(-total // BUCKET_BYTES))
-    sizes = in_buckets(docs.select(key), buckets, seed, key).groupBy("_bucket").count()
+    bucket_of = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_row")), F.lit(buckets)).cast("int")
+    rows = numbered(docs, fixed).withColumn("_bucket", bucket_of)
+    sizes = rows.groupBy("_bucket").count()
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    rows = in_buckets(docs, buckets, seed, key).join(F.broadcast(first) if buckets <= 100_000 else first, "_bucket")
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    names = docs.columns
+    first = sizes.select("_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))  # a row for each bucket
+    rows = rows.join(F.broadcast(first) if buckets <= 100_000 else first, "_bucket")
 
-    def deal(bucket: pd.DataFrame) -> pd.DataFrame:
-        own = [seed, int(bucket["_bucket"].iloc[0])]
-        bucket = bucket.sort_values(key, kind="stable")
-        place = int(bucket["_first"].iloc[0]) + np.random.Generator(np.random.PCG64(own)).permutation(len(bucket))
-        return bucket[names].assign(shard=(place % shards).astype("int32"), slot=place // shards)
+    def deal(bucket: pa.Table) -> pa.Table:
+        number, start = bucket["_bucket"][0].as_py(), bucket["_first"][0].as_py()
+        bucket = bucket.sort_by([("_key", "ascending"), ("_row", "ascending")]).select(names)
+        place = start + np.random.Generator(np.random.PCG64([seed, number])).permutation(bucket.num_rows)
+        return bucket.append_column("shard", pa.array((place % shards).astype("int32"))).append_column("slot", pa.array(place // shards))
 
-    return rows.repartition("_bucket").groupBy("_bucket").applyInPandas(deal, schema)
+    out = T.StructType([*schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    # Arrow, not pandas, which would turn integer columns with nulls to floats
+    dealt = rows.withColumn("_key", F.xxhash64(key)).repartition(buckets, "_bucket")
+    return dealt.groupBy("_bucket").applyInArrow(deal, out)
 
 
 def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:
@@ -64,7 +63,7 @@ def write_shards(docs: DataFrame, path: str, **how) -> DataFrame:
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = write_shards(docs, f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}")
+    made = write_shards(docs, f"{shared_folder(spark).rstrip('/')}/shards-{uuid.uuid4().hex}", fixed=True)
     body = F.coalesce("text", F.lit(""))
     return made.select(
         "doc_id",

@@ -97,6 +97,30 @@ def test_join_odd(odd, none):
     assert similar_classes(none).count() == 0
 
 
+def test_join_of_repeated_and_missing_keys(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (None, "one two three"), (None, "one  two three"), (None, "other")], "doc_id long, text string")
+    got = sorted(similar_classes(rows).collect(), key=lambda r: r["_row"])
+    assert [r["n_links"] for r in got] == [1, 1, 1, 1, 1, 1, 0]
+    assert [r["class_id"] for r in got[:4]] == [1, 1, 1, 1] and [r["is_first"] for r in got] == [True, True, False, False, True, False, True]
+    assert got[4]["class_id"] == got[5]["class_id"] < 0 and got[6]["class_id"] not in (got[5]["class_id"], 1)
+    assert [r["n_copies"] for r in got] == [1, 1, 1, 1, 2, 2, 1]
+
+
+def test_join_splits_large_buckets_until_small(spark, monkeypatch):
+    from marlstone.llm import op2_jaccard_join as op2
+
+    monkeypatch.setattr(op2, "LIMIT", 4)
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 40)]
+    mixed = [[f"v{x}" for x in rng.integers(0, 10**6, 40)] for _ in range(30)]
+    texts = [" ".join(base + [f"u{i}"]) for i in range(40)] + [" ".join(base[:20] + m) for m in mixed] + [" ".join([*m, "z"]) for m in mixed] + [" ".join(m) for m in mixed]
+    got = {r["doc_id"]: r for r in similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    for i, s in enumerate(sets):
+        assert got[i]["n_links"] == sum(len(s & t) >= 0.8 * len(s | t) for t in sets) - 1, i
+
+
 def test_decontamination(spark, sf_dir, docs):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     cut = lambda t: word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
@@ -138,6 +162,24 @@ def test_sharding_odd(odd, none):
     assert len(rows) == 12 and sorted(r["shard"] for r in rows) == list(range(12)) and shuffled(none).count() == 0
 
 
+def test_sharding_keeps_keys_and_repeats(spark):
+    keys = [2**60 + 1, None, 2**60 + 3, None, 5, 5, 5]
+    rows = spark.createDataFrame([(k, f"t{i}", None if i % 2 else 2**60 + i) for i, k in enumerate(keys)], "doc_id long, text string, n long")
+    one = shuffled(rows, shards=2, buckets=1, fixed=True).collect()
+    assert sorted((r["text"], r["doc_id"], r["n"]) for r in one) == sorted(tuple(r)[1::-1] + (r["n"],) for r in rows.collect())
+    # the order by hand: hash of the key, then place; then the seeded Fisher-Yates shuffle
+    ordered = [r["text"] for r in rows.withColumn("_row", F.monotonically_increasing_id()).orderBy(F.xxhash64("doc_id"), "_row").collect()]
+    place = np.random.Generator(np.random.PCG64([17, 0])).permutation(7)
+    assert {(r["text"], r["shard"], r["slot"]) for r in one} == {(t, p % 2, p // 2) for t, p in zip(ordered, place.tolist(), strict=True)}
+    assert sorted(shuffled(rows, buckets=3).collect(), key=str) == sorted(shuffled(rows, buckets=3).collect(), key=str)
+
+
+def test_sharding_spreads_a_repeated_key(spark):
+    rows = spark.createDataFrame([(7, "same")] * 2000, "doc_id long, text string")
+    got = shuffled(rows, shards=4, buckets=8).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all((r["n"], r["d"], r["m"]) == (500, 500, 499) for r in got) and len(got) == 4
+
+
 def test_order(spark, sf_dir, docs, odd, none, tmp_path):
     for n in (1, 2, 7, 1000):
         assert sorted(feistel(np.arange(n), n, 5)) == list(range(n))
