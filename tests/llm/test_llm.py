@@ -149,6 +149,27 @@ def test_decontamination_odd(odd, none, bench):
     assert contamination(none, bench).count() == 0 and contamination(odd, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_without_ids_and_without_broadcasts(spark, monkeypatch):
+    from marlstone.llm import common
+
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = spark.createDataFrame([(None, passage), (5, passage + " tail"), (6, "of the")], "item_id long, text string")
+    texts = [passage, "x " + passage.upper() + " tail y", "of the", "P3 p4", None, " ".join(f"p{i} gap" if i == 7 else f"p{i}" for i in range(14))]
+    rows = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)] + [(None, passage)], "doc_id long, text string")
+    read = lambda: sorted(contamination(rows, items).collect(), key=lambda r: r["_row"])
+    got = read()
+    assert sorted((r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in got) == sorted(
+        [(14, 14, ("", "5"), True)] * 2 + [(17, 15, ("", "5"), True), (2, 2, ("6",), True), (2, 0, (), False), (0, 0, (), False), (15, 0, (), False)]
+    )
+    assert [r["n_near"] for r in got if r["n_words"] == 15] == [2]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert read() == got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_sharding(spark, sf_dir, docs):
     p = op4_sharding(spark, sf_dir).toPandas().merge(docs[["doc_id", "text"]])
     sizes = p.groupby("shard").slot.apply(list)
