@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences in five stages, each written as Parquet for the next.
 
-A stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
-``documents``; the last returns the packed pieces. Rows without a key are kept by stages that drop
-documents by key.
+A stage takes (spark, docs, sf_dir), with docs read from files, and returns the documents it keeps, with the columns of
+``documents``; the last returns the packed pieces. Rows are told apart by their place, so missing and repeated keys are
+treated like any others. Null and empty texts have no language and go in the first stage; texts of any length are
+treated whole; further columns of the input are left out, whatever their names; an empty table passes every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import shared_folder
+from marlstone.llm.common import numbered, scratch, shared_folder
 from marlstone.llm.op2_jaccard_join import similar_classes
 from marlstone.llm.op3_decontaminate import contamination
 from marlstone.llm.op6_language import classify, fit
@@ -32,15 +33,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least key of each group of near copies."""
-    spare = similar_classes(docs).where("class_id <> doc_id").select("doc_id").hint("shuffle_hash")
-    return docs.join(spare, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps the first document of each group of near copies."""
+    spare = similar_classes(docs, fixed=True).where("NOT is_first").select("_row").hint("shuffle_hash")
+    return numbered(docs, fixed=True).join(spare, "_row", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    hit = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").hint("shuffle_hash")
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = contamination(docs, benchmark, fixed=True).where("contaminated").select("_row").hint("shuffle_hash")
+    return numbered(docs, fixed=True).join(hit, "_row", "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
     return docs
