@@ -3,12 +3,14 @@
 Texts become sequences of at most ``LENGTH`` token ids, each text closed by id 0. A first pass stores
 the ids and counts the sequences of each input partition; their running sum gives every sequence an ordinal
 below N. A Feistel network over the next even power of two, walked along its cycle until it lands
-below N, maps ordinals to slots one to one, with no table of the permutation. Slots are grouped by
-range into blocks, and each block is stored as one run of fixed-stride records, so a reader finds
-slot s in block s // PER_BLOCK at byte (s % PER_BLOCK) * STRIDE and can resume anywhere.
+below N, maps ordinals to slots one to one, with no table of the permutation. Slots are range-partitioned: shard k
+holds the slots from k * ``PER_SHARD`` on, is sorted by one task and lies in a folder of its own as blocks, each a run of
+fixed-stride records. A reader finds slot s in shard s // PER_SHARD, block s // PER_BLOCK, at byte (s % PER_BLOCK) * STRIDE;
+it reads shards one after the other and resumes anywhere without opening those before.
 
 Defined results: a null text is an empty one and gives one sequence of id 0; a missing key stays
-missing; repeated rows each give sequences; extra columns are ignored; an empty table gives none.
+missing; repeated rows each give sequences, and there are no ties, as slots follow from places; a text of any length
+gives as many sequences as it takes; extra columns are ignored, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ LENGTH = 1024
 HEAD = 16
 STRIDE = HEAD + 2 * LENGTH
 PER_BLOCK = 512
+PER_SHARD = 64 * PER_BLOCK
 NO_KEY = -(1 << 63)
 
 
@@ -66,7 +69,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_column: str, text: str) -> Da
 
 
 def materialise(docs: DataFrame, path: str, key: int = 2024, vocabulary: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes blocks of records in training order below ``path``; returns block, n, payload as read again."""
+    """Writes blocks of records in training order below ``path``; returns shard, block, n, payload as read again."""
     whole = stored(tokenised(docs, vocabulary or default_vocabulary(), id_column, text), "ids", compression="zstd")
     first, total = {}, 0
     for r in sorted(whole.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row for each input partition
@@ -88,23 +91,37 @@ def materialise(docs: DataFrame, path: str, key: int = 2024, vocabulary: str | N
 
     def framed(ordinals, records):
         slots = feistel(np.array(ordinals, dtype=np.int64), total, key)
-        return pd.DataFrame({"block": slots // PER_BLOCK, "slot": slots, "record": records})
+        return pd.DataFrame({"shard": slots // PER_SHARD, "slot": slots, "record": records})
 
-    def join(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("slot")
-        return pd.DataFrame({"block": block["block"].iloc[:1], "n": [len(block)], "payload": [b"".join(x.ljust(STRIDE, b"\0") for x in block["record"])]})
-
-    placed = whole.mapInPandas(place, "block long, slot long, record binary")
-    blocks = placed.groupBy("block").applyInPandas(join, "block long, n int, payload binary")
-    blocks.write.option("compression", "zstd").parquet(path)
+    def blocks_of(batches):
+        """Whole blocks of the sorted records of one shard; no more than one block is held."""
+        held, records = None, []
+        for batch in batches:
+            for slot, record in zip(batch["slot"].tolist(), batch["record"].tolist(), strict=True):
+                if slot // PER_BLOCK != held:
+                    if records:
+                        yield block(held, records)
+                    held, records = slot // PER_BLOCK, []
+                records.append(record.ljust(STRIDE, b"\0"))
+        if records:
+            yield block(held, records)
+
+    def block(number, records):
+        return pd.DataFrame({"shard": [number * PER_BLOCK // PER_SHARD], "block": [number], "n": [len(records)], "payload": [b"".join(records)]})
+
+    placed = whole.mapInPandas(place, "shard long, slot long, record binary")
+    # the shard's number is its partition's, so every task writes one whole range
+    ranges = placed.repartitionById(max(1, -(-total // PER_SHARD)), F.col("shard").cast("int")).sortWithinPartitions("slot")
+    blocks = ranges.select("slot", "record").mapInPandas(blocks_of, "shard long, block long, n int, payload binary")
+    blocks.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(blocks.schema).parquet(path)
 
 
 def read_slots(blocks: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
     """slot, doc_id, start, length, ids (little-endian unsigned 16-bit) of the slots from ``first`` to before ``last``."""
-    some = blocks.where(F.col("block") >= first // PER_BLOCK)
+    some = blocks.where((F.col("shard") >= first // PER_SHARD) & (F.col("block") >= first // PER_BLOCK))
     if last is not None:
-        some = some.where(F.col("block") <= (last - 1) // PER_BLOCK)
+        some = some.where((F.col("shard") <= (last - 1) // PER_SHARD) & (F.col("block") <= (last - 1) // PER_BLOCK))
     # bound, as each use of a binary column inside a lambda would copy the whole payload
     records = bind(F.col("payload"), lambda p: F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(p, i * STRIDE + 1, F.lit(STRIDE))))
     each = some.select("block", F.posexplode(records).alias("i", "r"))

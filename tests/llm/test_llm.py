@@ -202,13 +202,40 @@ def test_sharding_spreads_a_repeated_key(spark):
 
 
 def test_order(spark, sf_dir, docs, odd, none, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     for n in (1, 2, 7, 1000):
         assert sorted(feistel(np.arange(n), n, 5)) == list(range(n))
     p = op5_training_order(spark, sf_dir).toPandas()
-    assert sorted(p.slot) == list(range(len(p))) and set(p.doc_id) == set(docs.doc_id)
+    assert sorted(p.slot) == list(range(len(p)))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for d, x in zip(docs.doc_id, t.encode_batch(list(docs.text), add_special_tokens=False), strict=True):
+        ids = np.array([*x.ids, 0], "<u2")
+        want |= {(d, a): (len(c := ids[a : a + 1024]), zlib.crc32(c.tobytes())) for a in range(0, len(ids), 1024)}
+    assert {(r.doc_id, r.start): (r.length, r.ids_crc32) for r in p.itertuples()} == want and len(p) == len(want)
     blocks = materialise(odd, f"{tmp_path}/a")
     whole = read_slots(blocks).count()
     assert whole == read_slots(blocks, 0, 5).count() + read_slots(blocks, 5).count() and materialise(none, f"{tmp_path}/b").count() == 0
+    # the order by hand: ordinals follow the places, and the slots follow from the ordinals
+    one = spark.createDataFrame([(i, "word") for i in range(100)] + [(None, None)], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["slot"] for r in read_slots(materialise(one, f"{tmp_path}/c", key=9)).collect()}
+    assert got == dict(zip([*range(100), None], feistel(np.arange(101), 101, 9).tolist(), strict=True))
+
+
+def test_order_resumes_at_a_shard(spark, tmp_path, monkeypatch):
+    from marlstone.llm import op5_training_order as op5
+
+    monkeypatch.setattr(op5, "PER_BLOCK", 4)
+    monkeypatch.setattr(op5, "PER_SHARD", 8)
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string")
+    blocks = materialise(rows, f"{tmp_path}/a")
+    assert len({f.split("/shard=")[1] for f in blocks.inputFiles()}) == 4  # one file for each range
+    parts = blocks.select("shard", "block", "n").orderBy("block").collect()
+    assert [tuple(r) for r in parts] == [(b // 2, b, 4 if b < 7 else 2) for b in range(8)]
+    late = read_slots(blocks, 17, 26)
+    assert "PartitionFilters: [isnotnull(shard" in late._jdf.queryExecution().toString() and sorted(r["slot"] for r in late.collect()) == list(range(17, 26))
 
 
 def test_language(spark, sf_dir, docs, odd, none):
@@ -292,15 +319,31 @@ def test_pii(spark, sf_dir, docs, odd, none):
     assert got[9] == "Released under the MIT License. [EMAIL]" and got[0] is None and find_spans(none).count() == 0
 
 
-def test_pipeline(spark, sf_dir, odd, none, docs):
+def test_pipeline(spark, sf_dir, odd, none, docs, tmp_path):
     import corpus_pipeline as cp
 
     out = cp.run(spark, sf_dir).toPandas()
     assert 0.7 * len(docs) < out.doc_id.nunique() < len(docs)
-    for rows in (odd, none):
-        for name, stage in cp.STAGES[:-1]:
-            rows = stage(spark, rows, sf_dir)
-            assert tuple(rows.columns) == cp.COLUMNS, name
+    for i, rows in enumerate((odd, none)):
+        for name, stage in cp.STAGES:
+            stage(spark, rows, sf_dir).write.parquet(f"{tmp_path}/{i}{name}")
+            rows = spark.read.parquet(f"{tmp_path}/{i}{name}")
+            assert name == "packing" or tuple(rows.columns) == cp.COLUMNS, name
+
+
+def test_pipeline_stages_against_plain_python(spark, sf_dir, docs, tmp_path):
+    """Near copies and contaminated rows of the whole table, by brute force; rows without keys included."""
+    import corpus_pipeline as cp
+
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a  b c d e f"), (2, "g h i j k l"), (None, item), (None, None)]
+    spark.createDataFrame([(k, t, None, None, None) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    odd = spark.read.parquet(f"{tmp_path}/rows")
+    stages = dict(cp.STAGES)
+    assert [(r["doc_id"], r["text"]) for r in stages["jaccard_join"](spark, odd, sf_dir).collect()].count((1, "a b c d e f")) == 1
+    assert stages["jaccard_join"](spark, odd, sf_dir).count() == 4
+    left = stages["decontamination"](spark, odd, sf_dir).collect()
+    assert len(left) == 5 and item not in [r["text"] for r in left]
 
 
 def test_nearest_examples_equal_brute_force():
