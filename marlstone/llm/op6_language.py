@@ -6,11 +6,13 @@ texts span the Nyström approximation; one-versus-rest ridge regression on the k
 weight for each landmark and language. As the kernel is a product of presence vectors, landmarks and
 weights fold into one matrix, and scoring is a product of batches of presence vectors with it.
 
-Bounds: at most ``SAMPLE`` labelled texts by order of a hash of their key, and ``PER_LANGUAGE`` of
-every language that has so many; at most ``LANGUAGES`` languages. Every text is then scored whole.
+Bounds: at most ``SAMPLE`` labelled texts by order of a hash of their key, and of every language ``PER_LANGUAGE`` more, or as many as
+keep these below ``MOST`` in all. Held-out rows count nowhere. Every text is then scored whole.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows are scored alone, so
-repeated ones score alike; a row without a key is scored but not learnt from; extra columns are ignored; without labels every text is ``und``.
+repeated ones score alike; of a key that repeats in the sample the least (language, text) is learnt from; texts of any length are read whole; ties between
+languages go to the first by name; a row without a key is scored but not learnt from; extra columns are ignored, whatever their names; without labels every
+text is ``und``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import is_held_out, stored, table
 
-SAMPLE, PER_LANGUAGE, LANDMARKS, LANGUAGES = 1200, 60, 240, 200
+SAMPLE, PER_LANGUAGE, MOST, LANDMARKS = 1200, 60, 12_000, 240
 RIDGE = 0.1
 FOLDS, HELD_OUT = 5, 0
 WIDTHS = (256, 8192, 16384, 16384)
@@ -51,18 +53,16 @@ def presence(text: str) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame) -> DataFrame:
     """doc_id, text, lang: the bounded sample to learn from."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~is_held_out(F.col("doc_id"), FOLDS, HELD_OUT))
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}") & ~is_held_out(F.col("doc_id"), FOLDS, HELD_OUT))
     # keys are chosen first, so that no text goes to the task that takes the least
     known = usable.select("doc_id", "lang", F.xxhash64(F.lit(6), "doc_id").alias("_order"))
-    first = lambda rows, n: rows.orderBy("_order", "doc_id").limit(n).select("doc_id")
-    picked = first(known, SAMPLE)
-    counts = docs.where("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    total = sum(r["count"] for r in counts)
-    for r in counts:
-        if SAMPLE * r["count"] < 2 * PER_LANGUAGE * total:  # the mixed sample may hold too few of it
-            picked = picked.unionByName(first(known.where(F.col("lang") == r["lang"]), PER_LANGUAGE))
-    out = usable.join(F.broadcast(picked.distinct()), "doc_id")  # at most SAMPLE + LANGUAGES * PER_LANGUAGE keys
-    return out.dropDuplicates(["doc_id"]).select("doc_id", "text", "lang")
+    mixed = known.orderBy("_order", "doc_id").limit(SAMPLE).select("doc_id")
+    # each task keeps its own first rows of a language before they are shuffled
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id"))
+    each = known.withColumn("_place", place).where(F.col("_place") <= PER_LANGUAGE).orderBy("_place", "_order", "doc_id").limit(MOST).select("doc_id")
+    picked = F.broadcast(mixed.unionByName(each).distinct())  # at most SAMPLE + MOST keys
+    rows = usable.select("doc_id", F.struct("lang", "text").alias("_row")).join(picked, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("_row").alias("_row")).select("doc_id", "_row.text", "_row.lang")
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, float]:
@@ -73,7 +73,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray, float]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "bits": [np.packbits(presence(t)).tobytes() for t in batch["text"]]})
 
-    rows = sample.mapInPandas(vectors, "doc_id long, lang string, bits binary").collect()  # bounded by SAMPLE and LANGUAGES
+    rows = sample.mapInPandas(vectors, "doc_id long, lang string, bits binary").collect()  # bounded by SAMPLE and MOST
     if not rows:
         return [], np.zeros((PLACES, 0), np.float32), 1.0
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761) % (1 << 32))

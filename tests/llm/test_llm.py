@@ -248,6 +248,19 @@ def test_language(spark, sf_dir, docs, odd, none):
     assert classify(none, model).count() == 0 and fit(none)[0] == []
 
 
+def test_language_sample_leaves_held_out_rows_out(spark):
+    from marlstone.llm.op6_language import PER_LANGUAGE, SAMPLE, labelled_sample
+
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5
+    held = [i for i in range(40_000) if crc(i) == 0][:3000]
+    rows = [(i, f"text number {i}", "aa") for i in range(6000) if crc(i)] + [(i, "held out text", "zz") for i in held]
+    rows += [(50_000 + i, f"rare {i}", f"l{i % 3}") for i in range(90)] + [(None, "no key", "nn"), (7, "x", None)]
+    got = labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    n = got.lang.value_counts()
+    assert "zz" not in n and "nn" not in n and SAMPLE - 90 <= n["aa"] <= SAMPLE + PER_LANGUAGE and not got.doc_id.duplicated().any()
+    assert all(n[f"l{k}"] == sum(crc(50_000 + i) != 0 for i in range(k, 90, 3)) for k in range(3))
+
+
 def test_licenses(spark, sf_dir, docs, odd, none):
     phrase = {"mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0."}
     got = {(r["doc_id"], r["license"]) for r in op7_licenses(spark, sf_dir).collect()}
