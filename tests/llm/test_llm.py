@@ -261,14 +261,50 @@ def test_language_sample_leaves_held_out_rows_out(spark):
     assert all(n[f"l{k}"] == sum(crc(50_000 + i) != 0 for i in range(k, 90, 3)) for k in range(3))
 
 
+def brute_licenses(texts):
+    """license_matches by plain Python: every window of every text against every template."""
+    import math
+
+    import regex
+    from marlstone.llm.op7_licenses import CONTAINED, TEMPLATES
+
+    cut = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+    grams = lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    known = [(name, set(grams(w := cut(t))), 2 ** math.ceil(math.log2(max(4, len(w))))) for name, t in TEMPLATES]
+    out = {}
+    for d, t in texts:
+        g = grams(cut(t))
+        for name, wanted, reach in known:
+            for at in range(0, len(g), reach):
+                share = len(wanted & set(g[at : at + 2 * reach - 2])) / len(wanted)
+                if share >= CONTAINED:
+                    ats, most = out.setdefault((d, name), (set(), []))
+                    ats.add(at)
+                    most.append(share)
+    return {k: (len(a), min(a), max(m)) for k, (a, m) in out.items()}
+
+
 def test_licenses(spark, sf_dir, docs, odd, none):
-    phrase = {"mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0."}
-    got = {(r["doc_id"], r["license"]) for r in op7_licenses(spark, sf_dir).collect()}
-    want = {(d, k) for d, t in zip(docs.doc_id, docs.text, strict=True) for k, p in phrase.items() if p in t}
-    assert want and want <= got and {x for x in got if x[1] in phrase} == want
+    got = {(r["doc_id"], r["license"]): (r["n_windows"], r["first_word"], r["containment"]) for r in op7_licenses(spark, sf_dir).collect()}
+    assert got and got == brute_licenses(zip(docs.doc_id, docs.text, strict=True))
     assert [(r["doc_id"], r["license"]) for r in license_matches(odd).collect()] == [(9, "mit")] and license_matches(none).count() == 0
 
 
+def test_licenses_whole_bodies(spark):
+    from marlstone.llm.op7_licenses import TEMPLATES
+
+    filler = " ".join(f"word{i}" for i in range(173))
+    texts = [(i, f"{filler} {t.upper() if i % 2 else t} {filler}") for i, (_, t) in enumerate(TEMPLATES)]
+    # some words changed, the body cut in half, and every template in one long text
+    texts += [(100 + i, " ".join("changed" if k % 40 == 7 else w for k, w in enumerate(t.split()))) for i, (_, t) in enumerate(TEMPLATES)]
+    texts += [(200 + i, " ".join(t.split()[: len(t.split()) // 2])) for i, (_, t) in enumerate(TEMPLATES)]
+    texts += [(300, f" {filler} ".join(t for _, t in TEMPLATES)), (None, "Released under the MIT License."), (None, "Released under the MIT License.")]
+    rows = license_matches(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["license"]): (r["n_windows"], r["first_word"], r["containment"]) for r in rows}
+    assert got == brute_licenses(texts) and [r["doc_id"] for r in rows].count(None) == 2
+    assert all((i, name) in got for i, (name, _) in enumerate(TEMPLATES))
+
+
 def test_packing(spark, sf_dir, docs, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
