@@ -29,7 +29,7 @@ LENGTH = 1024
 HEAD = 16
 STRIDE = HEAD + 2 * LENGTH
 PER_BLOCK = 512
-PER_SHARD = 64 * PER_BLOCK
+PER_SHARD = 16 * PER_BLOCK
 NO_KEY = -(1 << 63)
 
 
