@@ -7,10 +7,11 @@ similarity of 0.8 or more.
    of copies. Each class has ``TOKENS`` MinHash values: its embedded set.
 2. Chosen path: in each of ``RUNS`` runs a bucket chooses each position of the embedding with
    probability 1 / (0.8 * TOKENS), by a hash of its path, and splits by the value there. Buckets of
-   one member end; buckets of more than ``LIMIT`` split again until they are small, or until a split leaves more
-   than ``DENSE`` of a bucket together, as its members are then mostly alike. Each further split takes at least a fixed share,
+   one member end; buckets of more than ``LIMIT`` split again until they are small, or dense: a bucket whose members agree with
+   its pivot in ``MAYBE`` of their values on average, or that keeps more than ``DENSE`` of the bucket it was split from, as splits would only
+   repeat it. Each further split takes at least a fixed share,
    so this ends without a limit of depth. Ended buckets are compared by brute force on their embeddings, in blocks if large.
-   A pair at 0.8 meets in a run of up to six splits with
+   A pair at 0.8 meets in a run of up to four splits with
    probability of at least ``RUN_RECALL``, so ``RUNS`` follows from ``RECALL``.
 3. Candidate links give connected candidates. Inside each, shingle sets are compared exactly, all
    against all in blocks of bounded size, which yields each text's number of links and its class.
@@ -42,7 +43,7 @@ from .graph import components
 WIDTH, SIMILAR = 5, 0.8
 TOKENS = 64
 LIMIT, DENSE = 200, 0.64
-RECALL, RUN_RECALL = 0.999, 0.24
+RECALL, RUN_RECALL = 0.999, 0.31
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - RUN_RECALL))
 #: Embeddings that agree in this share may be similar: 0.8 less four standard deviations of 64 trials.
 MAYBE = 0.6
@@ -100,6 +101,12 @@ def value_at(sig: Column, i: Column | int) -> Column:
     return F.substring(sig, F.lit(4) * i + 1, F.lit(4))
 
 
+def agreement(a: Column, b: Column) -> Column:
+    """In what share of the values two embeddings agree."""
+    every = F.sequence(F.lit(0), F.lit(TOKENS - 1))
+    return F.size(F.filter(every, lambda i: value_at(a, i) == value_at(b, i))) / TOKENS
+
+
 def chosen(path: Column) -> Column:
     """Positions that a bucket splits by."""
     share = round((1 << 20) / (SIMILAR * TOKENS))
@@ -118,12 +125,17 @@ def leaves(reps: DataFrame) -> DataFrame:
         sizes = stored(nodes.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         nodes = stored(nodes.join(sizes, "bucket"), "paths")
         large = (F.col("size") > LIMIT) & (F.col("size") <= DENSE * F.col("above"))
-        ends = nodes.where(~large)
+        ends = nodes.where(~large).select("bucket", "rep", "size")
         out = ends if out is None else out.unionByName(ends)
         large = nodes.where(large)
         if large.isEmpty():
             return out
-        split = large.join(reps.select("rep", "sig"), "rep").select("rep", "sig", "size", "bucket", F.explode(chosen(F.col("bucket"))).alias("i"))
+        large = stored(large.select("bucket", "rep", "size").join(reps.select("rep", "sig"), "rep"), "large")
+        pivots = stored(large.groupBy("bucket").agg(F.min_by("sig", F.xxhash64("rep")).alias("pivot")), "pivots")
+        alike = large.join(small(pivots), "bucket").groupBy("bucket").agg((F.avg(agreement(F.col("sig"), F.col("pivot"))) >= MAYBE).alias("dense"))
+        large = large.join(small(stored(alike, "dense")), "bucket")
+        out = out.unionByName(large.where("dense").select("bucket", "rep", "size"))
+        split = large.where("NOT dense").select("rep", "sig", "size", "bucket", F.explode(chosen(F.col("bucket"))).alias("i"))
         nodes = split.select("rep", F.col("size").alias("above"), F.xxhash64("bucket", "i", F.expr("substring(sig, 4 * i + 1, 4)")).alias("bucket"))
 
 
