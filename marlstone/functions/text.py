@@ -80,3 +80,9 @@ def redact_secrets(text: Column) -> Column:
 
 def short_label(text: Column) -> Column:
     return F.substring_index(text, ":", -1)
+
+
+def lucene_query(terms: Column) -> Column:
+    """A search string of the terms: all as one phrase of triple weight if there are several, or any of them."""
+    phrase = F.when(F.size(terms) > 1, F.concat(F.lit('"'), F.array_join(terms, " "), F.lit('"^3 OR '))).otherwise("")
+    return F.concat(phrase, F.array_join(terms, " OR "))

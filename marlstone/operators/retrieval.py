@@ -7,13 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.partitions import boilerplate
+from marlstone.functions.scope import BRANCHES
 from marlstone.functions.text import content_terms, query_terms, sigmoid, tokens
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 #: Hops and weight of each relation between chunks.
 RELATIONS = {"SAME_SECTION": 1.0, "ADJACENT": 0.9, "SAME_PAGE": 0.7, "SHARED_CONCEPT": 0.6, "SAME_LESSON": 0.5}
-PER_RELATION, FINAL = 8, 5
+PER_RELATION, TRACE_LIMIT, FINAL = 8, 50, 5
+GATE_CHECKS = ("candidates_exist", "reranked", "safe_partition", "reranker_confidence", "mutually_relevant_chunks", "scope_match", "query_term_overlap", "minimum_chunks")
 QUERY_ROWS = 100_000
 
 
@@ -32,17 +35,16 @@ def bm25(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", k: int = 20) -
     """query_id, key, score, rank: BM25 of every document that has a query term.
 
     Postings of the query vocabulary alone leave the scan, aggregated for each document before any
-    shuffle of long lists; document lengths come from the same pass.
+    shuffle of long lists; each posting carries its document's length.
     """
     vocabulary = wanted.select("term").distinct()
-    terms = docs.select(key, F.explode(tokens(F.col("text"))).alias("term"))
     stats = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-    lengths = docs.select(F.col(key), F.size(tokens(F.col("text"))).alias("len"))
-    tf = terms.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    terms = docs.select(key, tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    tf = terms.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean"] or 1.0)))
-    scored = tf.join(df, "term").join(lengths, key).join(wanted, "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = tf.join(df, "term").join(wanted, "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, "score", key, k)
 
 
@@ -87,8 +89,8 @@ def rrf(channels: dict[str, tuple[DataFrame, float]], key: str, k: int | None =
     return ranked(fused, "rrf_score", key, k)
 
 
-def expand(seeds: DataFrame, chunk_rows: DataFrame, pages: DataFrame, mentions: DataFrame) -> DataFrame:
-    """seed_id, relation, chunk_id, via, position: neighbours of each seed by relation, at most eight a pair of seed and relation.
+def expand(seeds: DataFrame, chunk_rows: DataFrame, pages: DataFrame, mentions: DataFrame, limit: int = PER_RELATION) -> DataFrame:
+    """seed_id, relation, chunk_id, via, position: neighbours of each seed by relation, at most ``limit`` a pair of seed and relation.
 
     ``seeds`` has seed_id; ``mentions`` has chunk_id, concept. A seed is never its own neighbour; the order within
     a relation is by neighbour and via.
@@ -110,7 +112,7 @@ def expand(seeds: DataFrame, chunk_rows: DataFrame, pages: DataFrame, mentions:
     ).select(*pick("SAME_LESSON", none))
     rows = section.unionByName(near).unionByName(page).unionByName(concept).unionByName(lesson).distinct()
     place = F.row_number().over(Window.partitionBy("seed_id", "relation").orderBy("chunk_id", "via"))
-    return rows.withColumn("position", place).where(F.col("position") <= PER_RELATION)
+    return rows.withColumn("position", place).where(F.col("position") <= limit)
 
 
 def graph_scores(paths: DataFrame) -> DataFrame:
@@ -123,9 +125,9 @@ def graph_scores(paths: DataFrame) -> DataFrame:
 def rerank(candidates: DataFrame, texts: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataFrame:
     """Candidates with ``logit`` (6 * coverage - 3 of the question's content terms), ``probability``, ``rerank`` and ``movement``."""
     q = questions.select("query_id", content_terms(F.col("text")).alias("q"))
-    t = texts.select(key, F.array_distinct(tokens(F.col("text"))).alias("t"))
     share = F.when(F.size("q") > 0, F.size(F.array_intersect("q", "t")) / F.size("q")).otherwise(0.0)
-    scored = candidates.join(q, "query_id").join(t, key).withColumn("logit", F.round(6 * share - 3, 6)).drop("q", "t")
+    # texts are cut into tokens where they have met their candidates
+    scored = candidates.join(q, "query_id").join(texts.select(key, "text"), key).withColumn("t", tokens(F.col("text"))).drop("text").withColumn("logit", F.round(6 * share - 3, 6)).drop("q", "t")
     order = Window.partitionBy("query_id").orderBy(F.desc("logit"), "rank")
     out = scored.withColumns({"probability": F.round(sigmoid(F.col("logit")), 6), "rerank": F.row_number().over(order)})
     return out.withColumn("movement", F.col("rank") - F.col("rerank"))
@@ -143,20 +145,105 @@ def select_final(rows: DataFrame, floor: float | None = 0.0, limit: int = FINAL,
     return rows.withColumn("reason", reason).withColumn("final_rank", place).where(F.col("final_rank") <= limit)
 
 
-def gate(selected: DataFrame, questions: DataFrame, texts: DataFrame, floor: float = 0.0, overlap: float = 0.15, key: str = "doc_id") -> DataFrame:
-    """A verdict for each question: counts, confidence, overlap of its terms with all kept texts, sufficiency."""
-    q = questions.select("query_id", content_terms(F.col("text")).alias("q"))
-    kept = selected.join(texts.select(key, F.array_distinct(tokens(F.col("text"))).alias("t")), key)
-    each = kept.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.max("logit").alias("top"), F.sum((F.col("logit") >= floor).cast("int")).alias("strong"), F.array_distinct(F.flatten(F.collect_list("t"))).alias("t")
+def gate(selected: DataFrame, questions: DataFrame, texts: DataFrame, floor: float = 0.0, overlap: float = 0.15, prior: float = 1.0, key: str = "doc_id") -> DataFrame:
+    """A verdict for each question over its selected rows, with what the checks compare.
+
+    ``questions`` and ``texts`` have text, grade and subject. Boilerplate is not safe; of the safe rows those at the floor are strong, and
+    if none is, the best one is, rather one in scope; strong rows in scope are kept, those of earlier grades below ``prior`` only if no row is of the
+    question's own grade; the terms of the question are sought in all kept texts together.
+    """
+    q = questions.select("query_id", F.col("grade").alias("q_grade"), F.col("subject").alias("q_subject"), content_terms(F.col("text")).alias("q"))
+    rows = selected.select("query_id", key, "logit", "final_rank").join(q.drop("q"), "query_id").join(texts.select(key, "text", "grade", "subject"), key)
+    lineage = (F.col("subject") == F.col("q_subject")) | (F.col("q_subject").isin(*BRANCHES) & (F.col("subject") == "science"))
+    rows = rows.select(
+        "query_id", "logit", "final_rank", tokens(F.col("text")).alias("t"), (~boilerplate(F.col("text"))).alias("safe"),
+        (F.col("grade") == F.col("q_grade")).alias("is_current"), F.coalesce((F.col("grade") <= F.col("q_grade")) & lineage, F.lit(False)).alias("inside"),
+    )
+    each = Window.partitionBy("query_id")
+    first = F.row_number().over(Window.partitionBy("query_id", "safe").orderBy(F.desc("inside"), F.desc("logit"), "final_rank")) == 1
+    promoted = (F.max(F.when(F.col("safe"), F.col("logit"))).over(each) < floor) & first
+    rows = rows.withColumn("strong", F.col("safe") & ((F.col("logit") >= floor) | promoted)).withColumn("scoped", F.col("strong") & F.col("inside"))
+    any_current = F.max(F.col("scoped") & F.col("is_current")).over(each)
+    rows = rows.withColumn("keep", F.col("scoped") & (F.col("is_current") | ~any_current | (F.col("logit") >= prior)))
+    count = lambda c: F.sum(c.cast("long"))
+    sums = rows.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.count("logit").alias("n_scored"), count(F.col("safe")).alias("n_safe"), F.max(F.when(F.col("safe"), F.col("logit"))).alias("top"),
+        count(F.col("strong")).alias("n_strong"), count(F.col("keep")).alias("n_kept"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("keep"), F.col("t"))))).alias("t"),
+    )
+    counts = ("n", "n_scored", "n_safe", "n_strong", "n_kept")
+    out = q.join(sums, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    share = F.when((F.size("q") > 0) & (F.col("n_kept") > 0), F.size(F.array_intersect("q", "t")) / F.size("q")).otherwise(0.0)
+    out = out.withColumn("overlap", F.round(share, 6))
+    good = (F.col("n_scored") > 0) & (F.col("n_safe") > 0) & (F.col("n_strong") >= 1) & (F.col("n_kept") > 0) & (F.col("overlap") >= overlap)
+    level = F.when(~good, "insufficient").when((F.col("top") >= 4) & (F.col("n_strong") >= 3), "high").when(F.col("top") >= 1, "medium").otherwise("low")
+    return out.select("query_id", "n", "n_scored", "n_safe", "top", "n_strong", "n_kept", "overlap", good.alias("sufficient"), level.alias("confidence"))
+
+
+def gate_checks(verdicts: DataFrame, overlap: float = 0.15, least_strong: int = 1, least_kept: int = 1) -> DataFrame:
+    """query_id, check_name, passed: a row for each check of each verdict."""
+    passed = (
+        F.col("n") > 0, F.col("n_scored") > 0, F.col("n_safe") > 0, F.col("n_strong") >= 1, F.col("n_strong") >= least_strong, F.col("n_kept") > 0,
+        F.col("overlap") >= overlap, F.col("n_kept") >= least_kept,
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), p.alias("passed")) for n, p in zip(GATE_CHECKS, passed, strict=True)]))
+    return verdicts.select("query_id", each.alias("c")).select("query_id", "c.*")
+
+
+def merge_candidates(channels: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:
+    """One row for each candidate of any channel: its score in each, the fused score, what each channel gives (in units of 1e-8), and the strongest."""
+    rows = None
+    for name, (df, weight) in channels.items():
+        part = F.lit(weight) / (RRF_K + F.col("rank"))
+        one = df.select("query_id", key, F.lit(name).alias("channel"), "score", part.alias("part"))
+        rows = one if rows is None else rows.unionByName(one)
+    scores = [F.max(F.when(F.col("channel") == n, F.col("score"))).alias(f"{n}_score") for n in channels]
+    given = F.struct("channel", F.round(F.col("part") * 1e8).cast("long").alias("part"))
+    merged = rows.groupBy("query_id", key).agg(
+        *scores, F.round(F.sum("part"), 8).alias("rrf_score"), F.sort_array(F.collect_list(given)).alias("c"), F.max_by("channel", F.struct("part", "channel")).alias("best_channel")
+    )
+    text = F.array_join(F.transform("c", lambda x: F.concat_ws("=", x["channel"], x["part"].cast("string"))), ",")
+    return merged.select("query_id", key, *[f"{n}_score" for n in channels], "rrf_score", text.alias("contributions"), "best_channel")
+
+
+def holding(docs: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """query_id, key: the documents that contain a question's text.
+
+    Every token inside a question, between its first and its last, is a token of such a document. So the rarest of these leads to
+    the candidates, which are then tested; only questions of one or two tokens are held against all documents.
+    """
+    t = tokens(F.col("text"))
+    q = questions.where("text IS NOT NULL").withColumn("_inner", F.array_distinct(F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0)))))
+    terms = q.select("query_id", F.explode("_inner").alias("term"))
+    has = docs.select(key, F.explode(F.array_distinct(t)).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    counts = has.groupBy("term").agg(F.count("*").alias("df"))
+    # a term that no document has leaves its question without candidates
+    lead = terms.join(counts, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    pairs = has.join(lead, "term").select("query_id", key)
+    texts = q.select("query_id", F.col("text").alias("_q"))
+    found = pairs.join(texts, "query_id").join(docs.select(key, "text"), key).where(F.contains("text", F.col("_q"))).select("query_id", key)
+    short = q.where(F.size("_inner") == 0).select("query_id", F.col("text").alias("_q"))
+    return found.unionByName(in_blocks(short, lambda part: docs.join(F.broadcast(part), F.contains("text", F.col("_q"))).select("query_id", key)))
+
+
+def trace_diagnostics(paths: DataFrame, selected: DataFrame, scope: DataFrame) -> DataFrame:
+    """Every path with the first reason that applies to it; ``scope`` has chunk_id, grade and subject."""
+    seeds = paths.where(F.col("position") <= PER_RELATION).select(F.col("seed_id").alias("chunk_id")).distinct().withColumn("is_seed", F.lit(True))
+    chosen = selected.select("chunk_id").distinct().withColumn("is_chosen", F.lit(True))
+    of_seed = scope.select(F.col("chunk_id").alias("seed_id"), F.col("grade").alias("s_grade"), F.col("subject").alias("s_subject"))
+    rows = paths.join(of_seed, "seed_id").join(scope, "chunk_id").join(seeds, "chunk_id", "left").join(chosen, "chunk_id", "left")
+    inside = (F.col("s_grade") >= F.col("grade")) & (F.col("s_subject") == F.col("subject"))
+    counted = (F.col("position") <= PER_RELATION) & inside
+    nth = F.row_number().over(Window.partitionBy("chunk_id", counted).orderBy("seed_id", "relation", F.coalesce("via", F.lit(""))))
+    reason = (
+        F.when(F.col("position") > TRACE_LIMIT, "TRACE_SAFETY_LIMIT")
+        .when(F.col("is_seed"), "SEED_NODE")
+        .when(~inside, "METADATA_FILTER_MISMATCH")
+        .when(F.col("position") > PER_RELATION, "PER_RELATION_LIMIT")
+        .when(F.col("is_chosen") & (F.col("nth") == 1), "SELECTED_GRAPH_CANDIDATE")
+        .when(F.col("is_chosen"), "DUPLICATE_PATH")
+        .otherwise("GRAPH_TOP_K_CUTOFF")
     )
-    rows = q.join(each, "query_id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "strong": F.coalesce("strong", F.lit(0))})
-    strong = F.greatest("strong", F.when(F.col("n") > 0, 1).otherwise(0))  # the best one is promoted if none clears the floor
-    share = F.when((F.size("q") > 0) & (F.col("n") > 0), F.size(F.array_intersect("q", "t")) / F.size("q")).otherwise(0.0)
-    rows = rows.withColumns({"strong": strong, "overlap": F.round(share, 6)})
-    good = (F.col("n") > 0) & (F.col("strong") >= 1) & (F.col("overlap") >= overlap)
-    level = F.when(~good, "insufficient").when((F.col("top") >= 4) & (F.col("strong") >= 3), "high").when(F.col("top") >= 1, "medium").otherwise("low")
-    return rows.select("query_id", F.col("n").cast("long").alias("n"), F.col("top"), F.col("strong").cast("long").alias("strong"), "overlap", good.alias("sufficient"), level.alias("confidence"))
+    return rows.withColumn("nth", nth).select("seed_id", "relation", "chunk_id", "via", "position", reason.alias("reason"))
 
 
 def trace_reasons(paths: DataFrame, selected: DataFrame) -> DataFrame:

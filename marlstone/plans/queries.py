@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from marlstone.functions import text as tx
 from marlstone.functions.scope import Scope
 from marlstone.operators import chunking as ck
 from marlstone.operators import retrieval as rt
-from marlstone.session import table
+from marlstone.session import spread, table
 from marlstone.sources import corpus
 from marlstone.streaming import events as ev
 
@@ -170,22 +168,27 @@ def rewrite_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- documents, pages, classification -----------------------------------------------------------------------------
 
 
-@query(
-    r"""WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<(?:script|style|nav)[^>]*>.*?</(?:script|style|nav)>', '', 'g'), '<(?:h[1-4]|p|li)(?: [^>]*)?>[^<]*') AS f FROM pages),
-    e AS (SELECT page_id, unnest(range(0, len(f))) AS i, f FROM b WHERE len(f) > 0),
-    r AS (SELECT page_id, CAST(i AS INT) AS position, f[CAST(i + 1 AS INT)] AS raw FROM e)
-    SELECT page_id, position, regexp_extract(raw, '^<([a-z0-9]+)', 1) AS tag, trim(regexp_replace(regexp_extract(raw, '(?s)>(.*)$', 1), '\s+', ' ', 'g')) AS text
-    FROM r WHERE trim(regexp_replace(regexp_extract(raw, '(?s)>(.*)$', 1), '\s+', ' ', 'g')) <> ''"""
-)
+_PLAIN = "regexp_replace({}, '<[^>]*>', '', 'g')"
+for _entity, _character in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_entity}', '{_character}')"
+_BLOCK = "h1|h2|h3|h4|p|li|caption|figcaption"
+_BLOCKS = rf"""
+bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(?:script|style)[^>]*>.*?</(?:script|style)>', '', 'g'), '(?s)<nav[^>]*>.*?</nav>', '</li>', 'g') AS h FROM pages),
+marked AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '<({_BLOCK})(?: [^>]*)?>', chr(1) || '\1' || chr(2), 'g'), '</(?:{_BLOCK})>', chr(1) || 'p' || chr(2), 'g'), chr(1)) AS f FROM bare),
+piece AS (SELECT page_id, i, CASE WHEN i = 1 THEN 'p' ELSE string_split(f[i], chr(2))[1] END AS tag, CASE WHEN i = 1 THEN f[i] ELSE string_split(f[i], chr(2))[2] END AS raw
+  FROM (SELECT page_id, f, unnest(generate_series(1, len(f))) AS i FROM marked)),
+filled AS (SELECT page_id, i, tag, trim(regexp_replace({_PLAIN.format("raw")}, '\s+', ' ', 'g')) AS text FROM piece),
+blocks AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INT) AS position, tag, text FROM filled WHERE text <> '')"""
+
+
+@query(f"WITH {_BLOCKS} SELECT page_id, position, tag, text FROM blocks")
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.html_blocks(spark, sf_dir)
 
 
 @query(
-    r"""WITH b AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<(?:script|style|nav)[^>]*>.*?</(?:script|style|nav)>', '', 'g'), '<(?:h[1-4]|p|li)(?: [^>]*)?>[^<]*') AS f FROM pages),
-    e AS (SELECT page_id, unnest(range(0, len(f))) AS i, f FROM b WHERE len(f) > 0),
-    r AS (SELECT page_id, i, regexp_extract(f[CAST(i + 1 AS INT)], '^<([a-z0-9]+)', 1) AS tag, trim(regexp_replace(regexp_extract(f[CAST(i + 1 AS INT)], '(?s)>(.*)$', 1), '\s+', ' ', 'g')) AS text FROM e),
-    s AS (SELECT *, sum(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS section FROM r WHERE text <> '')
+    f"""WITH {_BLOCKS},
+    s AS (SELECT *, sum(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY position) AS section FROM blocks)
     SELECT page_id, CAST(section AS BIGINT) AS section, min(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN text END) AS title,
     CAST(sum(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN 0 ELSE 1 END) AS BIGINT) AS n_paragraphs FROM s GROUP BY page_id, section"""
 )
@@ -360,7 +363,7 @@ final AS (SELECT * FROM placed WHERE final_rank <= 5)"""
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,14 +422,67 @@ def final_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir).select("query_id", "doc_id", "logit", "tier", "reason", "final_rank")
 
 
+_SCOPED = (
+    _FINAL
+    + f""",
+asked AS (SELECT query_id, grade AS q_grade, subject AS q_subject, q FROM qc JOIN (SELECT doc_id AS query_id, grade, subject FROM (
+  SELECT doc_id, CAST(1 + doc_id % 12 AS INT) AS grade, CASE WHEN 1 + doc_id % 12 <= 2 THEN 'mathematics' WHEN 1 + doc_id % 12 <= 10 THEN ['mathematics', 'science'][CAST((doc_id // 12) % 2 + 1 AS INT)]
+    ELSE ['mathematics', 'physics', 'chemistry', 'biology'][CAST((doc_id // 12) % 4 + 1 AS INT)] END AS subject FROM (SELECT item_id AS doc_id FROM benchmark))) USING (query_id)),
+{_LINEAGE.strip()},
+seen AS (SELECT f.query_id, f.doc_id, f.logit, f.final_rank, q, list_distinct(t) AS t, NOT {_BOILER} AS safe, grade = q_grade AS is_current,
+    coalesce(grade <= q_grade AND (subject = q_subject OR (q_subject IN ('physics', 'chemistry', 'biology') AND subject = 'science')), false) AS inside
+  FROM final f JOIN asked USING (query_id) JOIN toks USING (doc_id) JOIN lineage USING (doc_id)),
+best AS (SELECT *, logit >= 0 OR (max(CASE WHEN safe THEN logit END) OVER w < 0 AND row_number() OVER (PARTITION BY query_id, safe ORDER BY inside DESC, logit DESC, final_rank) = 1) AS strong FROM seen WINDOW w AS (PARTITION BY query_id)),
+held AS (SELECT *, safe AND strong AS is_strong, safe AND strong AND inside AS scoped, bool_or(safe AND strong AND inside AND is_current) OVER (PARTITION BY query_id) AS any_current FROM best),
+kept AS (SELECT *, scoped AND (is_current OR NOT any_current OR logit >= 1) AS keep FROM held),
+sums AS (SELECT query_id, count(*) AS n, count(logit) AS n_scored, count_if(safe) AS n_safe, max(CASE WHEN safe THEN logit END) AS top, count_if(is_strong) AS n_strong, count_if(keep) AS n_kept,
+    list_distinct(flatten(list(t) FILTER (WHERE keep))) AS t FROM kept GROUP BY 1),
+gated AS (SELECT query_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(n_scored, 0) AS BIGINT) AS n_scored, CAST(coalesce(n_safe, 0) AS BIGINT) AS n_safe, top, CAST(coalesce(n_strong, 0) AS BIGINT) AS n_strong,
+    CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept, round(CASE WHEN len(q) > 0 AND n_kept > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 6) AS overlap FROM asked LEFT JOIN sums USING (query_id)),
+verdict AS (SELECT *, n > 0 AND n_scored > 0 AND n_safe > 0 AND n_strong >= 1 AND n_kept > 0 AND overlap >= 0.15 AS sufficient FROM gated)"""
+)
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.with_lineage(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "text", "grade", "subject")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("").alias("source"), "text")
+    asked = corpus.with_lineage(asked).select(F.col("doc_id").alias("query_id"), "text", "grade", "subject")
+    return rt.gate(_selected(spark, sf_dir), asked, docs)
+
+
 @query(
-    f"""WITH {_FINAL}, kept AS (SELECT query_id, count(*) AS n, max(logit) AS top, sum(CASE WHEN logit >= 0 THEN 1 ELSE 0 END) AS strong, list_distinct(flatten(list(t))) AS t FROM final JOIN toks USING (doc_id) GROUP BY 1),
-    g AS (SELECT query_id, CAST(coalesce(n, 0) AS BIGINT) AS n, top, CAST(greatest(coalesce(strong, 0), CASE WHEN coalesce(n, 0) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS strong,
-      round(CASE WHEN len(q) > 0 AND n > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 6) AS overlap FROM qc LEFT JOIN kept USING (query_id))
-    SELECT *, n > 0 AND strong >= 1 AND overlap >= 0.15 AS sufficient, CASE WHEN NOT (n > 0 AND strong >= 1 AND overlap >= 0.15) THEN 'insufficient' WHEN top >= 4 AND strong >= 3 THEN 'high' WHEN top >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM g"""
+    f"""WITH {_SCOPED} SELECT query_id, n, n_scored, n_safe, top, n_strong, n_kept, overlap, sufficient,
+    CASE WHEN NOT sufficient THEN 'insufficient' WHEN top >= 4 AND n_strong >= 3 THEN 'high' WHEN top >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM verdict"""
 )
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.gate(_selected(spark, sf_dir), _questions(spark, sf_dir), _documents(spark, sf_dir))
+    return _gate(spark, sf_dir)
+
+
+@query(
+    f"""WITH {_SCOPED} SELECT query_id, unnest(['candidates_exist', 'reranked', 'safe_partition', 'reranker_confidence', 'mutually_relevant_chunks', 'scope_match', 'query_term_overlap', 'minimum_chunks']) AS check_name,
+    unnest([n > 0, n_scored > 0, n_safe > 0, n_strong >= 1, n_strong >= 1, n_kept > 0, overlap >= 0.15, n_kept >= 1]) AS passed FROM verdict"""
+)
+def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rt.gate_checks(_gate(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_LEXICAL}, u AS (SELECT query_id, doc_id, 'fulltext' AS channel, rank, score, 1.0 / (60 + rank) AS part FROM lexical UNION ALL SELECT query_id, doc_id, 'coverage', rank, score, 0.5 / (60 + rank) FROM covering)
+    SELECT query_id, doc_id, max(CASE WHEN channel = 'fulltext' THEN score END) AS fulltext_score, max(CASE WHEN channel = 'coverage' THEN score END) AS coverage_score,
+    round(sum(part), 8) AS rrf_score, string_agg(channel || '=' || CAST(CAST(round(part * 100000000) AS BIGINT) AS VARCHAR), ',' ORDER BY channel) AS contributions, arg_max(channel, row(part, channel)) AS best_channel FROM u GROUP BY 1, 2"""
+)
+def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    channels = {"fulltext": (lexical_bm25_topk(spark, sf_dir), 1.0), "coverage": (coverage_topk(spark, sf_dir), 0.5)}
+    return rt.merge_candidates(channels, "doc_id")
+
+
+@query(
+    rf"""SELECT item_id, CASE WHEN len(t) > 1 THEN '"' || array_to_string(t, ' ') || '"^3 OR ' ELSE '' END || array_to_string(t, ' OR ') AS lucene
+    FROM (SELECT item_id, list_sort({_terms(_TOK)}) AS t FROM benchmark)"""
+)
+def lexical_query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search strings of the questions: all terms as a boosted phrase, or any of them."""
+    return table(spark, sf_dir, "benchmark").select("item_id", tx.lucene_query(F.sort_array(tx.query_terms(F.col("text")))).alias("lucene"))
 
 
 @query(
@@ -436,9 +492,7 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT count(*) AS n_queries, round(avg(coalesce(hits / total, 0)), 4) AS recall, round(avg(coalesce(rr, 0)), 4) AS mrr, round(avg(coalesce(dcg / idcg, 0)), 4) AS ndcg FROM ideal LEFT JOIN got USING (query_id)"""
 )
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, docs = _questions(spark, sf_dir).select("query_id", F.col("text").alias("q")), _documents(spark, sf_dir)
-    holding = lambda part: docs.join(F.broadcast(part), F.contains("text", F.col("q"))).select("query_id", "doc_id", F.lit(1).alias("gain"))
-    relevant = rt.in_blocks(q, holding)
+    relevant = rt.holding(_documents(spark, sf_dir), _questions(spark, sf_dir)).withColumn("gain", F.lit(1))
     return rt.ir_metrics(rrf_fusion(spark, sf_dir), relevant)
 
 
@@ -463,13 +517,13 @@ gs AS (SELECT chunk_id, round(sum(CASE relation WHEN 'SAME_SECTION' THEN 1.0 WHE
 )
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _paths(spark: SparkSession, sf_dir: str, limit: int = rt.PER_RELATION) -> DataFrame:
     c = corpus.chunks(spark, sf_dir)
     low = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
     seeds = c.where("chunk_index = 0").join(low, "doc_id", "left_semi").select(F.col("chunk_id").alias("seed_id"))
     m = _mentions(c)
     hubs = m.groupBy("concept").agg(F.count("*").alias("n")).where("n > 400").select("concept")
-    return rt.expand(seeds, c, corpus.on_page(c), m.join(hubs, "concept", "left_anti").select("chunk_id", "concept"))
+    return rt.expand(seeds, c, corpus.on_page(c), m.join(hubs, "concept", "left_anti").select("chunk_id", "concept"), limit)
 
 
 @query(f"WITH {_GRAPH} SELECT seed_id, relation, chunk_id, via, position FROM paths")
@@ -493,6 +547,35 @@ def trace_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.trace_reasons(paths, rt.graph_scores(paths).where("score >= 1").select("chunk_id"))
 
 
+_TRACED = (
+    _GRAPH
+    + """,
+scope AS (SELECT chunk_id, grade, subject FROM chunks),
+every AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id, relation ORDER BY chunk_id, via NULLS FIRST) AS INT) AS position FROM paths0),
+shown AS (SELECT * FROM every WHERE position <= 51),
+picked AS (SELECT chunk_id FROM gs WHERE score >= 1),
+judged AS (SELECT e.*, a.grade < b.grade OR a.subject <> b.subject AS outside, e.chunk_id IN (SELECT seed_id FROM paths) AS is_seed, e.chunk_id IN (SELECT chunk_id FROM picked) AS is_chosen,
+  row_number() OVER (PARTITION BY e.chunk_id, e.position <= 8 AND a.grade >= b.grade AND a.subject = b.subject ORDER BY e.seed_id, e.relation, coalesce(e.via, '')) AS nth
+  FROM shown e JOIN scope a ON a.chunk_id = e.seed_id JOIN scope b ON b.chunk_id = e.chunk_id),
+traced AS (SELECT seed_id, relation, chunk_id, via, position, CASE WHEN position > 50 THEN 'TRACE_SAFETY_LIMIT' WHEN is_seed THEN 'SEED_NODE' WHEN outside THEN 'METADATA_FILTER_MISMATCH'
+  WHEN position > 8 THEN 'PER_RELATION_LIMIT' WHEN is_chosen AND nth = 1 THEN 'SELECTED_GRAPH_CANDIDATE' WHEN is_chosen THEN 'DUPLICATE_PATH' ELSE 'GRAPH_TOP_K_CUTOFF' END AS reason FROM judged)"""
+)
+
+
+@query(f"WITH {_TRACED} SELECT * FROM traced")
+def trace_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every path up to the safety limit with the first reason that applies, those beyond the limit of a relation and outside the seed's scope included."""
+    every = _paths(spark, sf_dir, rt.TRACE_LIMIT + 1)
+    paths = every.where(F.col("position") <= rt.PER_RELATION)
+    chosen = rt.graph_scores(paths).where("score >= 1").select("chunk_id")
+    return rt.trace_diagnostics(every, chosen, corpus.chunks(spark, sf_dir).select("chunk_id", "grade", "subject"))
+
+
+@query(f"WITH {_TRACED} SELECT relation, reason, count(*) AS n_paths, count(DISTINCT chunk_id) AS n_chunks FROM traced GROUP BY 1, 2")
+def trace_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace_diagnostics(spark, sf_dir).groupBy("relation", "reason").agg(F.count("*").alias("n_paths"), F.countDistinct("chunk_id").alias("n_chunks"))
+
+
 # -- events, inspection, store ------------------------------------------------------------------------------------
 
 
@@ -521,12 +604,9 @@ def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("event: "), "event_type", F.lit("\ndata: "), "props", F.lit("\n\n")).alias("frame"))
 
 
-@query()
+@query(SQL["event_fold"])
 def stream_event_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = f"fold_{uuid.uuid4().hex}"
-    run = ev.fold_stream(spark, sf_dir).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).groupBy("user_id").agg(F.max_by(F.struct("n_events", "n_errors", "total", "last_event"), "n_events").alias("r")).select("user_id", "r.*")
+    return ev.finished_fold(spark, sf_dir)
 
 
 @query(f"WITH {_CHUNKS} SELECT grade, subject, count(DISTINCT unit_id) AS units, count(DISTINCT document_id) AS documents, count(*) AS n_chunks FROM chunks GROUP BY 1, 2")
@@ -551,9 +631,10 @@ def unit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunks(spark, sf_dir).groupBy("unit_id").agg(F.countDistinct("document_id").alias("documents"), F.countDistinct("section_id").alias("sections"), F.count("*").alias("n_chunks"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def orphan_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    urgent = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
+    orders = table(spark, sf_dir, "orders").where(urgent).select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -29,3 +30,17 @@ def local_session(cores: str | int = "*", partitions: int = 8, driver_memory: st
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the given tables, by a path that only Spark needs to be able to open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores where their scan has fewer splits, as of a single small file; large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in local mode a fresh one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")

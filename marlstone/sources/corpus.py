@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.partitions import partition
 from marlstone.functions.text import lines
-from marlstone.session import table
+from marlstone.session import spread, table
 
 CHUNK_LINES, PAGE_LINES, SECTION_LINES = 4, 5, 10
 BLOCK_TAGS = frozenset(("h1", "h2", "h3", "h4", "p", "li", "caption", "figcaption"))
@@ -39,7 +39,7 @@ def with_lineage(docs: DataFrame) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table: four lines each, with lineage, pages, section and position; cut inside each row, without a shuffle."""
-    docs = with_lineage(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    docs = with_lineage(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")))
     docs = docs.withColumn("_l", lines(F.col("text"))).where(F.size("_l") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / CHUNK_LINES).cast("int")), lambda i: F.slice("_l", i * CHUNK_LINES + 1, CHUNK_LINES))
     each = docs.select("*", F.posexplode(cut).alias("chunk_index", "_c"))
