@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 #: Words that carry no content in questions and evidence.
 STOP_WORDS = (
-    "a about all an and any are as at be because been but by can could did do does each for from get give had has have "
-    "he her him his how i if in into is it its just know like make many me more most my no not of on one or other our out "
-    "over same she should so some such tell than that the their them then there these they this to under up us use very "
-    "was we were what when where which while who why will with would you your"
-).split()
+    "a", "about", "all", "an", "and", "any", "are", "as", "at", "be", "because", "been", "but", "by", "can", "could",
+    "did", "do", "does", "each", "for", "from", "get", "give", "had", "has", "have", "he", "her", "him", "his", "how",
+    "i", "if", "in", "into", "is", "it", "its", "just", "know", "like", "make", "many", "me", "more", "most", "my",
+    "no", "not", "of", "on", "one", "or", "other", "our", "out", "over", "same", "she", "should", "so", "some", "such",
+    "tell", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "under", "up",
+    "us", "use", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "why", "will", "with",
+    "would", "you", "your",
+)
 
 TOKEN = r"[\p{L}\p{N}_'’]+"
 ACCENTS, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
@@ -61,12 +64,12 @@ def tokens(text: Column) -> Column:
 def query_terms(text: Column) -> Column:
     """Distinct terms without stop words and single letters; if none is left, all longer than one letter."""
     every = F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) > 1))
-    kept = F.filter(every, lambda t: ~t.isin(STOP_WORDS))
+    kept = F.filter(every, lambda t: ~t.isin(*STOP_WORDS))
     return F.when(F.size(kept) > 0, kept).otherwise(every)
 
 
 def content_terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(STOP_WORDS)))
+    return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS)))
 
 
 def sigmoid(x: Column) -> Column:

@@ -276,7 +276,7 @@ mentions AS (SELECT chunk_id, concept, count(*) AS occurrences FROM (SELECT chun
 
 def _vocabulary(chunk_rows: DataFrame) -> DataFrame:
     found = F.regexp_extract_all(F.lower("section_title"), F.lit(r"[\p{L}]{5,}"), F.lit(0))
-    terms = chunk_rows.select("section_title", F.explode(found).alias("concept")).where(~F.col("concept").isin(tx.STOP_WORDS))
+    terms = chunk_rows.select("section_title", F.explode(found).alias("concept")).where(~F.col("concept").isin(*tx.STOP_WORDS))
     return terms.groupBy("concept").agg(F.countDistinct("section_title").alias("support")).where(F.col("support") >= 2)
 
 
@@ -680,7 +680,7 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- titles, answers, evidence, chunk packing, purge ---------------------------------------------------------------
 
 
-def _in(words: list[str]) -> str:
+def _in(words: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
