@@ -28,6 +28,8 @@ from .tokens import default_vocabulary, tokenizer
 
 WINDOW = 1024
 SHARD_DOCS = 2048
+BLOCK = 1024  # texts counted at once
+SPENT = 0.125  # share of used texts at which their postings leave the index
 IDS = 1 << 16
 K1, B = 1.2, 0.75
 NO_KEY = -(1 << 63)
@@ -37,6 +39,14 @@ ROUTED = "shard int, doc_id long, row long, start long, doc_tokens long, ids bin
 PACKED = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the text, id and number of occurrences, for each text and distinct id in order."""
+    sizes = [len(d) for d in docs]
+    ids = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
+    pairs, tf = np.unique((np.repeat(np.arange(len(docs)), sizes) << 16) + ids, return_counts=True)
+    return pairs >> 16, pairs & 0xFFFF, tf
+
+
 class Stats:
     """Number and mean length of all tails, and how many of them have each id."""
 
@@ -47,47 +57,62 @@ class Stats:
 
     @classmethod
     def of(cls, docs: list[np.ndarray]) -> Stats:
-        df = np.zeros(IDS, dtype=np.int64)
-        for d in docs:
-            df[np.unique(d)] += 1
+        df = np.bincount(counted(docs)[1], minlength=IDS)
         return cls(len(docs), float(np.mean([len(d) for d in docs])) if docs else 1.0, df)
 
     def weights(self, terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
         return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes / self.mean))
 
-    def telling(self, doc: np.ndarray) -> tuple[int, int]:
-        """The two ids of greatest weight that another tail has as well; -1 for none."""
-        terms, tf = np.unique(doc, return_counts=True)
-        w = self.shared[terms] * (tf / (tf + K1 * (1 - B + B * len(doc) / self.mean)))
-        i = int(w.argmax())
-        if w[i] <= 0:
-            return -1, -1
-        w[i] = 0
-        j = int(w.argmax())
-        return int(terms[i]), int(terms[j]) if w[j] > 0 else -1
+    def telling(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text the two ids of greatest weight that another tail has as well, the lesser of equal ones; -1 for none."""
+        best = [[], []]
+        for at in range(0, len(docs), BLOCK):
+            part = docs[at : at + BLOCK]
+            sizes = np.array([len(d) for d in part])
+            owner, term, tf = counted(part)
+            w = self.shared[term] * (tf / (tf + K1 * (1 - B + B * sizes[owner] / self.mean)))
+            firsts = np.searchsorted(owner, np.arange(len(part)))
+            for out in best:
+                top = np.maximum.reduceat(w, firsts)
+                hits = np.flatnonzero(w == top[owner])
+                hits = hits[np.unique(owner[hits], return_index=True)[1]]
+                out.append(np.where(top > 0, term[hits], -1))
+                w[hits] = 0
+        first, second = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in best)
+        return first, second
 
 
 class Bm25:
     """Inverted index over one shard's token arrays, weighted by the statistics of all tails."""
 
     def __init__(self, docs: list[np.ndarray], stats: Stats):
-        self.n = n = len(docs)
         sizes = np.array([len(d) for d in docs], dtype=np.float64)
-        pairs = np.concatenate([d.astype(np.int64) + (i << 32) for i, d in enumerate(docs)]) if n else np.zeros(0, np.int64)
-        pairs, tf = np.unique(pairs, return_counts=True)
-        doc, term = pairs >> 32, pairs & 0xFFFFFFFF
+        doc, term, tf = counted(docs)
         order = np.argsort(term, kind="stable")
-        self.doc, term, tf = doc[order], term[order], tf[order]
-        self.terms, self.first, df = np.unique(term, return_index=True, return_counts=True)
-        self.last = self.first + df
-        self.weight = stats.weights(term, tf, sizes[self.doc])
+        self.live, self.doc, self.term = np.arange(len(docs)), doc[order], term[order]
+        self.weight = stats.weights(self.term, tf[order], sizes[self.doc])
+        self.bounds()
+
+    def bounds(self) -> None:
+        self.terms, first, df = np.unique(self.term, return_index=True, return_counts=True)
+        self.spans = [slice(a, b) for a, b in zip(first.tolist(), (first + df).tolist(), strict=True)]
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Only postings of unused texts stay; ``live`` lists these texts, and postings name places in it."""
+        stay = unused[self.live]
+        place, kept = np.cumsum(stay) - 1, stay[self.doc]
+        self.live, self.doc, self.term, self.weight = self.live[stay], place[self.doc[kept]], self.term[kept], self.weight[kept]
+        self.bounds()
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        """BM25 of every text for all ids of the query, which is one of the texts."""
-        spans = [slice(self.first[i], self.last[i]) for i in np.searchsorted(self.terms, np.unique(query))]
+        """BM25 of every live text for all ids of the query."""
+        ids = np.unique(query)
+        at = np.searchsorted(self.terms, ids)
+        ids, at = ids[at < len(self.terms)], at[at < len(self.terms)]
+        spans = [self.spans[i] for i in at[self.terms[at] == ids].tolist()]
         if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+            return np.zeros(len(self.live))
+        return np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.live))
 
 
 def fill(docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None = None) -> list[list[tuple[int, int, int]]]:
@@ -107,10 +132,13 @@ def fill(docs: list[np.ndarray], window: int = WINDOW, stats: Stats | None = Non
         parts, room = [(seed, start, start + taken)], window - taken
         rest = (seed, start + taken) if start + taken < len(docs[seed]) else None
         if room:
-            scores, left = index.scores(docs[seed]), np.flatnonzero(unused)
-            for i in left[np.argsort(-scores[left], kind="stable")].tolist():
-                if not room:
-                    break
+            left = int(unused.sum())
+            if left < len(index.live) * (1 - SPENT):
+                index.keep(unused)
+            scores = np.where(unused[index.live], index.scores(docs[seed]), -1.0)
+            while room and left:
+                place = int(scores.argmax())
+                i, scores[place], left = int(index.live[place]), -1.0, left - 1
                 cut = min(room, len(docs[i]))
                 parts.append((i, 0, cut))
                 unused[i], room = False, room - cut
@@ -147,10 +175,10 @@ def tail_stats(tails: DataFrame) -> Stats:
     def count(batches):
         df, n, total = np.zeros(IDS, dtype=np.int64), 0, 0
         for batch in batches:
-            for x in batch["ids"]:
-                ids = np.frombuffer(x, "<u2")
-                df[np.unique(ids)] += 1
-                n, total = n + 1, total + len(ids)
+            docs = [np.frombuffer(x, "<u2") for x in batch["ids"]]
+            for at in range(0, len(docs), BLOCK):
+                df += np.bincount(counted(docs[at : at + BLOCK])[1], minlength=IDS)
+            n, total = n + len(docs), total + sum(map(len, docs))
         at = np.flatnonzero(df)
         yield pd.DataFrame({"term": [*at.tolist(), -1, -2], "n": [*df[at].tolist(), n, total]})
 
@@ -166,7 +194,8 @@ class Routes:
     def __init__(self, tails: DataFrame, stats: Stats, shard_docs: int):
         def pairs(batches):
             for batch in batches:
-                yield pd.DataFrame([stats.telling(np.frombuffer(x, "<u2")) for x in batch["ids"]], columns=["a", "b"])
+                a, b = stats.telling([np.frombuffer(x, "<u2") for x in batch["ids"]])
+                yield pd.DataFrame({"a": a, "b": b})
 
         counted = stored(tails.select("ids").mapInPandas(pairs, "a int, b int").groupBy("a", "b").agg(F.count("*").alias("n")), "pairs")
         groups = {r["a"]: r["n"] for r in counted.groupBy("a").agg(F.sum("n").alias("n")).collect()}  # at most IDS + 1
@@ -206,11 +235,12 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, s
 
     def route(batches):
         for batch in batches:
-            shard = []
-            for x, salt, start in zip(batch["ids"], batch["salt"].tolist(), batch["start"].tolist(), strict=True):
-                ids = np.frombuffer(x, "<u2")
-                shard.append((salt + start) % routes.shards if len(ids) == window else routes.shard(*stats.telling(ids), salt))
-            yield batch.drop(columns="salt").assign(shard=np.array(shard, dtype=np.int32))[["shard", "doc_id", "row", "start", "doc_tokens", "ids"]]
+            shard = (batch["salt"].to_numpy() + batch["start"].to_numpy()) % routes.shards
+            ids = [np.frombuffer(x, "<u2") for x in batch["ids"]]
+            ends = [i for i, x in enumerate(ids) if len(x) < window]
+            a, b = stats.telling([ids[i] for i in ends])
+            shard[ends] = [routes.shard(*k) for k in zip(a.tolist(), b.tolist(), batch["salt"].to_numpy()[ends].tolist(), strict=True)]
+            yield batch.drop(columns="salt").assign(shard=shard.astype(np.int32))[["shard", "doc_id", "row", "start", "doc_tokens", "ids"]]
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "row", "start"], kind="stable")

@@ -34,16 +34,14 @@ class Tokenizer:
             raise ValueError("added tokens with single_word, lstrip, rstrip or normalized are not supported")
         self.added = {t["content"]: t["id"] for t in added}
         encoding = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in self.added.values()}, special_tokens=self.added)
-        self.ordinary, self.special = encoding.encode_ordinary, encoding.encode
+        self.numpy = encoding.encode_to_numpy
 
-    def encode(self, text: str) -> list[int]:
-        if any(t in text for t in self.added):
-            return self.special(text, allowed_special="all")
-        return self.ordinary(text)
+    def encode(self, text: str) -> np.ndarray:
+        return self.numpy(text, allowed_special="all")
 
     def ids(self, text: str | None) -> bytes:
         """The ids of a text; none for null."""
-        return np.array(self.encode(text), dtype="<u2").tobytes() if text else b""
+        return self.encode(text).astype("<u2").tobytes() if text else b""
 
 
 _made: dict[str, Tokenizer] = {}
