@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -71,10 +71,17 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 def numbered(docs: DataFrame, fixed: bool = False) -> DataFrame:
     """``docs`` with ``_row``, which tells rows of equal or missing keys apart.
 
-    The number follows from file split and place, so it is the same each time a table is read from files. Callers that
-    read such a table say so by ``fixed``; any other rows are stored first.
+    The number is the rank of the row's file, by path, and the row's place in that file. Neither the cut into splits nor the
+    number of cores enters it, so it is the same each time the table is read, on any cluster. Callers that read a table from
+    files say so by ``fixed``; any other rows are stored first. The broadcast table has a row for each file, and the driver
+    has listed these already.
     """
-    return (docs if fixed else stored(docs, "rows")).withColumn("_row", F.monotonically_increasing_id())
+    rows = docs if fixed else stored(docs, "rows")
+    where = rows.metadataColumn("_metadata")
+    files = rows.select(where["file_path"].alias("_file")).distinct()
+    files = files.withColumn("_rank", F.row_number().over(Window.orderBy("_file")).cast("long") - 1)
+    placed = rows.select("*", where["file_path"].alias("_file"), where["row_index"].alias("_index"))
+    return placed.join(F.broadcast(files), "_file").select(*docs.columns, (F.shiftleft("_rank", 33) + F.col("_index")).alias("_row"))
 
 
 def small(df: DataFrame) -> DataFrame:

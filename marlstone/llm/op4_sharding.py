@@ -8,7 +8,7 @@ the shards in turn. Shard sizes differ by one row at most, and slots have no gap
 Defined results: null texts are kept as null and count one byte; within a bucket rows are ordered by a hash of their key before the shuffle, and those of
 equal or missing keys by their places in the input; repeated rows each get a slot; a text of any length goes to one slot whole; extra columns are
 written along unchanged, those named shard or slot are replaced; an empty table gives no rows. The order depends on seed, number of buckets and the
-input's files only, so a lost task is made again alike.
+input's files only, not on how Spark cuts them into splits, so a lost task is made again alike and so is the whole order on another cluster.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ LEAST_BUCKETS = 64
 
 def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = 17, key: str = "doc_id", text: str = "text", buckets: int | None = None, fixed: bool = False) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``; ``fixed`` says that ``docs`` is read from files, else it is stored first."""
-    docs = docs.drop("shard", "slot", "_bucket", "_first", "_row")
+    docs = docs.drop("shard", "slot", "_bucket", "_first", "_row", "_key", "_file", "_rank", "_index")
     names, schema = docs.columns, docs.schema
     if buckets is None:
         total = docs.select(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0

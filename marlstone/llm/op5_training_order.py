@@ -1,8 +1,8 @@
 """Training-order materialisation: a keyed Feistel permutation gives every sequence a global slot.
 
 Texts become sequences of at most ``LENGTH`` token ids, each text closed by id 0. A first pass stores
-the ids and counts the sequences of each input partition; their running sum gives every sequence an ordinal
-below N. A Feistel network over the next even power of two, walked along its cycle until it lands
+the ids and counts the sequences of each run of rows that a task reads from one file; their running sum in the order of
+files and rows gives every sequence an ordinal below N, however the files are cut into splits. A Feistel network over the next even power of two, walked along its cycle until it lands
 below N, maps ordinals to slots one to one, with no table of the permutation. Slots are range-partitioned: shard k
 holds the slots from k * ``PER_SHARD`` on, is sorted by one task and lies in a folder of its own as blocks, each a run of
 fixed-stride records. A reader finds slot s in shard s // PER_SHARD, block s // PER_BLOCK, at byte (s % PER_BLOCK) * STRIDE;
@@ -18,11 +18,10 @@ from __future__ import annotations
 import uuid
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bind, shared_folder, stored, table
+from .common import bind, numbered, shared_folder, stored, table
 from .tokens import default_vocabulary, tokenizer
 
 LENGTH = 1024
@@ -53,26 +52,38 @@ def feistel(at: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def tokenised(docs: DataFrame, vocabulary: str, id_column: str, text: str) -> DataFrame:
-    """part, at, n, _key, ids: each text's ids closed by id 0, its n sequences, and how many its partition has before it."""
-    rows = docs.select(F.coalesce(F.col(id_column), F.lit(NO_KEY)).alias("_key"), F.col(text).alias("_text"))
+def tokenised(docs: DataFrame, vocabulary: str, id_column: str, text: str, fixed: bool = False) -> DataFrame:
+    """part, at, n, _key, ids: each text's ids closed by id 0 and its n sequences; the first row of its run, and how many the run has before it."""
+    rows = numbered(docs.select(F.coalesce(F.col(id_column), F.lit(NO_KEY)).alias("_key"), F.col(text).alias("_text")), fixed)
 
     def encode(batches):
-        ids_of, part, at = tokenizer(vocabulary).ids, TaskContext.get().partitionId(), 0
+        ids_of, part, at, last = tokenizer(vocabulary).ids, -1, 0, -2
         for batch in batches:
             ids = [ids_of(t) + b"\0\0" for t in batch["_text"].tolist()]
             n = np.array([-(-len(x) // (2 * LENGTH)) for x in ids], dtype=np.int64)
-            yield pd.DataFrame({"part": part, "at": at + n.cumsum() - n, "n": n, "_key": batch["_key"], "ids": ids})
-            at += int(n.sum())
-
-    return rows.mapInPandas(encode, "part int, at long, n long, _key long, ids binary")
-
-
-def materialise(docs: DataFrame, path: str, key: int = 2024, vocabulary: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes blocks of records in training order below ``path``; returns shard, block, n, payload as read again."""
-    whole = stored(tokenised(docs, vocabulary or default_vocabulary(), id_column, text), "ids", compression="zstd")
+            rows_, before = batch["_row"].to_numpy(), n.cumsum() - n
+            opens = np.flatnonzero(rows_ != np.concatenate([[last], rows_[:-1]]) + 1)  # the run of the batch before goes on until the first of these
+            which = np.searchsorted(opens, np.arange(len(rows_)), side="right")
+            starts = np.concatenate([[part], rows_[opens]])
+            shift = np.concatenate([[at], -before[opens]])
+            place = before + shift[which]
+            yield pd.DataFrame({"part": starts[which], "at": place, "n": n, "_key": batch["_key"], "ids": ids})
+            if len(rows_):
+                part, at, last = int(starts[which[-1]]), int(place[-1] + n[-1]), int(rows_[-1])
+
+    return rows.mapInPandas(encode, "part long, at long, n long, _key long, ids binary")
+
+
+def materialise(
+    docs: DataFrame, path: str, key: int = 2024, vocabulary: str | None = None, id_column: str = "doc_id", text: str = "text", fixed: bool = False
+) -> DataFrame:
+    """Writes blocks of records in training order below ``path``; returns shard, block, n, payload as read again.
+
+    ``fixed`` says that ``docs`` is read from files, else it is stored first.
+    """
+    whole = stored(tokenised(docs, vocabulary or default_vocabulary(), id_column, text, fixed), "ids", compression="zstd")
     first, total = {}, 0
-    for r in sorted(whole.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row for each input partition
+    for r in sorted(whole.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row for each input partition and file
         first[r["part"]], total = total, total + r["n"]
 
     def place(batches):
@@ -139,5 +150,5 @@ def read_slots(blocks: DataFrame, first: int = 0, last: int | None = None) -> Da
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/order-{uuid.uuid4().hex}"
-    rows = read_slots(materialise(table(spark, sf_dir, "documents").select("doc_id", "text"), path))
+    rows = read_slots(materialise(table(spark, sf_dir, "documents").select("doc_id", "text"), path, fixed=True))
     return rows.select("slot", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"))

@@ -186,7 +186,7 @@ def test_sharding_odd(odd, none):
 def test_sharding_keeps_keys_and_repeats(spark):
     keys = [2**60 + 1, None, 2**60 + 3, None, 5, 5, 5]
     rows = spark.createDataFrame([(k, f"t{i}", None if i % 2 else 2**60 + i) for i, k in enumerate(keys)], "doc_id long, text string, n long")
-    one = shuffled(rows, shards=2, buckets=1, fixed=True).collect()
+    one = shuffled(rows, shards=2, buckets=1).collect()
     assert sorted((r["text"], r["doc_id"], r["n"]) for r in one) == sorted(tuple(r)[1::-1] + (r["n"],) for r in rows.collect())
     # the order by hand: hash of the key, then place; then the seeded Fisher-Yates shuffle
     ordered = [r["text"] for r in rows.withColumn("_row", F.monotonically_increasing_id()).orderBy(F.xxhash64("doc_id"), "_row").collect()]
@@ -195,6 +195,22 @@ def test_sharding_keeps_keys_and_repeats(spark):
     assert sorted(shuffled(rows, buckets=3).collect(), key=str) == sorted(shuffled(rows, buckets=3).collect(), key=str)
 
 
+def test_orders_do_not_depend_on_splits(spark, sf_dir, tmp_path):
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    source.repartition(3, "doc_id").write.option("parquet.block.size", 20_000).option("parquet.page.size", 2_000).parquet(f"{tmp_path}/d")
+    made = []
+    try:
+        for size in (4 << 20, 15_000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = spark.read.parquet(f"{tmp_path}/d")
+            sharded = shuffled(rows, buckets=5, fixed=True).select("doc_id", "shard", "slot").collect()
+            order = read_slots(materialise(rows, f"{tmp_path}/o{size}", fixed=True)).select("slot", "doc_id", "start", F.crc32("ids")).collect()
+            made.append((rows.rdd.getNumPartitions(), sorted(map(tuple, sharded)), sorted(map(tuple, order))))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert made[1][0] > made[0][0] and made[0][1:] == made[1][1:]
+
+
 def test_sharding_spreads_a_repeated_key(spark):
     rows = spark.createDataFrame([(7, "same")] * 2000, "doc_id long, text string")
     got = shuffled(rows, shards=4, buckets=8).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
