@@ -56,14 +56,6 @@ def coverage(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", k: int = 2
     return ranked(hits.join(size, "query_id").select("query_id", key, F.round(F.col("c") / F.col("n"), 6).alias("score")), "score", key, k)
 
 
-def dense(vectors: DataFrame, wanted: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, vec_id, score, rank: exact cosine of a stated query set against all vectors.
-
-    The query side is broadcast in blocks of about ``QUERY_ROWS`` rows; each query is in one block, so its ranks are whole.
-    """
-    return in_blocks(wanted, lambda part: _dense(vectors, part, k))
-
-
 def in_blocks(wanted: DataFrame, run) -> DataFrame:
     """``run`` on the query side in blocks by a hash of query_id, of about ``QUERY_ROWS`` rows each; the results together."""
     count = max(1, -(-wanted.count() // QUERY_ROWS))
@@ -71,13 +63,6 @@ def in_blocks(wanted: DataFrame, run) -> DataFrame:
     return reduce(DataFrame.unionByName, [run(wanted.where(block == i) if count > 1 else wanted) for i in range(count)])
 
 
-def _dense(vectors: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = vectors.crossJoin(F.broadcast(wanted))
-    cos = dot(F.col("embedding"), F.col("query")) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("query"), F.col("query"))))
-    return ranked(both.select("query_id", "vec_id", F.round(cos, 6).alias("score")), "score", "vec_id", k)
-
-
 def rrf(channels: dict[str, tuple[DataFrame, float]], key: str, k: int | None = 20) -> DataFrame:
     """query_id, key, rrf_score, rank, channel ranks: weighted reciprocal-rank fusion of ranked channels."""
     rows = None

@@ -12,6 +12,7 @@ from marlstone.functions import text as tx
 from marlstone.functions.scope import Scope
 from marlstone.operators import chunking as ck
 from marlstone.operators import retrieval as rt
+from marlstone.operators import vectors as vs
 from marlstone.session import spread, table
 from marlstone.sources import corpus
 from marlstone.streaming import events as ev
@@ -319,17 +320,51 @@ def _dense_sql(where: str) -> str:
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20"""
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vectors, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 @query(_dense_sql("true"))
 def dense_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return rt.dense(vectors, vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")))
+    return vs.exact(*_vectors(spark, sf_dir))
 
 
 @query(_dense_sql("e.label = 3"))
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    wanted = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return rt.dense(vectors.where(F.col("label") == 3).select("vec_id", "embedding"), wanted)
+    vectors, wanted = _vectors(spark, sf_dir)
+    return vs.exact(vectors.where(F.col("label") == 3), wanted)
+
+
+#: Share of the lists that are probed; the given vectors lie in all directions alike, so it is large. The tests measure its recall.
+PROBED = 0.65
+
+
+@query()
+def dense_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate search in the nearest lists of an inverted-file index."""
+    vectors, wanted = _vectors(spark, sf_dir)
+    index = vs.build(vectors)
+    return vs.search(index, wanted, n_probes=max(1, round(PROBED * len(index.centroids))))
+
+
+@query(_dense_sql("true"))
+def dense_index_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, wanted = _vectors(spark, sf_dir)
+    return vs.search(vs.build(vectors), wanted)
+
+
+@query(
+    f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, {_COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS near FROM s),
+    c AS (SELECT *, count_if(near <= 160) OVER (PARTITION BY query_id) AS got FROM n WHERE label IN (3, 7)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c)
+    SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank, CASE WHEN got >= 20 THEN 'index' ELSE 'exact' END AS strategy FROM r WHERE rank <= 20"""
+)
+def dense_index_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversampled candidates of the index, filtered by label; queries that they don't fill are searched exactly."""
+    vectors, wanted = _vectors(spark, sf_dir)
+    return vs.filtered(vs.build(vectors), vectors, wanted, F.col("label").isin(3, 7))
 
 
 _LEXICAL = rf"""
