@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import shared_folder
+from marlstone.session import shared_folder, stored
 
 PART, BLOCK = 100_000, 16_384
 #: Rows that centroids are fitted on, lists at most, and rounds.
@@ -224,9 +224,7 @@ def filtered(
     kept = vectors.where(keep)
     near = search(index, queries, fetched, n_probes, key).drop("rank").join(kept.select(key).distinct(), key, "left_semi")
     near = near.withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    path = f"{shared_folder(index.spark).rstrip('/')}/candidates-{uuid.uuid4().hex}"
-    near.write.parquet(path)
-    near = index.spark.read.schema(near.schema).parquet(path)
+    near = stored(near, "candidates")
     enough = near.where(F.col("n") >= k)
     rest = queries.join(enough.select("query_id").distinct(), "query_id", "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)

@@ -11,9 +11,10 @@ from marlstone.functions import partitions as rules
 from marlstone.functions import text as tx
 from marlstone.functions.scope import Scope
 from marlstone.operators import chunking as ck
+from marlstone.operators import phrases as ph
 from marlstone.operators import retrieval as rt
 from marlstone.operators import vectors as vs
-from marlstone.session import spread, table
+from marlstone.session import spread, stored, table
 from marlstone.sources import corpus
 from marlstone.streaming import events as ev
 
@@ -760,6 +761,53 @@ def phrase_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.where(F.col("concept").contains(" ") | (F.col("support") >= 2))
 
 
+_NORMAL = (
+    r"(SELECT CASE WHEN length(w) > 4 AND ends_with(w, 'ies') THEN regexp_replace(p, 'ies$', 'y') WHEN length(w) > 4 AND ends_with(w, 's') AND NOT regexp_matches(w, '" + cn.NOT_PLURAL
+    + r"') THEN regexp_replace(p, 's$', '') ELSE p END FROM (SELECT p, regexp_extract(p, '(\S+)$', 1) AS w FROM (SELECT trim(regexp_replace(form, '^(?:the|a|an)\s+', '')) AS p)))"
+)
+_PHRASES = (
+    _CONCEPTS
+    + rf""",
+known AS (SELECT concept FROM title_concepts GROUP BY 1 HAVING count(*) >= CASE WHEN contains(concept, ' ') THEN 1 ELSE 2 END),
+surface AS (SELECT DISTINCT unnest([concept, lower(trim(regexp_replace(regexp_replace(replace(phrase, '-', ' '), '{cn.PUNCTUATION}', ' ', 'g'), '\s+', ' ', 'g')))]) AS form
+  FROM split_ JOIN title_concepts USING (section_title, concept) WHERE concept IN (SELECT concept FROM known) AND length(phrase) >= {cn.MIN_CHARS}),
+spelled AS (SELECT DISTINCT unnest(CASE WHEN regexp_matches(form, '{cn.NOT_PLURAL}') THEN [form] ELSE [form, form || 's'] END) AS form FROM surface WHERE form <> ''),
+forms AS (SELECT form, concept FROM (SELECT form, {_NORMAL} AS concept FROM spelled) WHERE concept IN (SELECT concept FROM known)),
+segment AS (SELECT chunk_id, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_\s-]+')) AS seg, generate_subscripts(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_\s-]+'), 1) AS si FROM chunks),
+worded AS (SELECT chunk_id, si, list_filter(regexp_split_to_array(seg, '[\s-]+'), lambda x: x <> '') AS ws FROM segment),
+gram AS (SELECT chunk_id, si * 100000 + i AS start, n, array_to_string(ws[i:i + n - 1], ' ') AS form
+  FROM (SELECT chunk_id, si, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded), range(1, 9) t(n) WHERE i + n - 1 <= len(ws)),
+spot AS MATERIALIZED (SELECT chunk_id, start, n, concept FROM gram JOIN forms USING (form)),
+scanned AS (SELECT chunk_id, CAST(0 AS BIGINT) AS free, CAST(NULL AS VARCHAR) AS concept FROM (SELECT DISTINCT chunk_id FROM spot)
+  UNION ALL SELECT chunk_id, b.start + b.n, b.concept FROM (SELECT s.chunk_id, arg_min(struct_pack(start := s.start, n := s.n, concept := s.concept), row(s.start, -s.n)) AS b
+    FROM scanned JOIN spot s ON s.chunk_id = scanned.chunk_id AND s.start >= scanned.free GROUP BY s.chunk_id)),
+in_text AS (SELECT chunk_id, concept, count(*) AS occurrences FROM scanned WHERE concept IS NOT NULL GROUP BY 1, 2),
+unit_titles AS (SELECT unit_id, arg_min(section_title, row(doc_id, chunk_index)) AS unit_title FROM chunks GROUP BY 1),
+ordered AS (SELECT section_title AS title, concept, min(place) AS place FROM (SELECT t.section_title, t.concept, list_position(o.ps, t.phrase) AS place
+  FROM split_ t JOIN (SELECT section_title, list(regexp_replace(raw, '{cn.EDGES}', '', 'g')) AS ps FROM pieces GROUP BY 1) o USING (section_title)
+  JOIN title_concepts k ON k.section_title = t.section_title AND k.concept = t.concept) WHERE concept IN (SELECT concept FROM known) GROUP BY 1, 2),
+own AS (SELECT chunk_id, concept, 'section_title' AS source, 0 AS o, place, title FROM chunks JOIN ordered ON title = section_title
+  UNION ALL SELECT chunk_id, concept, 'unit_title', 1, place, title FROM chunks JOIN unit_titles USING (unit_id) JOIN ordered ON title = unit_title),
+each_mention AS (SELECT chunk_id, concept, source, CAST(1 AS BIGINT) AS occurrences, source || ': ' || title AS evidence, o, place AS o2, 0 AS o3 FROM own
+  UNION ALL SELECT chunk_id, concept, 'curriculum_term', occurrences, 'verbatim phrase match (' || occurrences || 'x)', 2, -len(string_split(concept, ' ')), -occurrences FROM in_text),
+first_mention AS (SELECT * FROM each_mention QUALIFY row_number() OVER (PARTITION BY chunk_id, concept ORDER BY o, o2) = 1),
+phrase_rows AS (SELECT chunk_id, concept, source, occurrences, evidence, CAST(row_number() OVER (PARTITION BY chunk_id ORDER BY o, o2, o3, concept) AS INT) AS rank FROM first_mention)"""
+)
+
+
+def _phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.with_unit_titles(corpus.chunks(spark, sf_dir).select("chunk_id", "doc_id", "chunk_index", "unit_id", "section_title", "text"))
+    found = stored(ph.title_concepts(rows, "section_title"), "titles")
+    support = found.groupBy("concept").agg(F.countDistinct("section_title").alias("support"))
+    return ph.mentions(rows, found, stored(support.where(F.col("concept").contains(" ") | (F.col("support") >= 2)), "vocabulary"))
+
+
+@query(f"WITH RECURSIVE {_PHRASES.strip()} SELECT chunk_id, concept, source, occurrences, evidence, rank FROM phrase_rows WHERE rank <= 8")
+def phrase_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of each chunk: of its own titles first, then vocabulary phrases of one to six words found in its text."""
+    return _phrase_mentions(spark, sf_dir).select("chunk_id", "concept", "source", "occurrences", "evidence", "rank")
+
+
 @query(
     rf"""WITH n AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations), c AS (SELECT *, len(list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '')) AS k FROM n)
     SELECT conv_id, turn, CAST(k AS INT) AS n_words, regexp_matches(t, '{_q(an.LEAK)}') AS leaks, regexp_matches(t, '{_q(an.REVEALS)}') AS reveals,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
     if named is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written once as Parquet to the shared folder and read again; what several branches use is computed once, and survives lost executors."""
+    path = f"{shared_folder(rows.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -54,6 +54,12 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_unit_titles(chunk_rows: DataFrame) -> DataFrame:
+    """Chunks with ``unit_title``: the first section title of the unit's first document."""
+    first = chunk_rows.groupBy("unit_id").agg(F.min_by("section_title", F.struct("doc_id", "chunk_index")).alias("unit_title"))
+    return chunk_rows.join(first, "unit_id")
+
+
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with ``content_partition``; the rules also see the title of the chunk before."""
     before = F.lag("section_title").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
