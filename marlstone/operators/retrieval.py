@@ -1,4 +1,4 @@
-"""Ranked retrieval: lexical and dense channels, graph expansion, rank fusion, reranking, selection, evidence gate."""
+"""Ranked retrieval: lexical channels, rank fusion, reranking, selection, evidence gate, metrics."""
 
 from __future__ import annotations
 
@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from marlstone.functions.partitions import boilerplate
 from marlstone.functions.scope import BRANCHES
 from marlstone.functions.text import content_terms, query_terms, sigmoid, tokens
+from marlstone.session import stored
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Hops and weight of each relation between chunks.
-RELATIONS = {"SAME_SECTION": 1.0, "ADJACENT": 0.9, "SAME_PAGE": 0.7, "SHARED_CONCEPT": 0.6, "SAME_LESSON": 0.5}
-PER_RELATION, TRACE_LIMIT, FINAL = 8, 50, 5
+FINAL = 5
 GATE_CHECKS = ("candidates_exist", "reranked", "safe_partition", "reranker_confidence", "mutually_relevant_chunks", "scope_match", "query_term_overlap", "minimum_chunks")
 QUERY_ROWS = 100_000
 
@@ -31,16 +30,23 @@ def ranked(rows: DataFrame, score: str, tie: str, k: int | None = None, group: s
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", k: int = 20) -> DataFrame:
-    """query_id, key, score, rank: BM25 of every document that has a query term.
+def postings(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, term, tf, len: how often each wanted term stands in each document, stored once for all that ranks by it.
 
-    Postings of the query vocabulary alone leave the scan, aggregated for each document before any
-    shuffle of long lists; each posting carries its document's length.
+    One scan cuts the texts; only wanted terms leave it, and a row with term '' for each document, which carries its length for the statistics.
     """
-    vocabulary = wanted.select("term").distinct()
-    stats = docs.select(F.size(tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()
-    terms = docs.select(key, tokens(F.col("text")).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
-    tf = terms.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    t = docs.select(key, tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    each = t.select(key, F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term"))
+    vocabulary = wanted.select("term").unionByName(wanted.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    rows = each.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return stored(rows, "postings")
+
+
+def bm25(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", k: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """query_id, key, score, rank: BM25 of every document that has a query term; ``index`` is what ``postings`` gives."""
+    index = postings(docs, wanted, key) if index is None else index
+    stats = index.where("term = ''").agg(F.count("*").alias("docs"), F.avg("len").alias("mean")).first()
+    tf = index.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(stats["docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(stats["mean"] or 1.0)))
@@ -48,9 +54,9 @@ def bm25(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", k: int = 20) -
     return ranked(scored, "score", key, k)
 
 
-def coverage(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", k: int = 20) -> DataFrame:
-    """query_id, key, score, rank: share of the query's terms that a document has."""
-    has = docs.select(key, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+def coverage(docs: DataFrame, wanted: DataFrame, key: str = "doc_id", k: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """query_id, key, score, rank: share of the query's terms that a document has; ``index`` is what ``postings`` gives."""
+    has = (postings(docs, wanted, key) if index is None else index).where("term <> ''").select(key, "term")
     size = wanted.groupBy("query_id").agg(F.count("*").alias("n"))
     hits = has.join(wanted, "term").groupBy("query_id", key).agg(F.count("*").alias("c"))
     return ranked(hits.join(size, "query_id").select("query_id", key, F.round(F.col("c") / F.col("n"), 6).alias("score")), "score", key, k)
@@ -74,39 +80,6 @@ def rrf(channels: dict[str, tuple[DataFrame, float]], key: str, k: int | None =
     return ranked(fused, "rrf_score", key, k)
 
 
-def expand(seeds: DataFrame, chunk_rows: DataFrame, pages: DataFrame, mentions: DataFrame, limit: int = PER_RELATION) -> DataFrame:
-    """seed_id, relation, chunk_id, via, position: neighbours of each seed by relation, at most ``limit`` a pair of seed and relation.
-
-    ``seeds`` has seed_id; ``mentions`` has chunk_id, concept. A seed is never its own neighbour; the order within
-    a relation is by neighbour and via.
-    """
-    c = chunk_rows.select("chunk_id", "section_id", "document_id", "unit_id", "section_title", "chunk_index")
-    s = c.join(seeds.select(F.col("seed_id").alias("chunk_id")), "chunk_id", "left_semi").select([F.col(x).alias(f"s_{x}") for x in c.columns])
-    pick = lambda name, via: [F.col("s_chunk_id").alias("seed_id"), F.lit(name).alias("relation"), "chunk_id", via.alias("via")]
-    none = F.lit(None).cast("string")
-    other = F.col("chunk_id") != F.col("s_chunk_id")
-    section = s.join(c, (F.col("s_section_id") == F.col("section_id")) & other).select(*pick("SAME_SECTION", none))
-    beside = F.explode(F.array(F.col("s_chunk_index") - 1, F.col("s_chunk_index") + 1))
-    near = s.withColumn("at", beside).join(c, (F.col("s_document_id") == F.col("document_id")) & (F.col("at") == F.col("chunk_index"))).select(*pick("ADJACENT", none))
-    own = pages.join(s.select(F.col("s_chunk_id")), F.col("chunk_id") == F.col("s_chunk_id"), "inner").select("s_chunk_id", "page_id")
-    page = own.join(pages, "page_id").where(other).select(*pick("SAME_PAGE", F.col("page_id")))
-    known = mentions.join(s.select("s_chunk_id"), F.col("chunk_id") == F.col("s_chunk_id")).select("s_chunk_id", "concept")
-    concept = known.join(mentions, "concept").where(other).select(*pick("SHARED_CONCEPT", F.col("concept")))
-    lesson = s.join(
-        c, (F.col("s_unit_id") == F.col("unit_id")) & (F.col("s_section_title") == F.col("section_title")) & (F.col("s_document_id") != F.col("document_id"))
-    ).select(*pick("SAME_LESSON", none))
-    rows = section.unionByName(near).unionByName(page).unionByName(concept).unionByName(lesson).distinct()
-    place = F.row_number().over(Window.partitionBy("seed_id", "relation").orderBy("chunk_id", "via"))
-    return rows.withColumn("position", place).where(F.col("position") <= limit)
-
-
-def graph_scores(paths: DataFrame) -> DataFrame:
-    """chunk_id, score, n_paths: relation weights summed over all paths; seeds themselves are dropped."""
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in RELATIONS.items() for x in kv]), F.col("relation"))
-    seeds = paths.select(F.col("seed_id").alias("chunk_id")).distinct()
-    return paths.join(seeds, "chunk_id", "left_anti").groupBy("chunk_id").agg(F.round(F.sum(weight), 6).alias("score"), F.count("*").alias("n_paths"))
-
-
 def rerank(candidates: DataFrame, texts: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataFrame:
     """Candidates with ``logit`` (6 * coverage - 3 of the question's content terms), ``probability``, ``rerank`` and ``movement``."""
     q = questions.select("query_id", content_terms(F.col("text")).alias("q"))
@@ -175,19 +148,22 @@ def gate_checks(verdicts: DataFrame, overlap: float = 0.15, least_strong: int =
 
 
 def merge_candidates(channels: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:
-    """One row for each candidate of any channel: its score in each, the fused score, what each channel gives (in units of 1e-8), and the strongest."""
+    """One row for each candidate of any channel: score and rank in each, the fused score, a map of what each channel gives, and the strongest channel."""
     rows = None
     for name, (df, weight) in channels.items():
         part = F.lit(weight) / (RRF_K + F.col("rank"))
-        one = df.select("query_id", key, F.lit(name).alias("channel"), "score", part.alias("part"))
+        one = df.select("query_id", key, F.lit(name).alias("channel"), "score", F.col("rank").alias("r"), part.alias("part"))
         rows = one if rows is None else rows.unionByName(one)
     scores = [F.max(F.when(F.col("channel") == n, F.col("score"))).alias(f"{n}_score") for n in channels]
-    given = F.struct("channel", F.round(F.col("part") * 1e8).cast("long").alias("part"))
-    merged = rows.groupBy("query_id", key).agg(
-        *scores, F.round(F.sum("part"), 8).alias("rrf_score"), F.sort_array(F.collect_list(given)).alias("c"), F.max_by("channel", F.struct("part", "channel")).alias("best_channel")
-    )
-    text = F.array_join(F.transform("c", lambda x: F.concat_ws("=", x["channel"], x["part"].cast("string"))), ",")
-    return merged.select("query_id", key, *[f"{n}_score" for n in channels], "rrf_score", text.alias("contributions"), "best_channel")
+    ranks = [F.max(F.when(F.col("channel") == n, F.col("r"))).alias(f"{n}_rank") for n in channels]
+    given = F.map_from_entries(F.sort_array(F.collect_list(F.struct("channel", F.round("part", 8).alias("part")))))
+    merged = rows.groupBy("query_id", key).agg(*scores, *ranks, F.round(F.sum("part"), 8).alias("rrf_score"), given.alias("contributions"), F.max_by("channel", F.struct("part", "channel")).alias("best_channel"))
+    return merged.select("query_id", key, *[f"{n}_score" for n in channels], *[f"{n}_rank" for n in channels], "rrf_score", "contributions", "best_channel")
+
+
+def told(contributions: Column) -> Column:
+    """A map of contributions as text, in units of 1e-8."""
+    return F.array_join(F.transform(F.map_entries(contributions), lambda e: F.concat_ws("=", e["key"], F.round(e["value"] * 1e8).cast("long").cast("string"))), ",")
 
 
 def holding(docs: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -210,42 +186,6 @@ def holding(docs: DataFrame, questions: DataFrame, key: str = "doc_id") -> DataF
     return found.unionByName(in_blocks(short, lambda part: docs.join(F.broadcast(part), F.contains("text", F.col("_q"))).select("query_id", key)))
 
 
-def trace_diagnostics(paths: DataFrame, selected: DataFrame, scope: DataFrame) -> DataFrame:
-    """Every path with the first reason that applies to it; ``scope`` has chunk_id, grade and subject."""
-    seeds = paths.where(F.col("position") <= PER_RELATION).select(F.col("seed_id").alias("chunk_id")).distinct().withColumn("is_seed", F.lit(True))
-    chosen = selected.select("chunk_id").distinct().withColumn("is_chosen", F.lit(True))
-    of_seed = scope.select(F.col("chunk_id").alias("seed_id"), F.col("grade").alias("s_grade"), F.col("subject").alias("s_subject"))
-    rows = paths.join(of_seed, "seed_id").join(scope, "chunk_id").join(seeds, "chunk_id", "left").join(chosen, "chunk_id", "left")
-    inside = (F.col("s_grade") >= F.col("grade")) & (F.col("s_subject") == F.col("subject"))
-    counted = (F.col("position") <= PER_RELATION) & inside
-    nth = F.row_number().over(Window.partitionBy("chunk_id", counted).orderBy("seed_id", "relation", F.coalesce("via", F.lit(""))))
-    reason = (
-        F.when(F.col("position") > TRACE_LIMIT, "TRACE_SAFETY_LIMIT")
-        .when(F.col("is_seed"), "SEED_NODE")
-        .when(~inside, "METADATA_FILTER_MISMATCH")
-        .when(F.col("position") > PER_RELATION, "PER_RELATION_LIMIT")
-        .when(F.col("is_chosen") & (F.col("nth") == 1), "SELECTED_GRAPH_CANDIDATE")
-        .when(F.col("is_chosen"), "DUPLICATE_PATH")
-        .otherwise("GRAPH_TOP_K_CUTOFF")
-    )
-    return rows.withColumn("nth", nth).select("seed_id", "relation", "chunk_id", "via", "position", reason.alias("reason"))
-
-
-def trace_reasons(paths: DataFrame, selected: DataFrame) -> DataFrame:
-    """Every path with the first reason that applies to it."""
-    seeds = paths.select(F.col("seed_id").alias("chunk_id")).distinct().withColumn("is_seed", F.lit(True))
-    chosen = selected.select("chunk_id").distinct().withColumn("is_chosen", F.lit(True))
-    rows = paths.join(seeds, "chunk_id", "left").join(chosen, "chunk_id", "left")
-    nth = F.row_number().over(Window.partitionBy("chunk_id").orderBy("seed_id", "relation", F.coalesce("via", F.lit(""))))
-    reason = (
-        F.when(F.col("is_seed"), "SEED_NODE")
-        .when(F.col("is_chosen") & (F.col("nth") == 1), "SELECTED_GRAPH_CANDIDATE")
-        .when(F.col("is_chosen"), "DUPLICATE_PATH")
-        .otherwise("GRAPH_TOP_K_CUTOFF")
-    )
-    return rows.withColumn("nth", nth).select("seed_id", "relation", "chunk_id", "via", reason.alias("reason"))
-
-
 def ir_metrics(results: DataFrame, relevant: DataFrame, key: str = "doc_id", k: int = 20) -> DataFrame:
     """recall, mrr and ndcg at k averaged over the queries that have labels (query_id, key, gain)."""
     found = results.where(F.col("rank") <= k).join(relevant, ["query_id", key])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -415,6 +417,12 @@ def lexical_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.bm25(_documents(spark, sf_dir), _wanted(spark, sf_dir))
 
 
+def _channels(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, float]]:
+    docs, wanted = _documents(spark, sf_dir), _wanted(spark, sf_dir)
+    index = rt.postings(docs, wanted)
+    return {"fulltext": (rt.bm25(docs, wanted, index=index), 1.0), "coverage": (rt.coverage(docs, wanted, index=index), 0.5)}
+
+
 @query(f"WITH {_LEXICAL} SELECT query_id, doc_id, score, rank FROM covering")
 def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.coverage(_documents(spark, sf_dir), _wanted(spark, sf_dir))
@@ -422,13 +430,12 @@ def coverage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LEXICAL} SELECT query_id, doc_id, rrf_score, fulltext_rank, coverage_rank, rank FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    channels = {"fulltext": (lexical_bm25_topk(spark, sf_dir), 1.0), "coverage": (coverage_topk(spark, sf_dir), 0.5)}
-    return rt.rrf(channels, "doc_id")
+    return rt.rrf(_channels(spark, sf_dir), "doc_id")
 
 
 @query(f"WITH {_LEXICAL}, s AS (SELECT doc_id, round(max(1.0 / rank), 6) AS weight FROM (SELECT doc_id, rank FROM lexical UNION ALL SELECT doc_id, rank FROM covering) GROUP BY 1) SELECT doc_id, weight FROM s")
 def seeds_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = lexical_bm25_topk(spark, sf_dir).unionByName(coverage_topk(spark, sf_dir))
+    both = reduce(DataFrame.unionByName, [c for c, _ in _channels(spark, sf_dir).values()])
     return both.groupBy("doc_id").agg(F.round(F.max(1.0 / F.col("rank")), 6).alias("weight"))
 
 
@@ -508,8 +515,8 @@ def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     round(sum(part), 8) AS rrf_score, string_agg(channel || '=' || CAST(CAST(round(part * 100000000) AS BIGINT) AS VARCHAR), ',' ORDER BY channel) AS contributions, arg_max(channel, row(part, channel)) AS best_channel FROM u GROUP BY 1, 2"""
 )
 def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    channels = {"fulltext": (lexical_bm25_topk(spark, sf_dir), 1.0), "coverage": (coverage_topk(spark, sf_dir), 0.5)}
-    return rt.merge_candidates(channels, "doc_id")
+    rows = rt.merge_candidates(_channels(spark, sf_dir), "doc_id")
+    return rows.select("query_id", "doc_id", "fulltext_score", "coverage_score", "rrf_score", rt.told(F.col("contributions")).alias("contributions"), "best_channel")
 
 
 @query(
@@ -532,86 +539,6 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.ir_metrics(rrf_fusion(spark, sf_dir), relevant)
 
 
-# -- graph --------------------------------------------------------------------------------------------------------
-
-_GRAPH = (
-    _VOCAB
-    + """,
-hubs AS (SELECT concept FROM mentions GROUP BY 1 HAVING count(*) > 400),
-known AS (SELECT chunk_id, concept FROM mentions WHERE concept NOT IN (SELECT concept FROM hubs)),
-pages_of AS (SELECT chunk_id, document_id || printf(':p%04d', p) AS page_id FROM (SELECT chunk_id, document_id, unnest(range(page_start, page_end + 1)) AS p FROM chunks)),
-s AS (SELECT c.* FROM chunks c JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id) WHERE chunk_index = 0),
-paths0 AS (
-  SELECT s.chunk_id AS seed_id, 'SAME_SECTION' AS relation, c.chunk_id, CAST(NULL AS VARCHAR) AS via FROM s JOIN chunks c USING (section_id) WHERE c.chunk_id <> s.chunk_id
-  UNION SELECT s.chunk_id, 'ADJACENT', c.chunk_id, NULL FROM s JOIN chunks c ON c.document_id = s.document_id AND abs(c.chunk_index - s.chunk_index) = 1
-  UNION SELECT s.chunk_id, 'SAME_PAGE', b.chunk_id, b.page_id FROM s JOIN pages_of a USING (chunk_id) JOIN pages_of b ON a.page_id = b.page_id WHERE b.chunk_id <> s.chunk_id
-  UNION SELECT s.chunk_id, 'SHARED_CONCEPT', b.chunk_id, b.concept FROM s JOIN known a USING (chunk_id) JOIN known b ON a.concept = b.concept WHERE b.chunk_id <> s.chunk_id
-  UNION SELECT s.chunk_id, 'SAME_LESSON', c.chunk_id, NULL FROM s JOIN chunks c ON c.unit_id = s.unit_id AND c.section_title = s.section_title AND c.document_id <> s.document_id),
-paths AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id, relation ORDER BY chunk_id, via NULLS FIRST) AS INT) AS position FROM paths0) WHERE position <= 8),
-gs AS (SELECT chunk_id, round(sum(CASE relation WHEN 'SAME_SECTION' THEN 1.0 WHEN 'ADJACENT' THEN 0.9 WHEN 'SAME_PAGE' THEN 0.7 WHEN 'SHARED_CONCEPT' THEN 0.6 ELSE 0.5 END), 6) AS score, count(*) AS n_paths
-  FROM paths WHERE chunk_id NOT IN (SELECT seed_id FROM paths) GROUP BY 1)"""
-)
-
-
-def _paths(spark: SparkSession, sf_dir: str, limit: int = rt.PER_RELATION) -> DataFrame:
-    c = corpus.chunks(spark, sf_dir)
-    low = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
-    seeds = c.where("chunk_index = 0").join(low, "doc_id", "left_semi").select(F.col("chunk_id").alias("seed_id"))
-    m = _mentions(c)
-    hubs = m.groupBy("concept").agg(F.count("*").alias("n")).where("n > 400").select("concept")
-    return rt.expand(seeds, c, corpus.on_page(c), m.join(hubs, "concept", "left_anti").select("chunk_id", "concept"), limit)
-
-
-@query(f"WITH {_GRAPH} SELECT seed_id, relation, chunk_id, via, position FROM paths")
-def expand_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).select("seed_id", "relation", "chunk_id", "via", "position")
-
-
-@query(f"WITH {_GRAPH} SELECT chunk_id, score, n_paths FROM gs")
-def graph_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rt.graph_scores(_paths(spark, sf_dir))
-
-
-@query(
-    f"""WITH {_GRAPH}, chosen AS (SELECT chunk_id FROM gs WHERE score >= 1),
-    n AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY seed_id, relation, coalesce(via, '')) AS nth FROM paths)
-    SELECT seed_id, relation, chunk_id, via, CASE WHEN chunk_id IN (SELECT seed_id FROM paths) THEN 'SEED_NODE' WHEN chunk_id IN (SELECT chunk_id FROM chosen) AND nth = 1 THEN 'SELECTED_GRAPH_CANDIDATE'
-    WHEN chunk_id IN (SELECT chunk_id FROM chosen) THEN 'DUPLICATE_PATH' ELSE 'GRAPH_TOP_K_CUTOFF' END AS reason FROM n"""
-)
-def trace_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = _paths(spark, sf_dir)
-    return rt.trace_reasons(paths, rt.graph_scores(paths).where("score >= 1").select("chunk_id"))
-
-
-_TRACED = (
-    _GRAPH
-    + """,
-scope AS (SELECT chunk_id, grade, subject FROM chunks),
-every AS (SELECT *, CAST(row_number() OVER (PARTITION BY seed_id, relation ORDER BY chunk_id, via NULLS FIRST) AS INT) AS position FROM paths0),
-shown AS (SELECT * FROM every WHERE position <= 51),
-picked AS (SELECT chunk_id FROM gs WHERE score >= 1),
-judged AS (SELECT e.*, a.grade < b.grade OR a.subject <> b.subject AS outside, e.chunk_id IN (SELECT seed_id FROM paths) AS is_seed, e.chunk_id IN (SELECT chunk_id FROM picked) AS is_chosen,
-  row_number() OVER (PARTITION BY e.chunk_id, e.position <= 8 AND a.grade >= b.grade AND a.subject = b.subject ORDER BY e.seed_id, e.relation, coalesce(e.via, '')) AS nth
-  FROM shown e JOIN scope a ON a.chunk_id = e.seed_id JOIN scope b ON b.chunk_id = e.chunk_id),
-traced AS (SELECT seed_id, relation, chunk_id, via, position, CASE WHEN position > 50 THEN 'TRACE_SAFETY_LIMIT' WHEN is_seed THEN 'SEED_NODE' WHEN outside THEN 'METADATA_FILTER_MISMATCH'
-  WHEN position > 8 THEN 'PER_RELATION_LIMIT' WHEN is_chosen AND nth = 1 THEN 'SELECTED_GRAPH_CANDIDATE' WHEN is_chosen THEN 'DUPLICATE_PATH' ELSE 'GRAPH_TOP_K_CUTOFF' END AS reason FROM judged)"""
-)
-
-
-@query(f"WITH {_TRACED} SELECT * FROM traced")
-def trace_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every path up to the safety limit with the first reason that applies, those beyond the limit of a relation and outside the seed's scope included."""
-    every = _paths(spark, sf_dir, rt.TRACE_LIMIT + 1)
-    paths = every.where(F.col("position") <= rt.PER_RELATION)
-    chosen = rt.graph_scores(paths).where("score >= 1").select("chunk_id")
-    return rt.trace_diagnostics(every, chosen, corpus.chunks(spark, sf_dir).select("chunk_id", "grade", "subject"))
-
-
-@query(f"WITH {_TRACED} SELECT relation, reason, count(*) AS n_paths, count(DISTINCT chunk_id) AS n_chunks FROM traced GROUP BY 1, 2")
-def trace_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace_diagnostics(spark, sf_dir).groupBy("relation", "reason").agg(F.count("*").alias("n_paths"), F.countDistinct("chunk_id").alias("n_chunks"))
-
-
 # -- events, inspection, store ------------------------------------------------------------------------------------
 
 
@@ -915,3 +842,6 @@ _HEX = "CAST('0x' || substring(md5(t), 1, 4) AS INT)"
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return rt.hashed_embeddings(docs)
+
+
+from marlstone.plans import graph_queries  # noqa: E402, F401  these register themselves
