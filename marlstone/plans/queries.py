@@ -844,4 +844,4 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.hashed_embeddings(docs)
 
 
-from marlstone.plans import graph_queries  # noqa: E402, F401  these register themselves
+from marlstone.plans import graph_queries, store_queries  # noqa: E402, F401  these register themselves

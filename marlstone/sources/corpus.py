@@ -36,11 +36,15 @@ def with_lineage(docs: DataFrame) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table: four lines each, with lineage, pages, section and position; cut inside each row, without a shuffle."""
-    docs = with_lineage(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")))
-    docs = docs.withColumn("_l", lines(F.col("text"))).where(F.size("_l") > 0)
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / CHUNK_LINES).cast("int")), lambda i: F.slice("_l", i * CHUNK_LINES + 1, CHUNK_LINES))
-    each = docs.select("*", F.posexplode(cut).alias("chunk_index", "_c"))
+    """The fact table: the chunks of all documents."""
+    return cut(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")))
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """Chunks of four lines each, with lineage, pages, section and position; cut inside each row, without a shuffle."""
+    docs = with_lineage(docs).withColumn("_l", lines(F.col("text"))).where(F.size("_l") > 0)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / CHUNK_LINES).cast("int")), lambda i: F.slice("_l", i * CHUNK_LINES + 1, CHUNK_LINES))
+    each = docs.select("*", F.posexplode(pieces).alias("chunk_index", "_c"))
     first = F.col("chunk_index") * CHUNK_LINES
     section = F.floor(first / SECTION_LINES).cast("int")
     return each.select(
