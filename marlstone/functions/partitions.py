@@ -27,7 +27,8 @@ BOILERPLATE_HEADING = (
 BOILERPLATE_BODY = (
     r"(?i)(this work is licensed under a creative commons|creative commons attribution|"
     r"unless otherwise noted, the contents of this book are licensed|©\s*copyright|all rights reserved|isbn[-\s]?\d|"
-    r"https?://creativecommons\.org)"
+    r"great minds\.?\s*eureka-math|nys common core|https?://creativecommons\.org|https?://ncert\.nic\.in|"
+    r"national council of educational research|https?://greatminds\.org)"
 )
 SOLUTION_BODY = (
     r"(?i)(sample\s+response|acceptable\s+answer|answers?\s+will\s+vary|the\s+correct\s+answer\s+is|answer\s*key|"

@@ -22,6 +22,7 @@ ACCENTS, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈ
 #: Names of settings whose values are hidden in messages.
 SECRETS = r"(?i)(password|secret|api[_-]?key|authorization|credential)"
 
+#: What asks for a figure.
 FIGURE_CUES = (
     r"(?i)(?:\b(?:diagrams?|illustrations?|sketches?)\b|\b(?:labell?ed)\b|\bdrawings?\s+of\b|\bdraw\s+(?:me\s+)?(?:a|an|the)\b|"
     r"\bfigures?\s+of\b|\bstructure\s+of\b|\banatomy\s+of\b|\bflowcharts?\b|\bcircuit\s+diagram\b|\bpictures?\s+of\b|\blooks?\s+like\b)"
@@ -85,7 +86,53 @@ def short_label(text: Column) -> Column:
     return F.substring_index(text, ":", -1)
 
 
+#: Characters with a meaning in search strings.
+RESERVED = r"([+\-&|!(){}\[\]^\"~*?:\\/])"
+
+#: Words for operations, and tokens that belong to one exercise: numbers and coefficients.
+OPERATION_WORDS = ("plus", "minus", "times", "equals", "equal", "squared", "cubed")
+INSTANCE = r"^(?:\d+[a-z]+|[a-z]+\d+|\d+)$"
+
+#: What tells of differentiation, a power of a bracket, and the rules that are searched then.
+DERIVATIVE_CUE = r"(?i)(?:d\s*/\s*d[xy]|dy\s*/\s*dx|differenti\w*|derivative)"
+BRACKET_POWER = r"\)\s*\^\s*\d+"
+POWER_RULE = "algebra of derivative of functions derivative of x to the power n"
+CHAIN_RULE = "derivative of composite functions"
+
+
+def escaped(text: Column) -> Column:
+    """Reserved characters of search strings with a backslash before them."""
+    return F.regexp_replace(text, RESERVED, r"\\$1")
+
+
 def lucene_query(terms: Column) -> Column:
-    """A search string of the terms: all as one phrase of triple weight if there are several, or any of them."""
-    phrase = F.when(F.size(terms) > 1, F.concat(F.lit('"'), F.array_join(terms, " "), F.lit('"^3 OR '))).otherwise("")
-    return F.concat(phrase, F.array_join(terms, " OR "))
+    """A search string of the terms: all as one phrase of triple weight if there are several, or any of them; reserved characters are escaped, no terms give ''."""
+    safe = F.transform(terms, escaped)
+    phrase = F.when(F.size(terms) > 1, F.concat(F.lit('"'), F.array_join(safe, " "), F.lit('"^3 OR '))).otherwise("")
+    return F.concat(phrase, F.array_join(safe, " OR "))
+
+
+def rule_terms(terms: Column) -> Column:
+    """Terms that name a rule, without those of one exercise."""
+    return F.filter(terms, lambda t: ~t.isin(*OPERATION_WORDS) & ~t.rlike(INSTANCE))
+
+
+def maths_query(query: Column, original: Column | None = None) -> Column:
+    """What to search for a question of mathematics: the rule, not the exercise.
+
+    Questions on derivatives, by their own words or else by the rewritten ones, become one of two fixed searches; others lose their numbers and coefficients if they
+    have any and something is left.
+    """
+    source = F.coalesce(original if original is not None else F.lit(""), F.lit(""))
+    text = F.when(F.trim(F.coalesce(query, F.lit(""))) == "", F.trim(source)).otherwise(F.trim(query))
+    cue = F.lit(DERIVATIVE_CUE)
+    seen = F.when(F.regexp_like(source, cue), source).otherwise(F.concat_ws(" ", text, source))
+    every = tokens(text)
+    kept = F.filter(every, lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS) & ~t.isin(*OPERATION_WORDS) & ~t.rlike(INSTANCE))
+    exercise = F.exists(every, lambda t: t.rlike(INSTANCE)) & (F.size(kept) > 0)
+    return (
+        F.when((F.regexp_like(source, cue) | F.regexp_like(text, cue)) & F.regexp_like(seen, F.lit(BRACKET_POWER)), CHAIN_RULE)
+        .when(F.regexp_like(source, cue) | F.regexp_like(text, cue), POWER_RULE)
+        .when(exercise, F.array_join(kept, " "))
+        .otherwise(text)
+    )

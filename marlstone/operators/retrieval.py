@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.partitions import boilerplate
-from marlstone.functions.scope import BRANCHES
-from marlstone.functions.text import content_terms, query_terms, sigmoid, tokens
+from marlstone.functions.scope import BRANCHES, PRODUCTION
+from marlstone.functions.text import content_terms, query_terms, rule_terms, sigmoid, tokens
 from marlstone.session import stored
 
 K1, B = 1.2, 0.75
@@ -106,15 +106,18 @@ def select_final(rows: DataFrame, floor: float | None = 0.0, limit: int = FINAL,
 def gate(selected: DataFrame, questions: DataFrame, texts: DataFrame, floor: float = 0.0, overlap: float = 0.15, prior: float = 1.0, key: str = "doc_id") -> DataFrame:
     """A verdict for each question over its selected rows, with what the checks compare.
 
-    ``questions`` and ``texts`` have text, grade and subject. Boilerplate is not safe; of the safe rows those at the floor are strong, and
-    if none is, the best one is, rather one in scope; strong rows in scope are kept, those of earlier grades below ``prior`` only if no row is of the
-    question's own grade; the terms of the question are sought in all kept texts together.
+    ``questions`` have text, grade and subject, ``texts`` also content_partition (null counts as student evidence). Boilerplate and partitions that are not for students are not safe; of the
+    safe rows those at the floor are strong, and if none is, the best one is, rather one in scope; strong rows in scope are kept, those of earlier grades below
+    ``prior`` only if no row is of the question's own grade; the terms of the question are sought in all kept texts together. In mathematics terms of one exercise
+    don't count, and a question that has no others passes. Without rows, or without safe ones, confidence is none; without scores it is unknown.
     """
-    q = questions.select("query_id", F.col("grade").alias("q_grade"), F.col("subject").alias("q_subject"), content_terms(F.col("text")).alias("q"))
-    rows = selected.select("query_id", key, "logit", "final_rank").join(q.drop("q"), "query_id").join(texts.select(key, "text", "grade", "subject"), key)
+    terms, maths = content_terms(F.col("text")), F.coalesce(F.col("subject") == "mathematics", F.lit(False))
+    q = questions.select("query_id", F.col("grade").alias("q_grade"), F.col("subject").alias("q_subject"), F.when(maths, rule_terms(terms)).otherwise(terms).alias("q"))
+    rows = selected.select("query_id", key, "logit", "final_rank").join(q.drop("q"), "query_id").join(texts.select(key, "text", "grade", "subject", "content_partition"), key)
+    production = F.coalesce("content_partition", F.lit("student_evidence")).isin(*PRODUCTION)
     lineage = (F.col("subject") == F.col("q_subject")) | (F.col("q_subject").isin(*BRANCHES) & (F.col("subject") == "science"))
     rows = rows.select(
-        "query_id", "logit", "final_rank", tokens(F.col("text")).alias("t"), (~boilerplate(F.col("text"))).alias("safe"),
+        "query_id", "logit", "final_rank", tokens(F.col("text")).alias("t"), (~boilerplate(F.col("text")) & production & F.col("logit").isNotNull()).alias("safe"),
         (F.col("grade") == F.col("q_grade")).alias("is_current"), F.coalesce((F.col("grade") <= F.col("q_grade")) & lineage, F.lit(False)).alias("inside"),
     )
     each = Window.partitionBy("query_id")
@@ -130,21 +133,24 @@ def gate(selected: DataFrame, questions: DataFrame, texts: DataFrame, floor: flo
     )
     counts = ("n", "n_scored", "n_safe", "n_strong", "n_kept")
     out = q.join(sums, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
-    share = F.when((F.size("q") > 0) & (F.col("n_kept") > 0), F.size(F.array_intersect("q", "t")) / F.size("q")).otherwise(0.0)
+    skipped = F.coalesce(F.col("q_subject") == "mathematics", F.lit(False)) & (F.size("q") == 0)
+    share = F.when(skipped, 1.0).when((F.size("q") > 0) & (F.col("n_kept") > 0), F.size(F.array_intersect("q", "t")) / F.size("q")).otherwise(0.0)
     out = out.withColumn("overlap", F.round(share, 6))
     good = (F.col("n_scored") > 0) & (F.col("n_safe") > 0) & (F.col("n_strong") >= 1) & (F.col("n_kept") > 0) & (F.col("overlap") >= overlap)
-    level = F.when(~good, "insufficient").when((F.col("top") >= 4) & (F.col("n_strong") >= 3), "high").when(F.col("top") >= 1, "medium").otherwise("low")
+    level = F.when(F.col("n") == 0, "none").when(F.col("n_scored") == 0, "unknown").when(F.col("n_safe") == 0, "none").when(~good, "insufficient").when((F.col("top") >= 4) & (F.col("n_strong") >= 3), "high").when(F.col("top") >= 1, "medium").otherwise("low")
     return out.select("query_id", "n", "n_scored", "n_safe", "top", "n_strong", "n_kept", "overlap", good.alias("sufficient"), level.alias("confidence"))
 
 
 def gate_checks(verdicts: DataFrame, overlap: float = 0.15, least_strong: int = 1, least_kept: int = 1) -> DataFrame:
-    """query_id, check_name, passed: a row for each check of each verdict."""
-    passed = (
-        F.col("n") > 0, F.col("n_scored") > 0, F.col("n_safe") > 0, F.col("n_strong") >= 1, F.col("n_strong") >= least_strong, F.col("n_kept") > 0,
-        F.col("overlap") >= overlap, F.col("n_kept") >= least_kept,
+    """query_id, check_name, passed, value: a row for each check that is made. Without rows, without scores or without safe rows the checks end there."""
+    n = lambda c: F.col(c).cast("double")
+    checks = (
+        (F.col("n") > 0, n("n")), (F.col("n_scored") > 0, n("n_scored")), (F.col("n_safe") > 0, n("n_safe")), (F.col("n_strong") >= 1, n("top")), (F.col("n_strong") >= least_strong, n("n_strong")),
+        (F.col("n_kept") > 0, n("n_kept")), (F.col("overlap") >= overlap, F.round("overlap", 4)), (F.col("n_kept") >= least_kept, n("n_kept")),
     )
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), p.alias("passed")) for n, p in zip(GATE_CHECKS, passed, strict=True)]))
-    return verdicts.select("query_id", each.alias("c")).select("query_id", "c.*")
+    made = F.when(F.col("n") == 0, 1).when(F.col("n_scored") == 0, 2).when(F.col("n_safe") == 0, 3).otherwise(len(checks))
+    every = F.array(*[F.struct(F.lit(name).alias("check_name"), passed.alias("passed"), value.alias("value")) for name, (passed, value) in zip(GATE_CHECKS, checks, strict=True)])
+    return verdicts.select("query_id", F.explode(F.slice(every, 1, made)).alias("c")).select("query_id", "c.*")
 
 
 def merge_candidates(channels: dict[str, tuple[DataFrame, float]], key: str) -> DataFrame:

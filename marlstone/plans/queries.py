@@ -468,26 +468,30 @@ def final_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SCOPED = (
     _FINAL
     + f""",
-asked AS (SELECT query_id, grade AS q_grade, subject AS q_subject, q FROM qc JOIN (SELECT doc_id AS query_id, grade, subject FROM (
+asked AS (SELECT query_id, grade AS q_grade, subject AS q_subject, CASE WHEN subject = 'mathematics' THEN list_filter(q, lambda x: NOT list_contains([{", ".join(f"'{w}'" for w in tx.OPERATION_WORDS)}], x) AND NOT regexp_matches(x, '{tx.INSTANCE}')) ELSE q END AS q FROM qc JOIN (SELECT doc_id AS query_id, grade, subject FROM (
   SELECT doc_id, CAST(1 + doc_id % 12 AS INT) AS grade, CASE WHEN 1 + doc_id % 12 <= 2 THEN 'mathematics' WHEN 1 + doc_id % 12 <= 10 THEN ['mathematics', 'science'][CAST((doc_id // 12) % 2 + 1 AS INT)]
     ELSE ['mathematics', 'physics', 'chemistry', 'biology'][CAST((doc_id // 12) % 4 + 1 AS INT)] END AS subject FROM (SELECT item_id AS doc_id FROM benchmark))) USING (query_id)),
 {_LINEAGE.strip()},
-seen AS (SELECT f.query_id, f.doc_id, f.logit, f.final_rank, q, list_distinct(t) AS t, NOT {_BOILER} AS safe, grade = q_grade AS is_current,
+titled AS (SELECT *, coalesce(trim(substring(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')[1], 1, 60)), '') AS title FROM lineage),
+seen AS (SELECT f.query_id, f.doc_id, f.logit, f.final_rank, q, list_distinct(t) AS t, NOT {_BOILER} AND NOT regexp_matches(title, '{_q(rules.EVALUATION_HEADING)}') AND NOT regexp_matches(substring(text, 1, 1500), '{_q(rules.SOLUTION_BODY)}')
+      AND (regexp_matches(title, '{_q(rules.STRATEGY_HEADING)}') OR NOT (regexp_matches(title, '{_q(rules.PRACTICE_HEADING)}') OR regexp_matches(title, '{_q(rules.BOILERPLATE_HEADING)}'))) AS safe, grade = q_grade AS is_current,
     coalesce(grade <= q_grade AND (subject = q_subject OR (q_subject IN ('physics', 'chemistry', 'biology') AND subject = 'science')), false) AS inside
-  FROM final f JOIN asked USING (query_id) JOIN toks USING (doc_id) JOIN lineage USING (doc_id)),
+  FROM final f JOIN asked USING (query_id) JOIN toks USING (doc_id) JOIN titled USING (doc_id)),
 best AS (SELECT *, logit >= 0 OR (max(CASE WHEN safe THEN logit END) OVER w < 0 AND row_number() OVER (PARTITION BY query_id, safe ORDER BY inside DESC, logit DESC, final_rank) = 1) AS strong FROM seen WINDOW w AS (PARTITION BY query_id)),
 held AS (SELECT *, safe AND strong AS is_strong, safe AND strong AND inside AS scoped, bool_or(safe AND strong AND inside AND is_current) OVER (PARTITION BY query_id) AS any_current FROM best),
 kept AS (SELECT *, scoped AND (is_current OR NOT any_current OR logit >= 1) AS keep FROM held),
 sums AS (SELECT query_id, count(*) AS n, count(logit) AS n_scored, count_if(safe) AS n_safe, max(CASE WHEN safe THEN logit END) AS top, count_if(is_strong) AS n_strong, count_if(keep) AS n_kept,
     list_distinct(flatten(list(t) FILTER (WHERE keep))) AS t FROM kept GROUP BY 1),
 gated AS (SELECT query_id, CAST(coalesce(n, 0) AS BIGINT) AS n, CAST(coalesce(n_scored, 0) AS BIGINT) AS n_scored, CAST(coalesce(n_safe, 0) AS BIGINT) AS n_safe, top, CAST(coalesce(n_strong, 0) AS BIGINT) AS n_strong,
-    CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept, round(CASE WHEN len(q) > 0 AND n_kept > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 6) AS overlap FROM asked LEFT JOIN sums USING (query_id)),
+    CAST(coalesce(n_kept, 0) AS BIGINT) AS n_kept, round(CASE WHEN len(q) = 0 AND q_subject = 'mathematics' THEN 1 WHEN len(q) > 0 AND n_kept > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END, 6) AS overlap FROM asked LEFT JOIN sums USING (query_id)),
 verdict AS (SELECT *, n > 0 AND n_scored > 0 AND n_safe > 0 AND n_strong >= 1 AND n_kept > 0 AND overlap >= 0.15 AS sufficient FROM gated)"""
 )
 
 
 def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = corpus.with_lineage(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "text", "grade", "subject")
+    title = F.substring(F.try_element_at(tx.lines(F.col("text")), F.lit(1)), 1, 60)
+    docs = corpus.with_lineage(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = docs.select("doc_id", "text", "grade", "subject", rules.partition(title, F.col("text"), F.lit(None).cast("string")).alias("content_partition"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("").alias("source"), "text")
     asked = corpus.with_lineage(asked).select(F.col("doc_id").alias("query_id"), "text", "grade", "subject")
     return rt.gate(_selected(spark, sf_dir), asked, docs)
@@ -495,15 +499,17 @@ def _gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_SCOPED} SELECT query_id, n, n_scored, n_safe, top, n_strong, n_kept, overlap, sufficient,
-    CASE WHEN NOT sufficient THEN 'insufficient' WHEN top >= 4 AND n_strong >= 3 THEN 'high' WHEN top >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM verdict"""
+    CASE WHEN n = 0 THEN 'none' WHEN n_scored = 0 THEN 'unknown' WHEN n_safe = 0 THEN 'none' WHEN NOT sufficient THEN 'insufficient' WHEN top >= 4 AND n_strong >= 3 THEN 'high' WHEN top >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM verdict"""
 )
 def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _gate(spark, sf_dir)
 
 
 @query(
-    f"""WITH {_SCOPED} SELECT query_id, unnest(['candidates_exist', 'reranked', 'safe_partition', 'reranker_confidence', 'mutually_relevant_chunks', 'scope_match', 'query_term_overlap', 'minimum_chunks']) AS check_name,
-    unnest([n > 0, n_scored > 0, n_safe > 0, n_strong >= 1, n_strong >= 1, n_kept > 0, overlap >= 0.15, n_kept >= 1]) AS passed FROM verdict"""
+    f"""WITH {_SCOPED}, made AS (SELECT *, CASE WHEN n = 0 THEN 1 WHEN n_scored = 0 THEN 2 WHEN n_safe = 0 THEN 3 ELSE 8 END AS made FROM verdict)
+    SELECT query_id, unnest(['candidates_exist', 'reranked', 'safe_partition', 'reranker_confidence', 'mutually_relevant_chunks', 'scope_match', 'query_term_overlap', 'minimum_chunks'][1:made]) AS check_name,
+    unnest([n > 0, n_scored > 0, n_safe > 0, n_strong >= 1, n_strong >= 1, n_kept > 0, overlap >= 0.15, n_kept >= 1][1:made]) AS passed,
+    unnest(([n, n_scored, n_safe, top, n_strong, n_kept, round(overlap, 4), n_kept]::DOUBLE[])[1:made]) AS value FROM made"""
 )
 def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.gate_checks(_gate(spark, sf_dir))
@@ -528,6 +534,19 @@ def lexical_query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", tx.lucene_query(F.sort_array(tx.query_terms(F.col("text")))).alias("lucene"))
 
 
+_INSTANCES = f"len(list_filter({_TOK}, lambda x: regexp_matches(x, '{tx.INSTANCE}')))"
+_RULE_WORDS = f"list_filter({_TOK}, lambda x: length(x) > 2 AND NOT list_contains([{_STOP}], x) AND NOT list_contains([{', '.join(f'{chr(39)}{w}{chr(39)}' for w in tx.OPERATION_WORDS)}], x) AND NOT regexp_matches(x, '{tx.INSTANCE}'))"
+
+
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '{tx.DERIVATIVE_CUE}') AND regexp_matches(text, '{tx.BRACKET_POWER}') THEN '{tx.CHAIN_RULE}' WHEN regexp_matches(text, '{tx.DERIVATIVE_CUE}') THEN '{tx.POWER_RULE}'
+    WHEN {_INSTANCES} > 0 AND len({_RULE_WORDS}) > 0 THEN array_to_string({_RULE_WORDS}, ' ') ELSE trim(text) END AS search FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)"""
+)
+def maths_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each turn would be searched as in mathematics: the rule it is about, without the numbers of its exercise."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.maths_query(F.col("text")).alias("search"))
+
+
 @query(
     f"""WITH {_LEXICAL}, rel AS (SELECT item_id AS query_id, doc_id, 1 AS gain FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
     ideal AS (SELECT query_id, count(*) AS total, sum(CASE WHEN r <= 20 THEN 1 / log2(r + 1) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS r FROM rel) GROUP BY 1),
