@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import answers as an
 from marlstone.functions import concepts as cn
+from marlstone.functions import model_json as mj
 from marlstone.functions import partitions as rules
 from marlstone.functions import text as tx
 from marlstone.functions.scope import Scope
@@ -169,6 +170,33 @@ def rewrite_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").isNotNull().alias("parsed"))
 
 
+_REWRITTEN = r"""
+said AS (SELECT conv_id, turn, coalesce(text, '') AS text, (conv_id + turn) % 5 AS shape, to_json({'retrieval_query': CASE WHEN (conv_id + turn) % 3 = 0 THEN ' ' ELSE text END, 'intent': role, 'input_kind': 'Diagram'})::VARCHAR AS j FROM conversations),
+raw AS (SELECT *, trim(CASE shape WHEN 0 THEN j WHEN 1 THEN '```json' || chr(10) || j || chr(10) || '```' WHEN 2 THEN 'Here it is: ' || j || ' Done.' WHEN 3 THEN text ELSE '{"retrieval_query": ' || text || '}' END) AS r FROM said),
+bare AS (SELECT *, CASE WHEN starts_with(r, '```') THEN regexp_replace(regexp_replace(r, '^```(?:json)?\s*', ''), '\s*```$', '') ELSE r END AS b FROM raw),
+obj AS (SELECT *, nullif(regexp_extract(b, '(?s)\{.*\}'), '') AS o FROM bare),
+parsed AS (SELECT *, TRY_CAST(o AS JSON) AS p FROM obj),
+got AS (SELECT *, CASE WHEN json_type(p, '$.retrieval_query') = 'VARCHAR' THEN trim(regexp_replace(json_extract_string(p, '$.retrieval_query'), '\s+', ' ', 'g')) END AS q,
+  lower(CASE WHEN json_type(p, '$.intent') = 'VARCHAR' THEN json_extract_string(p, '$.intent') END) AS i, lower(CASE WHEN json_type(p, '$.input_kind') = 'VARCHAR' THEN json_extract_string(p, '$.input_kind') END) AS k FROM parsed),
+judged AS (SELECT *, CASE WHEN o IS NULL THEN 'rewriter output was not JSON' WHEN p IS NULL THEN 'rewriter JSON could not be parsed' WHEN coalesce(q, '') = '' THEN 'retrieval_query missing' END AS reason FROM got)"""
+
+
+@query(
+    f"""WITH {_REWRITTEN.strip()} SELECT conv_id, turn, CASE WHEN reason IS NULL THEN q WHEN reason = 'retrieval_query missing' AND trim(text) <> '' THEN trim(text) ELSE text END AS retrieval_query,
+    CASE WHEN reason IS NULL AND i IN ('explain', 'verify', 'practice') THEN i ELSE 'other' END AS intent, CASE WHEN k IN ('math_problem', 'diagram') THEN k ELSE 'other' END AS input_kind, reason IS NOT NULL AS fallback, reason FROM judged"""
+)
+def rewrite_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewriter outputs of several shapes, made of each turn: plain, fenced and surrounded objects, no object, and one that is no JSON."""
+    t, at = F.coalesce("text", F.lit("")), F.col("conv_id") + F.col("turn")
+    made = F.to_json(F.struct(F.when(at % 3 == 0, " ").otherwise(F.col("text")).alias("retrieval_query"), F.col("role").alias("intent"), F.lit("Diagram").alias("input_kind")))
+    raw = (
+        F.when(at % 5 == 0, made).when(at % 5 == 1, F.concat(F.lit("```json\n"), made, F.lit("\n```"))).when(at % 5 == 2, F.concat(F.lit("Here it is: "), made, F.lit(" Done."))).when(at % 5 == 3, t)
+        .otherwise(F.concat(F.lit('{"retrieval_query": '), t, F.lit("}")))
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", raw.alias("raw"), t.alias("original"))
+    return mj.rewrite(rows).drop("transcribed_question")
+
+
 # -- documents, pages, classification -----------------------------------------------------------------------------
 
 
