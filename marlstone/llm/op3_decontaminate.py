@@ -11,8 +11,8 @@ Steps, all DataFrame operations:
    equal (document, item, shift) hold the offsets that agree;
 4. compare the stored words with the window exactly, and merge the hit intervals of a document.
 
-A near match is an item of which at least three leads or partners stand within ``SLOP`` positions of
-their places, without an exact window.
+A near match is an item of which at least three leads or partners of different windows stand within ``SLOP``
+positions of their places, without an exact window.
 
 Defined results: null and empty texts have no words and no hits; an item without words matches
 nothing; repeated rows are each a document, also without a key; equal items under several ids all count; an item
@@ -40,11 +40,15 @@ def tokens(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item, first (0-based), gram: every window of ``SIZE`` words, or all words of a shorter item."""
+    """item, first (0-based), gram: every different window of ``SIZE`` words, or all words of a shorter item.
+
+    Of equal windows of an item the first stands for all, as they hit the same words; a run of one word is thus one window, whatever its length.
+    """
     name = F.coalesce(F.col("item_id").cast("string"), F.lit(""))
     items = benchmark.select(name.alias("item"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0).distinct()
     at = F.sequence(F.lit(0), F.greatest(F.size("t") - SIZE, F.lit(0)))
-    return items.withColumn("first", F.explode(at)).select("item", "first", F.slice("t", F.col("first") + 1, SIZE).alias("gram"))
+    every = items.withColumn("first", F.explode(at)).select("item", "first", F.slice("t", F.col("first") + 1, SIZE).alias("gram"))
+    return every.groupBy("item", "gram").agg(F.min("first").alias("first")).select("item", "first", "gram")
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -113,7 +117,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     same = F.slice(F.col("k.around"), F.greatest(start - F.col("k.around_from") + 1, F.lit(1)), F.size("gram")) == F.col("gram")
     exact = both.where((start >= F.col("k.around_from")) & same).select("_row", "item", start.alias("first"), (start + F.size("gram")).alias("last"))
     spot = Window.partitionBy("_row", "item").orderBy("shift").rangeBetween(0, SLOP)
-    wide = agreed.groupBy("_row", "item").agg(F.array_size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n")).where(F.col("n") >= NEAR_TERMS)
+    # the places of an item bound this set, whatever the document's length
+    wide = agreed.select("_row", "item", F.explode("ats").alias("at")).groupBy("_row", "item").agg(F.size(F.collect_set("at")).alias("n")).where(F.col("n") >= NEAR_TERMS)
     near = (
         agreed.join(wide, ["_row", "item"], "left_semi")
         .withColumn("n", F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(spot)))))

@@ -170,6 +170,27 @@ def test_decontamination_without_ids_and_without_broadcasts(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_decontamination_of_repeated_words(spark):
+    """Runs of one word, alternating words and other windows of an item against long texts of the same words, by brute force."""
+    items = {1: ["the"] * 200, 2: ["the", "cat"] * 60, 3: ["the"] * 12 + ["end"] + ["the"] * 12, 4: ["cat"] * 4}
+    texts = [["the"] * 40_000, ["the"] * 9, ["x"] + ["the", "cat"] * 3_000 + ["y"], ["the"] * 30 + ["end"] + ["the"] * 7, ["cat"] * 5 + ["the"] * 10, []]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string")
+    windows = collections.defaultdict(set)
+    for i, w in items.items():
+        for k in range(max(1, len(w) - 9)):
+            windows[tuple(w[k : k + 10])].add(i)
+    got = {r["doc_id"]: r for r in contamination(rows, bench).collect()}
+    for i, w in enumerate(texts):
+        hit, found = set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if (g := tuple(w[k : k + n])) in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[g]
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(map(str, found)))
+
+
 def test_sharding(spark, sf_dir, docs):
     p = op4_sharding(spark, sf_dir).toPandas().merge(docs[["doc_id", "text"]])
     sizes = p.groupby("shard").slot.apply(list)
