@@ -48,6 +48,11 @@ TABLES = {
 CONTENT = ("sections", "pages", "chunks", "mentions", "marks")
 
 
+def _buckets(rows: DataFrame) -> list[int]:
+    """The buckets that rows fall in, at most as many as the store has."""
+    return [r["_bucket"] for r in rows.select("_bucket").distinct().collect()]
+
+
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
@@ -69,15 +74,13 @@ class Store:
         """The table's rows, without its buckets."""
         return self.spark.read.parquet(f"{self.path}/{name}").drop("_bucket")
 
-    def _touched(self, table: Table, touched: DataFrame) -> DataFrame:
-        """Rows of the buckets that ``touched`` has; others are not read."""
-        numbers = [r["_bucket"] for r in touched.select("_bucket").distinct().collect()]  # at most ``buckets`` rows
+    def _touched(self, table: Table, numbers: list[int]) -> DataFrame:
+        """Rows of the given buckets; others are not read."""
         return self.spark.read.parquet(f"{self.path}/{table.name}").where(F.col("_bucket").isin(numbers))
 
     def _put(self, table: Table, rows: DataFrame) -> None:
-        """Replaces the buckets that ``rows`` has; ``gone`` marks buckets whose rows are all removed."""
-        whole = stored(rows, table.name)
-        dealt = whole.repartition(self.buckets, "_bucket").sortWithinPartitions("_bucket", table.key)
+        """Replaces the buckets that ``rows`` has."""
+        dealt = rows.repartition(self.buckets, "_bucket").sortWithinPartitions("_bucket", table.key)
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(f"{self.path}/{table.name}")
 
     def merge(self, name: str, rows: DataFrame) -> None:
@@ -89,7 +92,7 @@ class Store:
             self._put(table, rows)
             return
         rows = stored(rows, f"{name}-new")
-        before = self._touched(table, rows)
+        before = self._touched(table, _buckets(rows))
         old, new = before.select(F.struct("*").alias("o"), F.col(table.key).alias("k")), rows.select(F.struct("*").alias("n"), F.col(table.key).alias("k"))
         both = old.join(new, "k", "full")
         merged = []
@@ -100,7 +103,7 @@ class Store:
                 merged.append(F.when(F.col("o").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
             else:
                 merged.append(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
-        self._put(table, both.select(*merged))
+        self._put(table, stored(both.select(*merged), name))
 
     def remove(self, name: str, keys: DataFrame, key: str | None = None) -> None:
         """Deletes the rows whose ``key`` (the table's own unless given, or its bucket key) stands in ``keys``."""
@@ -112,50 +115,50 @@ class Store:
             doomed = keys.select(key).distinct().withColumn("_bucket", self._bucket(table))
         else:
             doomed = self.spark.read.parquet(f"{self.path}/{name}").join(keys.select(key).distinct(), key, "left_semi").select("_bucket")
-        before = stored(self._touched(table, doomed), f"{name}-before")
-        left = before.join(keys.select(key).distinct(), key, "left_anti")
-        self._put(table, left)
+        numbers = _buckets(doomed)
+        if not numbers:
+            return
+        self._rewrite(table, numbers, self._touched(table, numbers).join(keys.select(key).distinct(), key, "left_anti"))
+
+    def _rewrite(self, table: Table, numbers: list[int], rows: DataFrame) -> None:
+        """Puts ``rows`` in the place of the given buckets, which need not all get some."""
+        rows = stored(rows, table.name)
+        self._put(table, rows)
         # a bucket without rows is not overwritten by what has no rows for it
-        emptied = before.select("_bucket").distinct().join(left.select("_bucket").distinct(), "_bucket", "left_anti").collect()
-        for r in emptied:
-            system, path = self._folder(f"{name}/_bucket={r['_bucket']}")
+        for number in set(numbers) - set(_buckets(rows)):
+            system, path = self._folder(f"{table.name}/_bucket={number}")
             system.delete(path, True)
 
     def replace_content(self, documents: DataFrame, content: dict[str, DataFrame]) -> None:
-        """Takes away all content of the given documents (document_id) and puts the new in its place."""
+        """Takes away all content of the given documents (document_id) and puts the new, which must be theirs, in its place: one rewrite of a table's touched buckets."""
+        documents = stored(documents.select("document_id").distinct().withColumn("_bucket", self._bucket(TABLES["documents"])), "replaced")
+        numbers = _buckets(documents)
         for name in CONTENT:
-            self.remove(name, documents, "document_id")
-        for name, rows in content.items():
-            self.merge(name, rows)
+            table, new = TABLES[name], content.get(name)
+            if not self.exists(name):
+                if new is not None:
+                    self.merge(name, new)
+            elif numbers:
+                kept = self._touched(table, numbers).join(documents.select("document_id"), "document_id", "left_anti")
+                if new is not None:
+                    kept = kept.unionByName(new.withColumn("_bucket", self._bucket(table)), allowMissingColumns=True)
+                self._rewrite(table, numbers, kept)
 
     def sweep(self) -> dict[str, int]:
-        """Removes what hangs on nothing any more, until nothing changes: content without its document, concepts without mentions, then units, subjects and grades
-        without anything below. Gives how many rows went, by table."""
+        """Removes what hangs on nothing any more: content without its document, concepts without mentions, then units, subjects and grades without anything below.
+        What a table hangs on is swept before it, so one pass reaches the fixpoint. Gives how many rows went, by table."""
         gone: dict[str, int] = {}
-
-        def drop(name: str, orphans: DataFrame) -> bool:
+        upward = [(name, "documents", "document_id") for name in CONTENT] + [("concepts", "mentions", "concept_id")]
+        upward += [(t.parent[0], t.name, TABLES[t.parent[0]].key) for t in reversed(TABLES.values()) if t.parent and t.name not in CONTENT]
+        for name, needed, key in upward:
+            if not (self.exists(name) and self.exists(needed)):
+                continue
+            own = TABLES[name].key
+            orphans = stored(self.read(name).join(self.read(needed).select(key), key, "left_anti").select(own), f"{name}-orphans")
             n = orphans.count()
             if n:
-                orphans = stored(orphans, f"{name}-orphans")
                 self.remove(name, orphans)
-                gone[name] = gone.get(name, 0) + n
-            return n > 0
-
-        again = True
-        while again:  # each round deletes rows, and the hierarchy has as many levels as tables
-            again = False
-            for table in reversed(TABLES.values()):  # from the bottom up, so what goes takes what is above along in the same round
-                if not self.exists(table.name):
-                    continue
-                rows = self.read(table.name)
-                if table.name in CONTENT:
-                    again |= drop(table.name, rows.join(self.read("documents").select("document_id"), "document_id", "left_anti").select(table.key))
-                elif table.name == "concepts":
-                    again |= drop("concepts", rows.join(self.read("mentions").select("concept_id"), "concept_id", "left_anti").select("concept_id"))
-                else:
-                    child = next((t for t in TABLES.values() if t.parent and t.parent[0] == table.name and t.name not in CONTENT), None)
-                    if child is not None and self.exists(child.name):
-                        again |= drop(table.name, rows.join(self.read(child.name).select(table.key), table.key, "left_anti").select(table.key))
+                gone[name] = n
         return gone
 
     def mark_complete(self, documents: DataFrame) -> None:
