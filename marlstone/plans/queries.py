@@ -891,4 +891,4 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rt.hashed_embeddings(docs)
 
 
-from marlstone.plans import graph_queries, run_queries, section_queries, store_queries  # noqa: E402, F401  these register themselves
+from marlstone.plans import graph_queries, inspect_queries, run_queries, section_queries, store_queries, tutor_queries  # noqa: E402, F401  these register themselves
