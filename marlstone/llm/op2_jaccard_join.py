@@ -7,9 +7,9 @@ similarity of 0.8 or more.
    of copies. Each class has ``TOKENS`` MinHash values: its embedded set.
 2. Chosen path: in each of ``RUNS`` runs a bucket chooses each position of the embedding with
    probability 1 / (0.8 * TOKENS), by a hash of its path, and splits by the value there. Buckets of
-   one member end; buckets of more than ``LIMIT`` split again until they are small, or dense: a bucket whose members agree with
-   its pivot in ``MAYBE`` of their values on average, or that keeps more than ``DENSE`` of the bucket it was split from, as splits would only
-   repeat it. Each further split takes at least a fixed share,
+   one member end; buckets of more than ``LIMIT`` split again until they are small, or dense: each member agrees with the nearest of
+   ``PIVOTS`` members in ``MAYBE`` of its values on average. Nothing else ends a large bucket, whatever share of the one before it holds. A bucket that
+   isn't dense agrees in less than ``MAYBE``, so a split keeps it whole less than MAYBE / 0.8 times on average,
    so this ends without a limit of depth. Ended buckets are compared by brute force on their embeddings, in blocks if large.
    A pair at 0.8 meets in a run of up to four splits with
    probability of at least ``RUN_RECALL``, so ``RUNS`` follows from ``RECALL``.
@@ -42,7 +42,7 @@ from .graph import components
 
 WIDTH, SIMILAR = 5, 0.8
 TOKENS = 64
-LIMIT, DENSE = 200, 0.64
+LIMIT, PIVOTS = 200, 3
 RECALL, RUN_RECALL = 0.999, 0.31
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - RUN_RECALL))
 #: Embeddings that agree in this share may be similar: 0.8 less four standard deviations of 64 trials.
@@ -119,24 +119,25 @@ def leaves(reps: DataFrame) -> DataFrame:
     spark = reps.sparkSession
     starts = spark.range(RUNS).select(F.explode(chosen(F.hash("id"))).alias("i"), F.hash("id").alias("path")).collect()
     first = F.array(*[F.xxhash64(F.lit(r["path"]), F.lit(r["i"]), value_at(F.col("sig"), r["i"])) for r in starts])
-    nodes = reps.select("rep", F.lit(reps.count()).alias("above"), F.explode(first).alias("bucket"))
+    nodes = reps.select("rep", F.explode(first).alias("bucket"))
     out = None
     while True:
         sizes = stored(nodes.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         nodes = stored(nodes.join(sizes, "bucket"), "paths")
-        large = (F.col("size") > LIMIT) & (F.col("size") <= DENSE * F.col("above"))
+        large = F.col("size") > LIMIT
         ends = nodes.where(~large).select("bucket", "rep", "size")
         out = ends if out is None else out.unionByName(ends)
         large = nodes.where(large)
         if large.isEmpty():
             return out
         large = stored(large.select("bucket", "rep", "size").join(reps.select("rep", "sig"), "rep"), "large")
-        pivots = stored(large.groupBy("bucket").agg(F.min_by("sig", F.xxhash64("rep")).alias("pivot")), "pivots")
-        alike = large.join(small(pivots), "bucket").groupBy("bucket").agg((F.avg(agreement(F.col("sig"), F.col("pivot"))) >= MAYBE).alias("dense"))
+        pivots = stored(large.groupBy("bucket").agg(*[F.min_by("sig", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]), "pivots")
+        best = F.greatest(*[agreement(F.col("sig"), F.col(f"p{i}")) for i in range(PIVOTS)])
+        alike = large.join(small(pivots), "bucket").groupBy("bucket").agg((F.avg(best) >= MAYBE).alias("dense"))
         large = large.join(small(stored(alike, "dense")), "bucket")
         out = out.unionByName(large.where("dense").select("bucket", "rep", "size"))
-        split = large.where("NOT dense").select("rep", "sig", "size", "bucket", F.explode(chosen(F.col("bucket"))).alias("i"))
-        nodes = split.select("rep", F.col("size").alias("above"), F.xxhash64("bucket", "i", F.expr("substring(sig, 4 * i + 1, 4)")).alias("bucket"))
+        split = large.where("NOT dense").select("rep", "sig", "bucket", F.explode(chosen(F.col("bucket"))).alias("i"))
+        nodes = split.select("rep", F.xxhash64("bucket", "i", F.expr("substring(sig, 4 * i + 1, 4)")).alias("bucket"))
 
 
 def in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
