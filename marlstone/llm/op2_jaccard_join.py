@@ -7,10 +7,12 @@ similarity of 0.8 or more.
    of copies. Each class has ``TOKENS`` MinHash values: its embedded set.
 2. Chosen path: in each of ``RUNS`` runs a bucket chooses each position of the embedding with
    probability 1 / (0.8 * TOKENS), by a hash of its path, and splits by the value there. Buckets of
-   one member end; buckets of more than ``LIMIT`` split again until they are small, or dense: each member agrees with the nearest of
-   ``PIVOTS`` members in ``MAYBE`` of its values on average. Nothing else ends a large bucket, whatever share of the one before it holds. A bucket that
-   isn't dense agrees in less than ``MAYBE``, so a split keeps it whole less than MAYBE / 0.8 times on average,
-   so this ends without a limit of depth. Ended buckets are compared by brute force on their embeddings, in blocks if large.
+   one member end; larger ones split again until they are dense, or until a split no longer pays. Both follow from ``c``, the average
+   agreement of a bucket's members with its centre, the commonest values of about ``SAMPLE`` of them. Texts that differ each in its own way agree
+   with each other in q = c / (2 - c), and are dense from q = ``MAYBE`` on. A split leaves q / 0.8 of a bucket's pairs, so it takes
+   size * (1 - q / 0.8) / 2 pairs off each row; where that is at most what it would take off a bucket of ``LIMIT`` unlike members, and the
+   centre holds most values (else q says little), the bucket ends. Nothing else ends a bucket, whatever share of the one before it holds: each split leaves less than
+   MAYBE / 0.8 of the pairs, so this ends without a limit of depth. Ended buckets are compared by brute force on their embeddings, in blocks if large.
    A pair at 0.8 meets in a run of up to four splits with
    probability of at least ``RUN_RECALL``, so ``RUNS`` follows from ``RECALL``.
 3. Candidate links give connected candidates. Inside each, shingle sets are compared exactly, all
@@ -42,7 +44,7 @@ from .graph import components
 
 WIDTH, SIMILAR = 5, 0.8
 TOKENS = 64
-LIMIT, PIVOTS = 200, 3
+LIMIT, SAMPLE = 200, 32
 RECALL, RUN_RECALL = 0.999, 0.31
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - RUN_RECALL))
 #: Embeddings that agree in this share may be similar: 0.8 less four standard deviations of 64 trials.
@@ -114,6 +116,19 @@ def chosen(path: Column) -> Column:
     return F.filter(every, lambda i: F.pmod(F.xxhash64(path, i), F.lit(1 << 20)) < share)
 
 
+def ended(large: DataFrame) -> DataFrame:
+    """bucket, ends: whether buckets of (bucket, rep, size, sig) are dense, or a split wouldn't pay."""
+    some = large.where(F.pmod(F.xxhash64("rep", "bucket"), F.col("size")) < SAMPLE)
+    commonest = [F.mode(F.hex(value_at(F.col("sig"), i)), True) for i in range(TOKENS)]
+    centres = small(stored(some.groupBy("bucket").agg(F.unhex(F.concat(*commonest)).alias("centre")), "centres"))
+    near = large.join(centres, "bucket", "left").groupBy("bucket").agg(
+        F.avg(F.coalesce(agreement(F.col("sig"), F.col("centre")), F.lit(0))).alias("c"), F.first("size").alias("size")
+    )
+    each_other = F.col("c") / (2 - F.col("c"))
+    spared = (F.col("c") >= 0.5) & (F.col("size") * (1 - each_other / SIMILAR) <= LIMIT)
+    return near.select("bucket", ((each_other >= MAYBE) | spared).alias("ends"))
+
+
 def leaves(reps: DataFrame) -> DataFrame:
     """bucket, rep, size: members of the buckets in which the paths end, those with two or more members."""
     spark = reps.sparkSession
@@ -131,13 +146,11 @@ def leaves(reps: DataFrame) -> DataFrame:
         if large.isEmpty():
             return out
         large = stored(large.select("bucket", "rep", "size").join(reps.select("rep", "sig"), "rep"), "large")
-        pivots = stored(large.groupBy("bucket").agg(*[F.min_by("sig", F.xxhash64("rep", F.lit(i))).alias(f"p{i}") for i in range(PIVOTS)]), "pivots")
-        best = F.greatest(*[agreement(F.col("sig"), F.col(f"p{i}")) for i in range(PIVOTS)])
-        alike = large.join(small(pivots), "bucket").groupBy("bucket").agg((F.avg(best) >= MAYBE).alias("dense"))
-        large = large.join(small(stored(alike, "dense")), "bucket")
-        out = out.unionByName(large.where("dense").select("bucket", "rep", "size"))
-        split = large.where("NOT dense").select("rep", "sig", "bucket", F.explode(chosen(F.col("bucket"))).alias("i"))
-        nodes = split.select("rep", F.xxhash64("bucket", "i", F.expr("substring(sig, 4 * i + 1, 4)")).alias("bucket"))
+        large = large.join(small(stored(ended(large), "ended")), "bucket")
+        out = out.unionByName(large.where("ends").select("bucket", "rep", "size"))
+        split = large.where("NOT ends").select("rep", "sig", "bucket", F.explode(chosen(F.col("bucket"))).alias("i"))
+        # stored, as sizes and paths both read it
+        nodes = stored(split.select("rep", F.xxhash64("bucket", "i", F.expr("substring(sig, 4 * i + 1, 4)")).alias("bucket")), "splits")
 
 
 def in_blocks(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
