@@ -515,6 +515,22 @@ def test_added_tokens_encode_as_in_the_json():
         assert np.frombuffer(tokenizer(default_vocabulary()).ids(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
 
 
+def test_texts_without_added_tokens_encode_without_looking_ahead():
+    import itertools
+
+    import public_tokenizers
+    from marlstone.llm.tokens import Tokenizer, default_vocabulary
+    from tokenizers import Tokenizer as Json
+
+    t, own = Json.from_file(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer(default_vocabulary())
+    whole, own.whole = own.whole, None  # the pattern that looks ahead: not called here
+    bits = (" ", "\n", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "a", "7", "'s", ".")
+    for x in map("".join, itertools.chain(itertools.product(bits, repeat=4), [("ab  c\n\n\nde \t ", "f" * 50, "  ")] * 2)):
+        assert np.frombuffer(own.ids(x), "<u2").tolist() == t.encode(x, add_special_tokens=False).ids, x
+        assert whole(x).tolist() == own.encode(x).tolist()
+    assert own.ids("") == own.ids(None) == b""
+
+
 def test_scan_equals_running_sums(spark):
     from marlstone.llm.common import SCAN_BLOCK, scan
 
