@@ -115,3 +115,14 @@ def test_scope_of_the_request(spark):
     ranked = gr.graph_ranked(gr.requested(paths, seeds, scope, requests), seeds).collect()
     assert [(r["chunk_id"], r["score"], r["path"]) for r in ranked] == [("a", 0.9, "ADJACENT from s")]
     assert gr.graph_ranked(gr.requested(paths, seeds, scope, requests).where(F.lit(False)), seeds).count() == 0
+
+
+def test_scores_halfway_round_as_in_sql(spark):
+    paths = [path("a", "SHARED_CONCEPT", "x", via="ion", rank=1, weight=1.0), path("b", "SHARED_CONCEPT", "x", via="ion", rank=2, weight=0.5), path("c", "SAME_LESSON", "x", rank=3, weight=0.166667)]
+    seeds = spark.createDataFrame([(1, s, 1.0, 1) for s in "abc"], SEEDS)
+    for rows in (paths, paths[::-1]):
+        # 0.6 + 0.3 + 0.0833335, added in the order of arrival, lies just below the half; added the other way it lies on it
+        assert [r["score"] for r in gr.graph_ranked(spark.createDataFrame(rows, ROWS), seeds).collect()] == [0.983333]
+    lesson = spark.createDataFrame([("a", "SAME_LESSON", "x")], "seed_id string, relation string, chunk_id string")
+    front = spark.createDataFrame([(1, "a", 0.128571, 1)], SEEDS)
+    assert [r["weight"] for r in gr.traverse(front, lambda s: lesson.join(s, "seed_id"), levels=1).where("level = 1").collect()] == [0.064285]
