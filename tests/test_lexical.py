@@ -26,7 +26,7 @@ def test_channels_of_one_scan(spark, monkeypatch, pairs, questions, step):
 
 
 GRAPH = (
-    "graph_seeds",
+    "graph_seeds", "chunk_evidence",
 )
 
 
@@ -37,4 +37,5 @@ def test_no_row_for_each_posting_or_mention(spark, sf_dir, monkeypatch, name):
 
     monkeypatch.setattr(rt, "postings", made)
     monkeypatch.setattr(q, "_mentions", made)
-    assert q.QUERIES[name](spark, sf_dir).count() > 0
+    # the smallest tables have no hub
+    assert (q.QUERIES[name](spark, sf_dir).count() > 0) == (name != "trace_hubs")
