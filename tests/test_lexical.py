@@ -26,7 +26,7 @@ def test_channels_of_one_scan(spark, monkeypatch, pairs, questions, step):
 
 
 GRAPH = (
-    "graph_seeds", "chunk_evidence", "trace_diagnostics", "expand_union", "chunk_candidates", "trace_counters",
+    "graph_seeds", "chunk_evidence", "trace_diagnostics", "expand_union", "chunk_candidates", "trace_counters", "trace_reasons",
 )
 
 
