@@ -26,7 +26,7 @@ def test_channels_of_one_scan(spark, monkeypatch, pairs, questions, step):
 
 
 GRAPH = (
-    "graph_seeds", "chunk_evidence", "trace_diagnostics", "expand_union", "chunk_candidates", "trace_counters", "trace_reasons", "graph_neighbourhood", "trace_nodes", "trace_edges", "graph_traverse",
+    "graph_seeds", "chunk_evidence", "trace_diagnostics", "expand_union", "chunk_candidates", "trace_counters", "trace_reasons", "graph_neighbourhood", "trace_nodes", "trace_edges", "graph_traverse", "trace_hubs",
 )
 
 
